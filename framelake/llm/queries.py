@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.llm.block_dedup import block_dedup
 from framelake.llm.suffix_dedup import suffix_dedup
 
 
@@ -13,13 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return block_dedup(docs, width=35, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return suffix_dedup(docs, width=50, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_suffix_dedup,)}
+    return {f.__name__: f for f in (op4_block_dedup, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
