@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.block_dedup import block_dedup
+from framelake.llm.language_id import language_id
 from framelake.llm.suffix_dedup import suffix_dedup
+from framelake.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +21,21 @@ def op4_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup(docs, width=35, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out_fold=2, folds=4)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out_fold=0, folds=5)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return suffix_dedup(docs, width=50, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_block_dedup, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op4_block_dedup, op6_language_id, op8_toxicity, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
