@@ -1,7 +1,8 @@
 """Toxicity scores by a classifier that is regularised by counterfactuals.
 
-Features: which words a text has (case folded, letters only, hashed).  The model is a logistic
-regression over the words whose presence tells the labels apart.  For every labelled text with an
+Features: how often a text has a word (case folded, letters only), or a word with a certain prefix,
+and its length.  The model is a logistic regression over those whose presence tells the labels
+apart best.  For every labelled text with an
 identity term, texts with that term swapped for each other term of its group are made, and the
 squared change of the score is penalised; so no group's mere mention moves the score, while
 labels still speak for words that matter.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from framelake.llm.linear import bounded_sample, fold_case, fold_number, sigmoid
-from framelake.llm.textops import U64, Chunk, byte_span_hashes, chunks, group_starts, mix, pack, unpack, word_spans
+from framelake.llm.textops import U64, Chunk, byte_span_hashes, chunks, pack, unpack, word_spans
 
 CHUNK = 2 << 20
 
@@ -49,16 +50,34 @@ IDENTITY_GROUPS = (
 )
 
 
-def words_of(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(text's number, word) of every distinct word of every text, in that order."""
+PREFIXES = range(4, 10)  # bytes; the stems that inflected and compound words share
+
+
+def features(c: Chunk, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, feature, log count) of every distinct feature of every text, and each text's
+    log number of words.  Features: words, and prefixes of longer words.  ``wanted``: keep these only."""
     buf = fold_case(c.buf)
     starts, ends, first = word_spans(buf, c.offs)
-    words = byte_span_hashes(buf, starts, ends)
     row = np.repeat(np.arange(len(c)), np.diff(first))
-    order = np.lexsort((words, row))
-    row, words = row[order], words[order]
-    keep = np.concatenate(([True], (row[1:] != row[:-1]) | (words[1:] != words[:-1]))) if len(row) else np.zeros(0, bool)
-    return row[keep], words[keep]
+    spans, rows, kinds = [(starts, ends)], [row], [np.zeros(len(row), U64)]
+    for k in PREFIXES:
+        long = np.flatnonzero(ends - starts > k)
+        spans.append((starts[long], starts[long] + k))
+        rows.append(row[long])
+        kinds.append(np.ones(len(long), U64))
+    code = byte_span_hashes(buf, np.concatenate([s for s, _ in spans]), np.concatenate([e for _, e in spans]))
+    code ^= np.concatenate(kinds) * U64(0x5851F42D4C957F2D)
+    row = np.concatenate(rows)
+    if wanted is not None:
+        table = np.zeros(1 << 22, bool)  # most features are none that is wanted
+        table[wanted >> U64(42)] = True
+        may = np.flatnonzero(table[code >> U64(42)])
+        may = may[np.isin(code[may], wanted)]
+        row, code = row[may], code[may]
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    at = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, np.int64)
+    return row[at], code[at], np.log1p(np.diff(np.append(at, len(row)))), np.log1p(np.diff(first))
 
 
 def term_code(term: str) -> int:
@@ -68,91 +87,92 @@ def term_code(term: str) -> int:
 
 @dataclass(frozen=True)
 class Model:
-    words: np.ndarray  # ascending
+    vocabulary: np.ndarray  # features, ascending
     weights: np.ndarray
+    by_length: float
     bias: float
 
-    def score(self, row: np.ndarray, words: np.ndarray, rows: int) -> np.ndarray:
-        at = np.searchsorted(self.words, words)
-        at[at == len(self.words)] = 0
-        hit = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
-        return sigmoid(np.bincount(row[hit], self.weights[at[hit]], rows) + self.bias)
+    def score(self, row: np.ndarray, code: np.ndarray, value: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of texts whose features are all in the vocabulary."""
+        at = np.searchsorted(self.vocabulary, code)
+        return sigmoid(np.bincount(row, self.weights[at] * value, len(length)) + self.by_length * length + self.bias)
 
 
-def swapped(row: np.ndarray, words: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> list[tuple[int, int]]:
-    """Pairs (term present, term that takes its place) for each text that has an identity term."""
+def swapped(code: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> list[tuple[int, int]]:
+    """(term present, term that takes its place) for every identity term of every text."""
     out = []
     for group in groups:
-        codes = np.array([term_code(t) for t in group], U64)
+        codes = [term_code(t) for t in group]
         for a in codes:
-            times = int((words == a).sum())
-            out += [(int(a), int(b)) for b in codes if b != a] * times
+            out += [(a, b) for b in codes if b != a] * int((code == U64(a)).sum())
     return out
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, strength: float = 10.0, vocabulary: int = 20_000, decay: float = 1e-3, rounds: int = 400, odds: float | None = None) -> Model:
-    """``strength``: weight of the counterfactual penalty (0: none).  ``odds``: of label 1 among all
-    labelled rows, where the sample's differ."""
-    n = len(texts)
+def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, strength: float = 10.0, decay: float = 1e-5, rounds: int = 500, odds: float | None = None) -> Model:
+    """``x``: features of all texts (see ``features``).  ``strength``: weight of the counterfactual
+    penalty (0: none).  ``odds``: of label 1 among all labelled rows, where the sample's differ."""
+    row, code, value, length = x
+    n = len(labels)
     if not n or labels.min() == labels.max():
-        return Model(np.zeros(0, U64), np.zeros(0), -50.0 if not n or not labels.any() else 50.0)
-    row = np.repeat(np.arange(n), [len(t) for t in texts])
-    words = np.concatenate(texts)
-    order = np.argsort(words, kind="stable")
-    starts = group_starts(words[order])
-    known = words[order][starts]
-    seen = np.diff(np.append(starts, len(words))).astype(float)
-    toxic = np.add.reduceat(labels[row[order]].astype(float), starts)
+        return Model(np.zeros(0, U64), np.zeros(0), 0.0, 50.0 if n and labels.any() else -50.0)
+    vocabulary, at = np.unique(code, return_inverse=True)
+    place = {int(f): i for i, f in enumerate(vocabulary)}
+    pairs = [(place.get(a, -1), place.get(b, -1)) for a, b in swapped(code, groups)] if strength else []
+    pairs = np.array(pairs, np.int64).reshape(-1, 2)  # -1: a term that no text has; its weight is 0
     rate = labels.mean()
-    tells = np.abs(toxic - rate * seen) / np.sqrt(seen * rate * (1 - rate) + 1)
-    identity = np.isin(known, np.array([term_code(t) for g in groups for t in g], U64))
-    tells[seen < 3] = 0
-    tells[identity] = np.inf
-    chosen = np.sort(np.argsort(-tells, kind="stable")[:vocabulary])
-    chosen = chosen[tells[chosen] > 1]
-    vocab = known[chosen]
-    at = np.minimum(np.searchsorted(vocab, words), max(len(vocab) - 1, 0))
-    hit = vocab[at] == words if len(vocab) else np.zeros(len(words), bool)
-    r, c = row[hit], at[hit]
-    place = {int(w): i for i, w in enumerate(vocab)}
-    pairs = [(place.get(a, -1), place.get(b, -1)) for a, b in swapped(row, words, groups)] if strength else []
-    pairs = np.array([p for p in pairs if p != (-1, -1)], np.int64).reshape(-1, 2)
-    w = np.zeros(len(vocab) + 1)  # the last stands for words out of the vocabulary
     base = np.log(rate / (1 - rate))
-    b, m, v, mb, vb = base, np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for k in range(1, rounds + 1):  # Adam on full gradients
-        error = sigmoid(np.bincount(r, w[c], n) + b) - labels
-        g = np.append(np.bincount(c, error[r], len(vocab)), 0) / n + decay * w / np.sqrt(n)
+    k = len(vocabulary)
+    w = np.zeros(k + 3)  # features, length, bias, terms no text has
+    w[k + 1] = base
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    middle = length.mean()
+    for step in range(1, rounds + 1):  # Adam on full gradients
+        error = sigmoid(np.bincount(row, w[at] * value, n) + w[k] * (length - middle) + w[k + 1]) - labels
+        g = np.concatenate((np.bincount(at, error[row] * value, k) / n, [(error * (length - middle)).mean(), error.mean(), 0]))
+        g[:k] += decay * w[:k]
         if len(pairs):
             change = 2 * strength * (w[pairs[:, 0]] - w[pairs[:, 1]]) / len(pairs)
             g += np.bincount(pairs[:, 0] % len(w), change, len(w)) - np.bincount(pairs[:, 1] % len(w), change, len(w))
-            g[-1] = 0
-        gb = error.mean()
+        g[k + 2] = 0
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        rate_k = 0.1 * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
-        w -= rate_k * m / (np.sqrt(v) + 1e-8)
-        w[-1] = 0
-        b -= rate_k * mb / (np.sqrt(vb) + 1e-8)
-    return Model(vocab, w[:-1], float(b - base + np.log(odds)) if odds else float(b))
+        w -= 0.05 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m / (np.sqrt(v) + 1e-8)
+    shift = np.log(odds) - base if odds else 0.0
+    return Model(vocabulary, w[:k], float(w[k]), float(w[k + 1] - w[k] * middle + shift))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **fitting) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, vocabulary: int = 20_000, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, **fitting) -> Model:
     """A model of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic), from at most about ``sample_rows`` labels."""
     known = labels.where(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
     sample, _, counts = bounded_sample(known, "toxic", sample_rows // 2)
-    sample = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # bounded by sample_rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").repartition(16)  # bounded by sample_rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches, CHUNK):
+            row, code, _, _ = features(c)
+            toxic = c.ints("toxic")[row]
+            feature, at = np.unique(code, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(np.bincount(at, minlength=len(feature))), pa.array(np.bincount(at, toxic, len(feature)).astype(np.int64))], names=["feature", "seen", "toxic"])
+
+    rate = counts.get(1, 0) and min(counts[1], sample_rows // 2) / sum(min(n, sample_rows // 2) for n in counts.values())
+    totals = sample.mapInArrow(count, "feature long, seen long, toxic long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    lift = F.abs(F.col("toxic") - rate * F.col("seen")) / F.sqrt(F.col("seen") * (rate * (1 - rate)) + 1)
+    terms = [int(np.uint64(term_code(t)).view(np.int64)) for g in groups for t in g]
+    best = totals.where(F.col("seen") >= 3).withColumn("lift", F.when(F.col("feature").isin(terms), 1e9).otherwise(lift)).where("lift > 2").orderBy(F.desc("lift"), "feature").limit(vocabulary)
+    wanted = np.sort(np.array([r[0] for r in best.select("feature").collect()], np.int64).view(U64))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, CHUNK):
-            row, words = words_of(c)
+            row, code, value, length = features(c, wanted)
             cuts = np.searchsorted(row, np.arange(len(c) + 1))
-            yield pa.RecordBatch.from_arrays([c.batch.column("toxic"), pa.array([pack(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["toxic", "x"])
+            packed = [pack(code[a:b], value[a:b].astype(np.float32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([c.batch.column("toxic"), pa.array(length), pa.array(packed, pa.binary())], names=["toxic", "length", "x"])
 
-    got = [(r[0], unpack(r[1])[0]) for r in sample.mapInArrow(run, "toxic int, x binary").collect()]
-    got.sort(key=lambda g: (g[0], g[1].tobytes()))
-    odds = counts[1] / counts[0] if len(counts) == 2 else None
-    return fit([g[1] for g in got], np.array([g[0] for g in got], np.int64), odds=odds, **fitting)
+    got = [(r[0], r[1], *unpack(r[2])) for r in sample.mapInArrow(vectors, "toxic int, length double, x binary").collect()]
+    got.sort(key=lambda g: (g[0], g[1], g[2].tobytes(), g[3].tobytes()))
+    sizes = [len(g[2]) for g in got]
+    join = lambda i, kind: np.concatenate([g[i] for g in got]) if got else np.zeros(0, kind)
+    x = np.repeat(np.arange(len(got)), sizes), join(2, U64), join(3, np.float32), np.array([g[1] for g in got])
+    return fit(x, np.array([g[0] for g in got], np.int64), groups, odds=counts[1] / counts[0] if len(counts) == 2 else None, **fitting)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -161,13 +181,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, CHUNK):
-            s = model.score(*words_of(c), len(c))
+            s = model.score(*features(c, model.vocabulary))
             yield pa.RecordBatch.from_arrays([*c.batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5, sample_rows: int = 20_000, **fitting) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5, sample_rows: int = 8_000, **fitting) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text); ``labels``: doc_id, toxic."""
     held = fold_number(folds) == held_out_fold
     marks = labels.where(~held).select("doc_id", "toxic")
