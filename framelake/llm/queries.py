@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.block_dedup import block_dedup
+from framelake.llm.fingerprint import fingerprints
 from framelake.llm.language_id import language_id
 from framelake.llm.suffix_dedup import suffix_dedup
 from framelake.llm.toxicity import toxicity
@@ -25,6 +26,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out_fold=2, folds=4)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out_fold=0, folds=5)
 
@@ -35,7 +40,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_block_dedup, op6_language_id, op8_toxicity, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op4_block_dedup, op6_language_id, op7_fingerprints, op8_toxicity, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
