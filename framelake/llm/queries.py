@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.block_dedup import block_dedup
+from framelake.llm.decontaminate import contamination
 from framelake.llm.fingerprint import fingerprints
 from framelake.llm.language_id import language_id
+from framelake.llm.licenses import NOTICES, license_scan
+from framelake.llm.minhash_dedup import near_duplicates
 from framelake.llm.suffix_dedup import suffix_dedup
 from framelake.llm.toxicity import toxicity
 
@@ -17,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
+def op3_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op4_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return block_dedup(docs, width=35, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -39,9 +50,40 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(docs, width=50, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_block_dedup, op6_language_id, op7_fingerprints, op8_toxicity, op9_suffix_dedup)}
+    every = (op1_decontamination, op3_probminhash_dedup, op4_block_dedup, op6_language_id, op7_fingerprints, op8_toxicity, op9_suffix_dedup, op10_license_scan)
+    return {f.__name__: f for f in every}
+
+
+_WORDS = """list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+_GRAMS = "array_to_string(w[i:i + 4], ' ')"
+
+
+def _containment_sql(queries: str, query_id: str, n_query: str, extra: str = "") -> str:
+    """All pairs of document and query by a join on shingles; ``queries`` gives id, text and extra columns."""
+    return f"""
+WITH q AS ({queries}),
+qw AS (SELECT {query_id}, {_WORDS} AS w FROM q),
+qs AS (SELECT DISTINCT {query_id}, {_GRAMS} AS g FROM (SELECT {query_id}, w, unnest(range(1, len(w) - 3)) AS i FROM qw)),
+qn AS (SELECT {query_id}, count(*) AS n FROM qs GROUP BY 1),
+dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, {_GRAMS} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+m AS (SELECT doc_id, {query_id}, count(*) AS s FROM ds JOIN qs USING (g) GROUP BY 1, 2)
+SELECT doc_id, {query_id}{extra}, n AS {n_query}, s AS n_shared, s / n AS containment
+FROM m JOIN qn USING ({query_id}) JOIN q USING ({query_id}) WHERE s >= 0.8 * n - 1e-9"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    notices = ", ".join(f"({i}::BIGINT, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(NOTICES))
+    return {
+        "op1_decontamination": _containment_sql("SELECT item_id, text FROM benchmark", "item_id", "n_item"),
+        "op10_license_scan": _containment_sql(f"SELECT * FROM (VALUES {notices}) t(template_id, license, text)", "template_id", "n_template", ", license"),
+    }

@@ -86,7 +86,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return buf, offs - offs[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str = "text") -> Iterator[Chunk]:
+def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str = "text", max_rows: int = 1 << 15) -> Iterator[Chunk]:
     """Cut Arrow batches into chunks of whole texts."""
     for batch in batches:
         if not batch.num_rows:
@@ -95,7 +95,7 @@ def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str = "tex
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offs, offs[at] + max_bytes, "right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
+            to = min(max(to, at + 1), at + max_rows, batch.num_rows)
             yield Chunk(batch.slice(at, to - at), buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
             at = to
 
