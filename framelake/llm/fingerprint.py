@@ -88,16 +88,16 @@ def next_documents(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], ro
     doc_id once; windows run within ranges, and only each range's first row crosses to the one before."""
     total = docs.select("doc_id").count()
     dealt = ranges(docs, "doc_id", max(1, total // rows_per_range))
-    # which rows come first in their ranges: ids alone, then their texts
-    tops = dealt.groupBy(RANGE).agg(F.max("doc_id").alias("__top"))
-    down = Window.orderBy(F.desc(RANGE))  # one small row per range
-    tops = tops.withColumn("__to", F.coalesce(F.lag(RANGE).over(down), F.min(RANGE).over(Window.partitionBy())))
-    first = dealt.join(tops, RANGE).where(F.col("doc_id").eqNullSafe(F.col("__top")))
-    edge = derive(first.groupBy(F.col("__to").alias(RANGE)).agg(F.min("text").alias("text")))
-    columns = [c for c in edge.columns if c != RANGE]
-    edge = edge.select(RANGE, F.lit(True).alias("__edge"), *[F.col(c).alias(f"__edge_{c}") for c in columns])
     inside = Window.partitionBy(RANGE).orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
-    out = derive(dealt).withColumns({"__last": F.lead(F.lit(0)).over(inside).isNull()} | {f"next_{c}": F.lead(c).over(inside) for c in columns})
+    derived = derive(dealt)
+    columns = [c for c in derived.columns if c not in ("doc_id", RANGE)]
+    # each range's first row goes to the range before it; only the first rows of each task are shuffled for this
+    down = Window.orderBy(F.desc(RANGE))  # one small row per range
+    known = dealt.select(RANGE).distinct()
+    known = known.withColumn("__to", F.coalesce(F.lag(RANGE).over(down), F.min(RANGE).over(Window.partitionBy())))
+    first = dealt.withColumn("__place", F.row_number().over(inside)).where("__place = 1").drop("__place")
+    edge = derive(first).join(known, RANGE).select(F.col("__to").alias(RANGE), F.lit(True).alias("__edge"), *[F.col(c).alias(f"__edge_{c}") for c in columns])
+    out = derived.withColumns({"__last": F.lead(F.lit(0)).over(inside).isNull()} | {f"next_{c}": F.lead(c).over(inside) for c in columns})
     out = out.join(edge, RANGE, "left")
     return out.select("doc_id", *columns, *[F.when(F.col("__last"), F.col(f"__edge_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns])
 
