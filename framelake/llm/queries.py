@@ -12,6 +12,7 @@ from framelake.llm.fingerprint import fingerprints
 from framelake.llm.language_id import language_id
 from framelake.llm.licenses import NOTICES, license_scan
 from framelake.llm.minhash_dedup import near_duplicates
+from framelake.llm.sentencepiece_fst import tokenise
 from framelake.llm.suffix_dedup import suffix_dedup
 from framelake.llm.toxicity import toxicity
 
@@ -33,6 +34,10 @@ def op4_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup(docs, width=35, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenise(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out_fold=2, folds=4)
 
@@ -55,7 +60,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontamination, op3_probminhash_dedup, op4_block_dedup, op6_language_id, op7_fingerprints, op8_toxicity, op9_suffix_dedup, op10_license_scan)
+    every = (op1_decontamination, op3_probminhash_dedup, op4_block_dedup, op5_sentencepiece, op6_language_id, op7_fingerprints, op8_toxicity, op9_suffix_dedup, op10_license_scan)
     return {f.__name__: f for f in every}
 
 
