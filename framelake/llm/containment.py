@@ -160,17 +160,33 @@ def search(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def contained(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, block: int = BLOCK) -> DataFrame:
-    """Matches of ``queries`` (query_id, text) in ``docs`` (doc_id, text): one row per pair.
-
-    Queries of any number are gone through in blocks of about ``block``, so that what the driver
-    and a task hold is bounded.
-    """
+def blocks(queries: DataFrame, threshold: float, chance: float, block: int) -> Iterator[Index]:
+    """Indexes of ``queries`` (query_id, text), about ``block`` at a time: what the driver and a task hold is bounded."""
     queries = queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = -(-queries.count() // block)
+    n = max(1, -(-queries.count() // block))
+    for i in range(n):
+        part = queries.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(n)) == i).orderBy("query_id", "text").toArrow()
+        yield Index.of(part.column("query_id").to_numpy().astype(np.int64), part.column("text"), threshold, chance)
+
+
+def contained(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, block: int = BLOCK) -> DataFrame:
+    """Matches of ``queries`` (query_id, text) in ``docs`` (doc_id, text): one row per pair."""
     out = None
-    for i in range(max(n, 1)):
-        part = queries.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(max(n, 1))) == i).orderBy("query_id", "text").toArrow()
-        found = search(docs, Index.of(part.column("query_id").to_numpy().astype(np.int64), part.column("text"), threshold, chance), threshold)
+    for index in blocks(queries, threshold, chance, block):
+        found = search(docs, index, threshold)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, block: int = BLOCK) -> DataFrame:
+    """``docs`` (any columns; text) without the rows that hold one of ``queries``."""
+    for index in blocks(queries, threshold, chance, block):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for c in chunks(batches, CHUNK):
+                keep = np.ones(len(c), bool)
+                keep[index.search(c.buf, c.offs, threshold)[0]] = False
+                yield c.batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

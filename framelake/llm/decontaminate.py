@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.containment import contained
-from framelake.llm.exchange import NULL_ID
+from framelake.llm.containment import contained, without
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, chance: float = 0.9999) -> DataFrame:
@@ -24,7 +23,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, chance: float = 0.9999) -> DataFrame:
-    """``docs`` without the documents that hold a test item.  Rows that share a doc_id go together."""
-    hit = contamination(docs, benchmark, threshold, chance).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(hit, "__id", "left_anti").drop("__id")
+    """``docs`` (any columns; text) without the rows that hold a test item.  Rows are filtered where they lie,
+    without a shuffle."""
+    return without(docs, benchmark.select(F.col("item_id").alias("query_id"), "text"), threshold, chance)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from framelake.llm.textops import U64, chunks, mix, pack, ragged, unpack
 
@@ -49,18 +50,20 @@ class Bucket:
     ids: np.ndarray
     buf: np.ndarray
     offs: np.ndarray
+    carried: pa.Table | None = None
 
     @staticmethod
-    def of(payloads: list[bytes]) -> Bucket:
+    def of(payloads: list[bytes], carried: bool = False) -> Bucket:
         parts = [unpack(p) for p in payloads]
         if not parts:
             return Bucket(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        rest = pa.concat_tables([pa.ipc.open_stream(p[3].tobytes()).read_all() for p in parts]) if carried else None
         ids, lengths, buf = (np.concatenate([p[i] for p in parts]) for i in range(3))
         starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         texts = [buf[s : s + n].tobytes() for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
         order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i])), np.int64)
         buf = buf[ragged(starts[order], lengths[order])]
-        return Bucket(ids[order], buf, np.concatenate(([0], np.cumsum(lengths[order]))))
+        return Bucket(ids[order], buf, np.concatenate(([0], np.cumsum(lengths[order]))), rest and rest.take(order))
 
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -75,18 +78,30 @@ def messages(pairs: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([p[0] for p in pairs], pa.int32()), "payload": pa.array([p[1] for p in pairs], pa.binary())})
 
 
-def document_buckets(docs: DataFrame, layout: Layout, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """Texts dealt to document buckets, compressed; null texts are empty."""
+def _stream(batch: pa.RecordBatch) -> np.ndarray:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return np.frombuffer(sink.getvalue(), np.uint8)
+
+
+def document_buckets(docs: DataFrame, layout: Layout, carry: tuple[str, ...] = (), chunk_bytes: int = 4 << 20) -> DataFrame:
+    """Texts dealt to document buckets, compressed; null texts are empty.  ``carry``: columns to take along."""
     n = layout.documents
+    names = [f"__carried_{i}" for i in range(len(carry))]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, chunk_bytes):
             ids = c.batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             lengths = np.diff(c.offs)
-            out = [(b, pack(ids[at], lengths[at], c.buf[ragged(c.offs[at], lengths[at])])) for b, at in by_bucket((mix(ids.view(U64)) % U64(n)).astype(np.int32))]
+            out = []
+            for b, at in by_bucket((mix(ids.view(U64)) % U64(n)).astype(np.int32)):
+                rest = [_stream(c.batch.select(names).take(pa.array(at)))] if names else []
+                out.append((b, pack(ids[at], lengths[at], c.buf[ragged(c.offs[at], lengths[at])], *rest)))
             yield from messages(out).to_batches()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(deal, MESSAGE)
+    rest = [F.col(f"`{c}`").alias(a) for c, a in zip(carry, names, strict=True)]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *rest).mapInArrow(deal, MESSAGE)
 
 
 def send(buckets: DataFrame, step: Callable[[int, Bucket], list[tuple[int, bytes]]]) -> DataFrame:
@@ -107,10 +122,10 @@ def answer(sent: DataFrame, step: Callable[[list[bytes]], list[tuple[int, bytes]
     return sent.groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
-def meet(buckets: DataFrame, answers: DataFrame, step: Callable[[int, Bucket, list[bytes]], pa.Table], schema: str) -> DataFrame:
-    """Documents with the answers to their bucket."""
+def meet(buckets: DataFrame, answers: DataFrame, step: Callable[[int, Bucket, list[bytes]], pa.Table], schema: str | StructType, carried: bool = False) -> DataFrame:
+    """Documents with the answers to their bucket.  ``carried``: the step wants the carried columns."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return step(key[0].as_py(), Bucket.of(left.column("payload").to_pylist()), right.column("payload").to_pylist())
+        return step(key[0].as_py(), Bucket.of(left.column("payload").to_pylist(), carried), right.column("payload").to_pylist())
 
     return buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.block_dedup import block_dedup
+from framelake.llm import chat
 from framelake.llm.decontaminate import contamination
 from framelake.llm.fingerprint import fingerprints
 from framelake.llm.language_id import language_id
@@ -25,6 +26,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op3_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8)
 
@@ -60,7 +65,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontamination, op3_probminhash_dedup, op4_block_dedup, op5_sentencepiece, op6_language_id, op7_fingerprints, op8_toxicity, op9_suffix_dedup, op10_license_scan)
+    every = (op1_decontamination, op2_perspectives, op3_probminhash_dedup, op4_block_dedup, op5_sentencepiece, op6_language_id, op7_fingerprints, op8_toxicity, op9_suffix_dedup, op10_license_scan)
     return {f.__name__: f for f in every}
 
 
@@ -90,5 +95,6 @@ def oracle_sql() -> dict[str, str]:
     notices = ", ".join(f"({i}::BIGINT, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(NOTICES))
     return {
         "op1_decontamination": _containment_sql("SELECT item_id, text FROM benchmark", "item_id", "n_item"),
+        "op2_perspectives": chat.oracle(),
         "op10_license_scan": _containment_sql(f"SELECT * FROM (VALUES {notices}) t(template_id, license, text)", "template_id", "n_template", ", license"),
     }

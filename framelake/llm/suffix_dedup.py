@@ -29,13 +29,14 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from framelake.llm.exchange import MESSAGE, NULL_ID, Bucket, Layout, answer, by_bucket, document_buckets, meet, messages, send
 from framelake.llm.textops import U64, byte_span_hashes, group_starts, mix, pack, ragged, unpack
 
 GRAM = 24
 ABSENT = 0xFF  # never a byte of UTF-8
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text binary"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def fragments(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,16 +113,18 @@ def _columns(rows: int, count: int, memory_bytes: int) -> np.ndarray:
     return out
 
 
-def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20, layout: Layout | None = None, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20, layout: Layout | None = None, texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): what is removed and what is kept.
 
-    ``texts``: also return the kept bytes and the text's bytes; otherwise these columns are null.
+    ``texts``: also return the kept bytes; otherwise that column is null.  ``carry``: columns of
+    ``docs`` to return as ``in_<name>``.
     """
     if not GRAM < width < 139:
         raise ValueError(f"width must be over {GRAM} and under 139")
     layout = layout or Layout.of(docs)
     lead, depth = width - GRAM, 2 * width - GRAM
-    buckets = document_buckets(docs, layout)
+    buckets = document_buckets(docs, layout, carry)
+    schema = StructType([*_parse_datatype_string(SCHEMA).fields, *[StructField(f"in_{c}", docs.schema[c].dataType) for c in carry]])
 
     def distinct(b: Bucket):
         start, windows, left, doc, grams = fragments(b.buf, b.offs, width)
@@ -220,20 +223,22 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
         rises = gone & (first[:-1] | ~np.concatenate(([False], gone[:-1]))) if len(buf) else gone
         total, spans = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(rises)))
         removed, runs = total[b.offs[1:]] - total[b.offs[:-1]], spans[b.offs[1:]] - spans[b.offs[:-1]]
-        sha, kept, whole = [], [], []
+        sha, kept = [], []
         for i in range(n):
             text = buf[b.offs[i] : b.offs[i + 1]]
             left_over = (text if not removed[i] else text[~gone[b.offs[i] : b.offs[i + 1]]]).tobytes()
             sha.append(hashlib.sha256(left_over).hexdigest())
             kept.append(left_over if texts else None)
-            whole.append(text.tobytes() if texts else None)
-        return pa.table(
+        out = pa.table(
             {
                 "doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == NULL_ID), "n_bytes": pa.array(np.diff(b.offs), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()),
-                "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()), "text": pa.array(whole, pa.binary()),
+                "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()),
             }
         )
+        for i, c in enumerate(carry):
+            out = out.append_column(f"in_{c}", b.carried.column(i) if n else pa.nulls(0))
+        return out
 
     known = answer(send(buckets, anchors), shared)
     found = answer(meet(buckets, known, candidates, MESSAGE), compare)
-    return meet(buckets, found, finish, SCHEMA)
+    return meet(buckets, found, finish, schema, bool(carry))
