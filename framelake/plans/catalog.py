@@ -1,27 +1,287 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered log queries and their DuckDB counterparts.
+
+Fixtures come from ``events``: ``seq`` is event_id + 1, seven events make a transaction, the
+payload is ``props``.  Where a query needs a schema or a damaged log, its few rows are stated here.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.functions import codec
+from framelake.functions.schema import DataType, Schema, SchemaError, layout_table, width_expr
+from framelake.operators import index, log
+
+SCHEMAS = (
+    ("person", '{"name": {"first": "String 64", "last": "String? 64"}, "id": "Int"}'),
+    ("account", '{"firstName": "String 50", "userId": "Int", "ok": "Bool", "ratio": "Float", "data": "Blob 12"}'),
+    ("optional", '{"a": "Int?", "b": "Bool?", "c": "String? 50", "d": "String 50"}'),
+    ("levels", '{"a": {"z": "Int"}, "a-b": "Bool", "A": {"y": {"x": "Float?"}}}'),
+)
+DECLARATIONS = ("Int", "int", "INT?", "Int 64", "Int ?", "Int??", "?", "", "TimeStamp", "String", "String?", "String 0", "String -5", "String x", "String 5 6", "String? 50", "String 50?", "String +5", "String 4294967296", "Float", "Bool?", "Blob 12")
+WATERMARK = 50_000
+GROUP_CAP = 4096
+DAMAGED_TXN = 700
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log's records: dense sequence numbers, seven to a transaction, ``props`` as payload."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select((F.col("event_id") + 1).alias("seq"), F.expr("event_id div 7").alias("txn"), (21 + F.octet_length("props")).cast("long").alias("rec_len"))
+    """The event log's records."""
+    e = _events(spark, sf_dir)
+    return e.select((F.col("event_id") + 1).alias("seq"), F.expr("event_id div 7").alias("txn"), log.record_size(F.col("props")).alias("rec_len"), "event_type", F.expr("event_id % 3 + 1").alias("schema_seq"), "props")
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.frame_layout(log.txn_summary(_records(spark, sf_dir)), "txn")
+
+
+def schema_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for text in DECLARATIONS:
+        try:
+            t = DataType.parse(text)
+            rows.append((text, t.name, t.size, t.nullable, t.width, None))
+        except SchemaError as e:
+            rows.append((text, None, None, None, None, type(e).__name__))
+    return spark.createDataFrame(rows, "declaration string, type string, size bigint, nullable boolean, width bigint, error string")
+
+
+def _fields(spark: SparkSession) -> DataFrame:
+    return layout_table(spark, [Schema.from_json(n, d) for n, d in SCHEMAS])
+
+
+def schema_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark).select("schema", "ord", "name", "type", "nullable")
+
+
+def schema_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths by the column rule, which must be the parser's."""
+    return _fields(spark).withColumn("width", width_expr(F.col("type"), F.col("size"), F.col("nullable"))).select("schema", "name", "size", "width", "offset")
+
+
+def record_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("seq", "rec_len")
+
+
+def record_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which payloads would fit if each were repeated to about 4 MiB."""
+    e = _events(spark, sf_dir)
+    size = (21 + F.octet_length("props") * (F.lit(4194283) / 10 + F.col("event_id") % 3)).cast("long")
+    return e.select((F.col("event_id") + 1).alias("seq"), size.alias("rec_len")).withColumn("fits", F.col("rec_len") <= codec.RECORD_MAX)
+
+
+def record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded by batches, decoded one by one."""
+    source = _records(spark, sf_dir).select("seq", "schema_seq", F.col("props").cast("binary").alias("payload"))
+
+    def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            encoded = codec.encode_column(b.column("seq"), b.column("schema_seq"), b.column("payload"))
+            records = [codec.Record.decode(x.as_py()) for x in encoded]
+            yield pa.RecordBatch.from_arrays([pa.array([r.seq for r in records], pa.int64()), pa.array([r.schema_seq for r in records], pa.int64()), pa.array([r.payload.decode() for r in records]), pa.array([r.size for r in records], pa.int64())], names=["seq", "schema_seq", "payload", "rec_len"])
+
+    return source.mapInArrow(there_and_back, "seq long, schema_seq long, payload string, rec_len long")
 
 
 def txn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame_len = (24 + F.sum("rec_len")).cast("long")
-    return _records(spark, sf_dir).groupBy("txn").agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.count("*").alias("n_records"), frame_len.alias("frame_len"))
+    return log.txn_summary(_records(spark, sf_dir))
+
+
+def txn_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.txn_columns(_records(spark, sf_dir)).select("seq", "txn", "txn_id", "txn_cnt")
+
+
+def frame_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(spark, sf_dir).select("txn", "frame_off", "frame_len", "min_seq", "max_seq")
+
+
+def frame_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames sealed from whole transactions and decoded again, every tenth with one bit flipped."""
+    txns = _records(spark, sf_dir).select("txn", "seq", "schema_seq", F.col("props").cast("binary").alias("payload"))
+
+    def seal(table: pa.Table) -> pa.Table:
+        rows = sorted(table.select(["seq", "schema_seq", "payload"]).to_pylist(), key=lambda r: r["seq"])
+        frame = bytearray(codec.seal([codec.Record(r["seq"], r["schema_seq"], r["payload"]) for r in rows]))
+        txn = table.column("txn")[0].as_py()
+        if txn % 10 == 9:
+            frame[len(frame) // 2] ^= 1
+        try:
+            decoded = codec.Frame.decode(bytes(frame))
+            state, low, high = "ok", decoded.min_seq, decoded.max_seq
+        except codec.CodecError as e:
+            state, low, high = type(e).__name__, None, None
+        return pa.table({"txn": pa.array([txn], pa.int64()), "frame_len": pa.array([len(frame)], pa.int64()), "state": [state], "min_seq": pa.array([low], pa.int64()), "max_seq": pa.array([high], pa.int64())})
+
+    return txns.groupBy("txn").applyInArrow(seal, "txn long, frame_len long, state string, min_seq long, max_seq long")
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(spark, sf_dir).withColumn("max_seq", F.when(F.col("txn") == DAMAGED_TXN, F.lit(5)).otherwise(F.col("max_seq")))
+
+
+def scan_valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.scan_valid_prefix(_damaged(spark, sf_dir), order="txn").select("txn", "frame_off", "frame_len", "max_seq")
+
+
+def scan_valid_prefix_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the least numbers as key, the same damage goes unnoticed."""
+    return log.scan_valid_prefix(_damaged(spark, sf_dir), "min_seq", order="txn").select("txn", "frame_off", "frame_len", "max_seq")
+
+
+def scan_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = log.scan_valid_prefix(_damaged(spark, sf_dir), order="txn", diagnostics=True)
+    return judged.groupBy("scanned", "stop_reason").agg(F.count("*").alias("n_frames"), F.min("txn").alias("first_txn"))
+
+
+def visible_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.visible(_frames(spark, sf_dir), WATERMARK).select("txn", "frame_off", "frame_len")
+
+
+def visible_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fenced reads of 1,000 bytes at the frames' starts return."""
+    return _frames(spark, sf_dir).select("txn", log.visible_read_length(F.col("frame_off"), F.lit(1000), WATERMARK).alias("n_read"))
+
+
+def truncate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.log_stats(log.truncate(_frames(spark, sf_dir), WATERMARK))
+
+
+def log_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.log_stats(_frames(spark, sf_dir))
+
+
+def read_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return e.select("event_id", log.read_at(F.col("props"), 3, 5).alias("piece"), log.read_at(F.col("props"), 1000, 5).alias("beyond"))
+
+
+def assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in the order of event_id for purchases only, going on after 1,000."""
+    e = _events(spark, sf_dir).where(F.col("event_id") % 3 == 0)
+    return log.assign_seq(e.select("event_id"), "event_id", 1000)
+
+
+def append_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends of half the events each, resumed, as the committed log's statistics."""
+    e = _events(spark, sf_dir).select("event_id", log.record_size(F.col("props")).alias("rec_len"))
+    half = e.select(F.max("event_id")).first()[0] // 2
+    first = log.assign_seq(e.where(F.col("event_id") <= half), "event_id")
+    last = first.agg(F.max("seq")).first()[0] or 0
+    second = log.assign_seq(e.where(F.col("event_id") > half), "event_id", last)
+    both = first.withColumn("batch", F.lit(1)).unionByName(second.withColumn("batch", F.lit(2)))
+    return both.groupBy("batch").agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.sum("rec_len").cast("long").alias("n_bytes"))
+
+
+def group_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saturated packing, one log per event type."""
+    packed = log.group_commit(_records(spark, sf_dir).select(F.col("event_type").alias("log"), "seq", "rec_len"), GROUP_CAP)
+    return log.sealed(packed)
+
+
+def schema_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = spark.createDataFrame([(1, "person", 0), (2, "account", 0)], "schema_seq long, schema string, version int")
+    return index.schema_resolve(_records(spark, sf_dir).select("seq", "schema_seq"), schemas).select("seq", "schema_seq", "schema", "version")
+
+
+def index_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.index_bucket(_records(spark, sf_dir), F.col("event_type"), "event_type")
+
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.search(index.index_entries(_records(spark, sf_dir), F.col("event_type")), "purchase")
+
+
+def seq_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.seq_lookup(_records(spark, sf_dir), [1, 500, 10_000, 10_001]).select("seq", "txn", "props")
+
+
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sealed logs that overlap, the later one with a column more."""
+    r = _records(spark, sf_dir)
+    n = 600
+    return index.compact([r.where(F.col("seq") <= n).select("seq", "rec_len"), r.where(F.col("seq") > n // 2).select("seq", "rec_len", "event_type").where(F.col("seq") > n)]).select("seq", "rec_len", "event_type")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"txn_summary": txn_summary}
+    every = (
+        schema_types, schema_flatten, schema_layout, record_size, record_limit, record_roundtrip, txn_summary, txn_columns, frame_layout, frame_verify, scan_valid_prefix, scan_valid_prefix_min, scan_diagnostics,
+        visible_read, visible_bytes, truncate_log, log_stats, read_at, assign_seq, append_commit, group_commit, schema_resolve, index_bucket, index_search, seq_lookup, compact,
+    )
+    return {f.__name__: f for f in every}
+
+
+_R = "r AS (SELECT event_id + 1 AS seq, event_id // 7 AS txn, 21 + octet_length(encode(props)) AS rec_len, event_type, event_id % 3 + 1 AS schema_seq, props FROM events)"
+_T = f"{_R}, t AS (SELECT txn, min(seq) AS min_seq, max(seq) AS max_seq, count(*) AS n_records, (24 + sum(rec_len))::BIGINT AS frame_len FROM r GROUP BY txn)"
+_FRAMES = f"{_T}, f AS (SELECT *, coalesce(sum(frame_len) OVER (ORDER BY txn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS frame_off FROM t)"
+_DAMAGED = f"{_FRAMES}, d AS (SELECT txn, frame_off, frame_len, min_seq, CASE WHEN txn = {DAMAGED_TXN} THEN 5 ELSE max_seq END AS max_seq FROM f)"
+
+
+def _prefix(key: str) -> str:
+    return f"{_DAMAGED}, k AS (SELECT *, {key} > coalesce(lag({key}) OVER (ORDER BY txn), 0) AS ok FROM d), p AS (SELECT *, bool_and(ok) OVER (ORDER BY txn ROWS UNBOUNDED PRECEDING) AS scanned FROM k)"
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    def one(v: object) -> str:
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({columns})"
+
+
+# What the schemas and declarations above must give: stated here, not computed by the parser.
+_LAYOUT = [
+    ("person", 0, "id", "Int", 8, False), ("person", 1, "name.first", "String", 64, False), ("person", 2, "name.last", "String", 64, True),
+    ("account", 0, "data", "Blob", 12, False), ("account", 1, "firstName", "String", 50, False), ("account", 2, "ok", "Bool", 1, False), ("account", 3, "ratio", "Float", 8, False), ("account", 4, "userId", "Int", 8, False),
+    ("optional", 0, "a", "Int", 8, True), ("optional", 1, "b", "Bool", 1, True), ("optional", 2, "c", "String", 50, True), ("optional", 3, "d", "String", 50, False),
+    ("levels", 0, "A.y.x", "Float", 8, True), ("levels", 1, "a.z", "Int", 8, False), ("levels", 2, "a-b", "Bool", 1, False),
+]
+_PARSED = [
+    ("Int", "Int", 8, False, 8, None), ("int", "Int", 8, False, 8, None), ("INT?", "Int", 8, True, 9, None), ("Int 64", None, None, None, None, "UnexpectedSize"), ("Int ?", None, None, None, None, "UnexpectedSize"),
+    ("Int??", None, None, None, None, "UnknownType"), ("?", None, None, None, None, "UnknownType"), ("", None, None, None, None, "UnknownType"), ("TimeStamp", None, None, None, None, "UnknownType"),
+    ("String", None, None, None, None, "MissingSize"), ("String?", None, None, None, None, "MissingSize"), ("String 0", None, None, None, None, "InvalidSize"), ("String -5", None, None, None, None, "InvalidSize"),
+    ("String x", None, None, None, None, "InvalidSize"), ("String 5 6", None, None, None, None, "InvalidSize"), ("String? 50", "String", 50, True, 55, None), ("String 50?", None, None, None, None, "InvalidSize"),
+    ("String +5", "String", 5, False, 10, None), ("String 4294967296", None, None, None, None, "InvalidSize"), ("Float", "Float", 8, False, 8, None), ("Bool?", "Bool", 1, True, 2, None), ("Blob 12", "Blob", 12, False, 17, None),
+]
+_FIELDS = _values(_LAYOUT, "schema, ord, name, type, size, nullable")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    width = "CASE WHEN type IN ('String', 'Blob') THEN 5 + size ELSE size + nullable::INT END"
+    cap = GROUP_CAP
+    return {
+        "schema_types": f"SELECT declaration, type, size::BIGINT AS size, nullable::BOOLEAN AS nullable, width::BIGINT AS width, error FROM {_values(_PARSED, 'declaration, type, size, nullable, width, error')}",
+        "schema_flatten": f"SELECT schema, ord, name, type, nullable FROM {_FIELDS}",
+        "schema_layout": f"SELECT schema, name, size::BIGINT AS size, ({width})::BIGINT AS width, coalesce(sum({width}) OVER (PARTITION BY schema ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM {_FIELDS}",
+        "record_size": f"WITH {_R} SELECT seq, rec_len FROM r",
+        "record_limit": "SELECT event_id + 1 AS seq, trunc(21 + octet_length(encode(props)) * (4194283 / 10.0::DOUBLE + event_id % 3))::BIGINT AS rec_len, rec_len <= 4194304 AS fits FROM events",
+        "record_roundtrip": f"WITH {_R} SELECT seq, schema_seq, props AS payload, rec_len FROM r",
+        "txn_summary": f"WITH {_T} SELECT txn, min_seq, max_seq, n_records, frame_len FROM t",
+        "txn_columns": f"WITH {_R} SELECT seq, txn, min(seq) OVER (PARTITION BY txn) AS txn_id, count(*) OVER (PARTITION BY txn) AS txn_cnt FROM r",
+        "frame_layout": f"WITH {_FRAMES} SELECT txn, frame_off, frame_len, min_seq, max_seq FROM f",
+        "frame_verify": f"WITH {_T} SELECT txn, frame_len, CASE WHEN txn % 10 = 9 THEN 'InvalidData' ELSE 'ok' END AS state, CASE WHEN txn % 10 <> 9 THEN min_seq END AS min_seq, CASE WHEN txn % 10 <> 9 THEN max_seq END AS max_seq FROM t",
+        "scan_valid_prefix": f"WITH {_prefix('max_seq')} SELECT txn, frame_off, frame_len, max_seq FROM p WHERE scanned",
+        "scan_valid_prefix_min": f"WITH {_prefix('min_seq')} SELECT txn, frame_off, frame_len, max_seq FROM p WHERE scanned",
+        "scan_diagnostics": f"WITH {_prefix('max_seq')} SELECT scanned, CASE WHEN NOT ok THEN 'order' END AS stop_reason, count(*) AS n_frames, min(txn) AS first_txn FROM p GROUP BY ALL",
+        "visible_read": f"WITH {_FRAMES} SELECT txn, frame_off, frame_len FROM f WHERE frame_off + frame_len <= {WATERMARK}",
+        "visible_bytes": f"WITH {_FRAMES} SELECT txn, greatest(0, least(1000, {WATERMARK} - frame_off))::BIGINT AS n_read FROM f",
+        "truncate_log": f"WITH {_FRAMES} SELECT count(*) AS n_frames, coalesce(sum(frame_len), 0)::BIGINT AS pos, max(max_seq) AS last_seq FROM f WHERE frame_off + frame_len <= {WATERMARK}",
+        "log_stats": f"WITH {_T} SELECT count(*) AS n_frames, sum(frame_len)::BIGINT AS pos, max(max_seq) AS last_seq FROM t",
+        "read_at": "SELECT event_id, substr(props, 4, 5) AS piece, substr(props, 1001, 5) AS beyond FROM events",
+        "assign_seq": "SELECT event_id, 1000 + row_number() OVER (ORDER BY event_id) AS seq FROM events WHERE event_id % 3 = 0",
+        "append_commit": "WITH m AS (SELECT max(event_id) // 2 AS half FROM events) SELECT CASE WHEN event_id <= half THEN 1 ELSE 2 END AS batch, min(event_id) + 1 AS min_seq, max(event_id) + 1 AS max_seq, sum(21 + octet_length(encode(props)))::BIGINT AS n_bytes FROM events, m GROUP BY 1",
+        "group_commit": f"""WITH RECURSIVE {_R}, n AS (SELECT event_type AS log, seq, rec_len, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS i FROM r),
+w AS (SELECT log, seq, rec_len, i, 0::BIGINT AS frame_no, 20 + rec_len AS fill FROM n WHERE i = 1
+UNION ALL SELECT n.log, n.seq, n.rec_len, n.i, w.frame_no + CASE WHEN w.fill >= {cap} THEN 1 ELSE 0 END, CASE WHEN w.fill >= {cap} THEN 20 ELSE w.fill END + n.rec_len FROM w JOIN n ON n.log = w.log AND n.i = w.i + 1)
+SELECT log, frame_no, min(seq) AS min_seq, max(seq) AS max_seq, count(*) AS n_appends, (sum(rec_len) + 24)::BIGINT AS frame_len FROM w GROUP BY 1, 2""",
+        "schema_resolve": f"WITH {_R} SELECT seq, schema_seq, schema, version FROM r LEFT JOIN (VALUES (1, 'person', 0), (2, 'account', 0)) s(schema_seq, schema, version) USING (schema_seq)",
+        "index_bucket": f"WITH {_R} SELECT event_type, count(*) AS n_seq, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY 1",
+        "index_search": f"WITH {_R} SELECT seq FROM r WHERE event_type = 'purchase'",
+        "seq_lookup": f"WITH {_R} SELECT seq, txn, props FROM r WHERE seq IN (1, 500, 10000, 10001)",
+        "compact": f"WITH {_R} SELECT seq, rec_len, CASE WHEN seq > 600 THEN event_type END AS event_type FROM r",
+    }
