@@ -25,6 +25,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +70,7 @@ def frame_rows(name: str, read, options: dict) -> Iterator[tuple]:
     fence = options.get("visible_to")
     for i, (at, frame, why) in enumerate(scan(read, options.get("scan_key", "max_seq"), int(fence) if fence else None)):
         if frame:
-            yield name, i, at, frame.length, frame.min_seq, frame.max_seq, frame.crc, sum(1 for _ in frame.records()), None
+            yield name, i, at, frame.length, Decimal(frame.min_seq), Decimal(frame.max_seq), frame.crc, sum(1 for _ in frame.records()), None
         elif options.get("diagnostics", "false").lower() == "true":
             yield name, i, at, None, None, None, None, None, why
 
@@ -79,7 +80,7 @@ def record_rows(name: str, read, options: dict, keep=lambda seq: True) -> Iterat
     for i, (at, frame, _) in enumerate(scan(read, options.get("scan_key", "max_seq"), int(fence) if fence else None)):
         for _, r in frame.records() if frame else ():
             if keep(r.seq):
-                yield name, i, at, r.seq, r.schema_seq, r.payload
+                yield name, i, at, Decimal(r.seq), Decimal(r.schema_seq), r.payload
 
 
 def _opener(path: str):
@@ -223,9 +224,9 @@ class StreamReader(SimpleDataSourceStreamReader):
         return {"files": 0}
 
     def _rows(self, files: list[str]) -> Iterator[tuple]:
+        """An iterator that Spark can copy, which it does to replay a batch."""
         rows = frame_rows if self.options.get("level", "records") == "frames" else record_rows
-        for p in files:
-            yield from rows(os.path.basename(p), _opener(p), self.options)
+        return iter([r for p in files for r in rows(os.path.basename(p), _opener(p), self.options)])
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         files = committed(self.path)[start["files"] : start["files"] + self.most]
@@ -268,7 +269,7 @@ def read_log(spark: SparkSession, path: str, level: str = "records", **options:
                 data = memoryview(content.as_buffer())
                 got = list(rows(name, lambda at, n, d=data: bytes(d[at : at + n]), options))
                 if got:
-                    columns = [pa.array([_exact(v, f.type) for v in c], f.type) for c, f in zip(zip(*got, strict=True), arrow, strict=True)]
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), arrow, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     from pyspark.sql.types import _parse_datatype_string
@@ -278,11 +279,5 @@ def read_log(spark: SparkSession, path: str, level: str = "records", **options:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(parse, spark_schema)
 
 
-def _exact(value: object, kind: pa.DataType) -> object:
-    from decimal import Decimal
-
-    return Decimal(value) if pa.types.is_decimal(kind) and value is not None else value
-
-
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FrameLog)

@@ -1,0 +1,107 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from framelake.functions.codec import Record, seal
+from framelake.sources.framelog import committed, read_log, register
+from framelake.streaming import ingest
+
+
+@pytest.fixture(autouse=True)
+def source(spark):
+    register(spark)
+
+
+def log_file(folder, *frames, cut=0, flip=None):
+    data = bytearray(b"".join(seal([Record(s, 1, b"p%d" % s) for s in f]) for f in frames))
+    if flip is not None:
+        data[flip] ^= 4
+    path = os.path.join(folder, "log.flog")
+    with open(path, "wb") as f:
+        f.write(data[: len(data) - cut])
+    return path
+
+
+def seqs(df):
+    return sorted(int(r.seq) for r in df.collect())
+
+
+CASES = [
+    (dict(), [[1, 2], [3]], [1, 2, 3]),
+    (dict(cut=1), [[1, 2], [3]], [1, 2]),
+    (dict(flip=30), [[1, 2], [3]], []),
+    (dict(flip=100), [[1, 2], [3, 4], [5]], [1, 2]),
+    (dict(), [[1, 2], [1, 2]], [1, 2]),
+    (dict(), [], []),
+]
+
+
+@pytest.mark.parametrize(("damage", "frames", "want"), CASES)
+def test_scan(spark, tmp_path, damage, frames, want):
+    path = log_file(tmp_path, *frames, **damage)
+    assert seqs(spark.read.format("framelog").load(str(tmp_path))) == want
+    assert seqs(spark.read.format("framelog").load(path)) == want
+    assert seqs(read_log(spark, path)) == want
+
+
+def test_options(spark, tmp_path):
+    log_file(tmp_path, [1, 9], [2, 5], [3])
+    reader = lambda **o: spark.read.format("framelog").options(**o).load(str(tmp_path))
+    assert seqs(reader()) == [1, 9]
+    assert seqs(reader(scan_key="min_seq")) == [1, 2, 3, 5, 9]
+    assert seqs(reader(scan_key="min_seq", visible_to="140")) == [1, 2, 5, 9]
+    assert seqs(reader(scan_key="min_seq", push="true").where("seq > 2 and seq <= 5")) == [3, 5]
+    frames = reader(level="frames", diagnostics="true").orderBy("frame_off").collect()
+    assert [(f.frame_off, f.n_records) for f in frames[:1]] == [(0, 2)]
+    assert frames[1].stop_reason == "order: 5 after 9"
+
+
+def test_a_frame_over_the_record_limit_is_read(spark, tmp_path):
+    with open(tmp_path / "log.flog", "wb") as f:
+        f.write(seal([Record(i, 1, bytes(3_000_000)) for i in (1, 2, 3)]))
+    assert seqs(spark.read.format("framelog").load(str(tmp_path)).select("seq")) == [1, 2, 3]
+
+
+def test_write_is_all_or_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.range(1, 101).select(F.col("id").alias("seq"), F.lit(1).alias("schema_seq"), F.encode(F.col("id").cast("string"), "utf-8").alias("payload"))
+    df.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.format("framelog").option("group_bytes", "200").mode("append").save(path)
+    got = spark.read.format("framelog").load(path)
+    assert sorted((int(r.seq), bytes(r.payload).decode()) for r in got.collect()) == [(i, str(i)) for i in range(1, 101)]
+    with open(os.path.join(path, "staged-lost-task.flog"), "wb") as f:
+        f.write(seal([Record(500, 1, b"")]))
+    broken = df.withColumn("payload", F.when(F.col("seq") == 50, F.raise_error(F.lit("no"))).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="no"):
+        broken.write.format("framelog").mode("append").save(path)
+    assert spark.read.format("framelog").load(path).count() == 100
+    df.limit(1).write.format("framelog").mode("overwrite").save(path)
+    assert spark.read.format("framelog").load(path).count() == 1
+
+
+def test_appends_resume(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.range(20).select("id", F.encode(F.lit("x"), "utf-8").alias("payload"))
+    assert ingest.append(df, path, "id") == (1, 20)
+    assert ingest.append(df.limit(5), path, "id") == (21, 25)
+    assert ingest.append(df.limit(0), path, "id") is None
+    assert seqs(spark.read.format("framelog").load(path)) == list(range(1, 26))
+    assert len(committed(path)) >= 2
+
+
+def test_streams(spark, tmp_path):
+    source, path, mark = (str(tmp_path / n) for n in ("in", "log", "mark"))
+    make = lambda lo, hi: spark.range(lo, hi).select("id", F.encode(F.col("id").cast("string"), "utf-8").alias("payload")).coalesce(1).write.mode("append").parquet(source)
+    make(0, 10)
+    stream = lambda: spark.readStream.schema("id long, payload binary").parquet(source)
+    ingest.ingest(stream(), path, "id", mark).awaitTermination()
+    make(10, 15)
+    ingest.ingest(stream(), path, "id", mark).awaitTermination()
+    assert seqs(spark.read.format("framelog").load(path)) == list(range(1, 16))
+    query = ingest.follow(spark, path).writeStream.format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "mark2")).start()
+    query.processAllAvailable()
+    make(15, 18)
+    ingest.ingest(stream(), path, "id", mark).awaitTermination()
+    query.processAllAvailable()
+    query.stop()
+    assert seqs(spark.table("followed")) == list(range(1, 19))
