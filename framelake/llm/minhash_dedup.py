@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     slots = signed.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
     leads = slots.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("band", "lead")
     ties = slots.join(leads, "band").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    groups = cut(components(ties).withColumnRenamed("node", "doc_id").withColumnRenamed("label", "grp"))
+    groups = cut(_groups(ties))
     sizes = groups.groupBy("grp").count().where(F.col("count") > block).select("grp", F.ceil(F.col("count") / block).alias("blocks"))
     placed = groups.join(sizes, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     large = sizes.limit(1).count() > 0
@@ -219,6 +219,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     return whole.select(null("doc_id"), null("class_id"))
 
 
+def _groups(ties: DataFrame) -> DataFrame:
+    """(doc_id, grp) from ties (a, b) of documents to the least members of their bands.
+
+    A document has at most one tie per band.  It follows the least of its leads; that this lead goes
+    with its others is said once for all documents alike, so the graph to settle is that of leads.
+    """
+    followed = cut(ties.groupBy("a").agg(F.min("b").alias("lead"), F.collect_set("b").alias("leads")))
+    leads = ties.select("b").distinct()
+    own = followed.select("a", "lead").join(leads, F.col("a") == F.col("b"), "left_semi")
+    between = followed.select(F.col("lead").alias("a"), F.explode("leads").alias("b")).where("a <> b").union(own).distinct()
+    settled = components(between)
+    nodes = followed.select(F.col("a").alias("doc_id"), "lead").union(leads.join(followed, leads.b == followed.a, "left_anti").select("b", "b"))
+    return nodes.join(settled, F.col("lead") == F.col("node"), "left").select("doc_id", F.coalesce("label", "lead").alias("grp"))
+
+
 def _across(linked: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float, ambassadors: int) -> DataFrame:
     """Classes of groups that lie in several blocks, joined where a link crosses blocks."""
     split = cut(linked.join(sizes, "grp"))
