@@ -98,13 +98,19 @@ class Model:
         return sigmoid(np.bincount(row, self.weights[at] * value, len(length)) + self.by_length * length + self.bias)
 
 
-def swapped(code: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> list[tuple[int, int]]:
-    """(term present, term that takes its place) for every identity term of every text."""
+def term_features(term: str) -> np.ndarray:
+    """All features that a term's mention gives a text: its word and the word's prefixes."""
+    data = np.frombuffer(term.encode(), np.uint8)
+    return features(Chunk(None, data, np.array([0, len(data)])))[1]
+
+
+def swaps(code: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> list[tuple[str, str, int]]:
+    """(term present, term that takes its place, number of texts) for all identity terms."""
     out = []
     for group in groups:
-        codes = [term_code(t) for t in group]
-        for a in codes:
-            out += [(a, b) for b in codes if b != a] * int((code == U64(a)).sum())
+        for a in group:
+            times = int((code == U64(term_code(a))).sum())
+            out += [(a, b, times) for b in group if b != a and times]
     return out
 
 
@@ -116,24 +122,30 @@ def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], labels: np.nda
     if not n or labels.min() == labels.max():
         return Model(np.zeros(0, U64), np.zeros(0), 0.0, 50.0 if n and labels.any() else -50.0)
     vocabulary, at = np.unique(code, return_inverse=True)
-    place = {int(f): i for i, f in enumerate(vocabulary)}
-    pairs = [(place.get(a, -1), place.get(b, -1)) for a, b in swapped(code, groups)] if strength else []
-    pairs = np.array(pairs, np.int64).reshape(-1, 2)  # -1: a term that no text has; its weight is 0
+    # a swap changes the sum of the weights of one term's features into that of another's
+    pairs = swaps(code, groups) if strength else []
+    terms = sorted({t for a, b, _ in pairs for t in (a, b)})
+    own = [np.flatnonzero(np.isin(vocabulary, term_features(t))) for t in terms]
+    of_term, of_feature = np.repeat(np.arange(len(terms)), [len(f) for f in own]), np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64)
+    left, right = (np.array([terms.index(p[i]) for p in pairs], np.int64) for i in (0, 1))
+    share = np.array([p[2] for p in pairs], float)
+    share /= max(share.sum(), 1)
     rate = labels.mean()
     base = np.log(rate / (1 - rate))
     k = len(vocabulary)
-    w = np.zeros(k + 3)  # features, length, bias, terms no text has
+    w = np.zeros(k + 2)  # features, length, bias
     w[k + 1] = base
     m, v = np.zeros_like(w), np.zeros_like(w)
     middle = length.mean()
     for step in range(1, rounds + 1):  # Adam on full gradients
         error = sigmoid(np.bincount(row, w[at] * value, n) + w[k] * (length - middle) + w[k + 1]) - labels
-        g = np.concatenate((np.bincount(at, error[row] * value, k) / n, [(error * (length - middle)).mean(), error.mean(), 0]))
+        g = np.concatenate((np.bincount(at, error[row] * value, k) / n, [(error * (length - middle)).mean(), error.mean()]))
         g[:k] += decay * w[:k]
-        if len(pairs):
-            change = 2 * strength * (w[pairs[:, 0]] - w[pairs[:, 1]]) / len(pairs)
-            g += np.bincount(pairs[:, 0] % len(w), change, len(w)) - np.bincount(pairs[:, 1] % len(w), change, len(w))
-        g[k + 2] = 0
+        if pairs:
+            term = np.bincount(of_term, w[of_feature], len(terms))
+            change = 2 * strength * share * (term[left] - term[right])
+            pull = np.bincount(left, change, len(terms)) - np.bincount(right, change, len(terms))
+            g[:k] += np.bincount(of_feature, pull[of_term], k)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m / (np.sqrt(v) + 1e-8)
     shift = np.log(odds) - base if odds else 0.0
