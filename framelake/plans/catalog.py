@@ -23,7 +23,7 @@ SCHEMAS = (
     ("levels", '{"a": {"z": "Int"}, "a-b": "Bool", "A": {"y": {"x": "Float?"}}}'),
 )
 DECLARATIONS = ("Int", "int", "INT?", "Int 64", "Int ?", "Int??", "?", "", "TimeStamp", "String", "String?", "String 0", "String -5", "String x", "String 5 6", "String? 50", "String 50?", "String +5", "String 4294967296", "Float", "Bool?", "Blob 12")
-WATERMARK = 50_000
+WATERMARK = 20_000
 GROUP_CAP = 4096
 DAMAGED_TXN = 700
 
