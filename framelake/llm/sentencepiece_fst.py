@@ -25,6 +25,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +152,7 @@ class Normaliser:
 
 
 class Transducer:
-    def __init__(self, model: Model, memory: int = 400_000) -> None:
+    def __init__(self, model: Model, memory: int = 1_000_000) -> None:
         self.model, self.normalise, self.memory = model, Normaliser(model), memory
         self.texts = [p[0] for p in model.pieces]
         self.ids = {t: i for i, (t, _, kind) in enumerate(model.pieces) if kind == NORMAL}
@@ -162,7 +163,7 @@ class Transducer:
         self.bytes = {int(t[3:5], 16): i for i, (t, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.fallback = len(self.bytes) == 256
-        self.control = {i for i, p in enumerate(model.pieces) if p[2] in (CONTROL, UNUSED)}
+        self.written = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if kind in (CONTROL, UNUSED) else " ⁇ ".encode() if kind == UNKNOWN else t.encode() for i, (t, _, kind) in enumerate(model.pieces)]
         # arcs into a state, found by walking back over ends of pieces; -1: an end that is no piece
         self.ends: dict[str, int] = {}
         beside: set[str] = set()
@@ -174,7 +175,8 @@ class Transducer:
         self.beside = beside
         self.edges: dict[tuple[int, bool], list[tuple[float, str]]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.many = len(model.pieces)
         self.cut = self._cutter()
 
     def _cutter(self) -> re.Pattern:
@@ -213,12 +215,12 @@ class Transducer:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the text of a and b gives a and b: no merge across is ever the next one."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a * self.many + b)
         if known is None:
             known = self._compatible(a, b)
-            if len(self.pairs) > 4 * self.memory:
+            if len(self.pairs) > self.memory:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[a * self.many + b] = known
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -246,7 +248,7 @@ class Transducer:
         size = [0] * (n + 1)
         ends, weight = self.ends, self.cost
         if self.model.kind == BPE:  # one path alone is allowed, whatever it costs
-            pairs, compatible = self.pairs, self.compatible
+            pairs, compatible, many = self.pairs, self.compatible, self.many
             for i in range(1, n + 1):
                 arcs = []
                 for k in range(1, i + 1):
@@ -258,7 +260,7 @@ class Transducer:
                 for k, piece in reversed(arcs):
                     before = last[i - k]
                     if before >= 0:
-                        known = pairs.get((before, piece))
+                        known = pairs.get(before * many + piece)
                         if not (compatible(before, piece) if known is None else known):
                             continue
                     elif not self._edge(piece, True):
@@ -311,25 +313,11 @@ class Transducer:
         return known
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        parts, more = self.parts, self.part
-        for p in self.cut.findall(self.normalise(text)):
-            got = parts.get(p)
-            out += more(p) if got is None else got
-        return out
+        known, more = self.parts.get, self.part
+        return list(chain.from_iterable([known(p) or more(p) for p in self.cut.findall(self.normalise(text))]))
 
     def decode(self, ids: list[int]) -> str:
-        byte_of, texts = self.byte_of, self.texts
-        if not byte_of.keys() & set(ids):
-            return self.normalise.back("".join([texts[i] if i != self.unknown else " ⁇ " for i in ids if i not in self.control]))
-        out = bytearray()
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                out.append(b)
-            elif i not in self.control:
-                out += (texts[i] if i != self.unknown else " ⁇ ").encode()
-        return self.normalise.back(out.decode("utf-8", "replace"))
+        return self.normalise.back(b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace"))
 
 
 _compiled: dict[str, Transducer] = {}
