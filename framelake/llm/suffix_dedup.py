@@ -15,7 +15,9 @@ file, which every round reads one stripe of, in order.
 
 Fragments whose anchor occurs in one document only are left out before; that needs a round of
 gram hashes (see exchange.py).  In every document bucket equal fragments count once, with the
-least doc_id, so that copies and common passages are merged before the shuffle.
+least doc_id, so that copies and common passages are merged before the shuffle.  An anchor that
+more than ``hot`` fragments share (a common phrase among ever different neighbours) is dealt by its
+windows instead, each a fragment of its own that goes where its bytes' hash says.
 
 Results: null text: empty. Null doc_id: the largest. Rows that are repeated, or share a doc_id,
 never remove from one another, and each gets a result row of its own. Empty tables give no rows.
@@ -113,7 +115,7 @@ def _columns(rows: int, count: int, memory_bytes: int) -> np.ndarray:
     return out
 
 
-def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20, layout: Layout | None = None, texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20, layout: Layout | None = None, texts: bool = True, carry: tuple[str, ...] = (), hot: int = 20_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): what is removed and what is kept.
 
     ``texts``: also return the kept bytes; otherwise that column is null.  ``carry``: columns of
@@ -126,10 +128,19 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
     buckets = document_buckets(docs, layout, carry)
     schema = StructType([*_parse_datatype_string(SCHEMA).fields, *[StructField(f"in_{c}", docs.schema[c].dataType) for c in carry]])
 
-    def distinct(b: Bucket):
+    def parts_of(b: Bucket, busy: np.ndarray):
+        """The bucket's fragments, those of busy anchors window by window, and a hash of each one's content."""
         start, windows, left, doc, grams = fragments(b.buf, b.offs, width)
+        split = np.isin(grams >> U64(24), busy)
+        if split.any():
+            one, many = np.flatnonzero(~split), np.flatnonzero(split)
+            step = ragged(np.zeros(len(many), np.int64), windows[many])
+            many = np.repeat(many, windows[many])
+            start, left = np.concatenate((start[one], start[many] + step)), np.concatenate((left[one], left[many] - step))
+            windows = np.concatenate((windows[one], np.ones(len(many), np.int64)))
+            doc, grams, split = doc[np.concatenate((one, many))], grams[np.concatenate((one, many))], np.repeat([False, True], [len(one), len(many)])
         content = mix(byte_span_hashes(b.buf, start, start + windows + width - 1) + U64(1000003) * left.astype(U64))
-        return start, windows, left, doc, grams, content
+        return start, windows, left, doc, grams, content, split
 
     def anchors(number: int, b: Bucket) -> list[tuple[int, bytes]]:
         _, _, _, doc, grams = fragments(b.buf, b.offs, width)
@@ -138,46 +149,50 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
         grams, ids = grams[order], ids[order]
         starts = group_starts(grams)
         several = np.maximum.reduceat(ids, starts) != ids[starts] if len(starts) else np.zeros(0, bool)
+        count = np.minimum(np.diff(np.append(starts, len(grams))), 65_535).astype(np.uint16)
         grams = grams[starts]
         out = []
         for to, at in by_bucket((grams % U64(layout.hashes)).astype(np.int32)):
             low = grams[at]
             # 40-bit values in order: differences, split in planes, compress well
             steps = np.diff(low, prepend=U64(0)).astype(np.uint64)
-            out.append((to, pack(np.array([number], np.int32), steps.view(np.uint8).reshape(-1, 8).T[:5].ravel(), several[at])))
+            out.append((to, pack(np.array([number], np.int32), steps.view(np.uint8).reshape(-1, 8).T[:5].ravel(), several[at], count[at])))
         return out
 
     def shared(payloads: list[bytes]) -> list[tuple[int, bytes]]:
         parts = [unpack(p) for p in payloads]
-        grams, froms, many = [], [], []
-        for who, planes, several in parts:
+        grams, froms, many, counts = [], [], [], []
+        for who, planes, several, count in parts:
             raw = np.zeros((len(several), 8), np.uint8)
             raw[:, :5] = planes.reshape(5, -1).T
             grams.append(np.cumsum(raw.view(U64).ravel(), dtype=U64))
             froms.append(np.repeat(who, len(several)))
             many.append(several)
-        grams, froms, many = np.concatenate(grams), np.concatenate(froms), np.concatenate(many)
+            counts.append(count)
+        grams, froms, many, counts = (np.concatenate(x) for x in (grams, froms, many, counts))
         order = np.argsort(grams, kind="stable")
-        grams, froms, many = grams[order], froms[order], many[order]
+        grams, froms, many, counts = grams[order], froms[order], many[order], counts[order].astype(np.int64)
         starts = group_starts(grams)
         size = np.diff(np.append(starts, len(grams)))
         hit = np.repeat((size > 1) | np.logical_or.reduceat(many, starts), size)  # a document lies in one bucket
+        busy = np.repeat(np.add.reduceat(counts, starts) > hot, size)[hit]
         grams, froms = grams[hit], froms[hit]
-        return [(to, pack(grams[at])) for to, at in by_bucket(froms)]
+        return [(to, pack(grams[at], busy[at])) for to, at in by_bucket(froms)]
 
     def candidates(number: int, b: Bucket, answers: list[bytes]) -> pa.Table:
         if not answers or not len(b.ids):
             return messages([])
-        start, windows, left, doc, grams, content = distinct(b)
-        pick = np.flatnonzero(np.isin(grams >> U64(24), np.concatenate([unpack(p)[0] for p in answers])))
+        known, busy = (np.concatenate(x) for x in zip(*map(unpack, answers), strict=True))
+        start, windows, left, doc, grams, content, split = parts_of(b, known[busy])
+        pick = np.flatnonzero(np.isin(grams >> U64(24), known))
         order = pick[np.lexsort((doc[pick], content[pick]))]
         order = order[group_starts(content[order])]  # of equal fragments, the one in the least document
         out = []
-        for to, at in by_bucket((grams[order] % U64(layout.hashes)).astype(np.int32)):
+        for to, at in by_bucket((np.where(split, content, grams)[order] % U64(layout.hashes)).astype(np.int32)):
             f = order[at]
             f = f[np.argsort(grams[f], kind="stable")]
             size = windows[f] + width - 1
-            out.append((to, pack(np.array([number], np.int32), b.ids[doc[f]], content[f], left[f].astype(np.uint8), windows[f].astype(np.uint8), b.buf[ragged(start[f], size)])))
+            out.append((to, pack(np.array([number], np.int32), b.ids[doc[f]], content[f], left[f].astype(np.uint8), windows[f].astype(np.uint8), b.buf[ragged(start[f], size)], np.unique(grams[f[split[f]]] >> U64(24)))))
         return messages(out)
 
     def compare(payloads: list[bytes]) -> list[tuple[int, bytes]]:
@@ -197,16 +212,16 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
         last = some & np.concatenate((least[:, 1:] != least[:, :-1], np.ones((len(ids), 1), bool)), axis=1)
         ends = np.nonzero(last)[1]
         value = least[frag, place]
-        # of no use where the least document is the fragment's own and the bucket's only one: the reader compares
-        return [(to, pack(content[frag[at]], (place[at] - (lead - left[frag[at]])).astype(np.uint8), (ends[at] - place[at] + 1).astype(np.uint8), value[at])) for to, at in by_bucket(froms[frag])]
+        busy = {who: np.unique(np.concatenate([p[6] for p in parts if p[0][0] == who])) for who in {int(p[0][0]) for p in parts}}
+        return [(to, pack(content[frag[at]], (place[at] - (lead - left[frag[at]])).astype(np.uint8), (ends[at] - place[at] + 1).astype(np.uint8), value[at], busy[to])) for to, at in by_bucket(froms[frag])]
 
     def finish(number: int, b: Bucket, answers: list[bytes]) -> pa.Table:
         n, buf = len(b.ids), b.buf
         covered = np.zeros(len(buf) + 1, np.int32)
         if answers and n:
-            start, _, _, doc, _, content = distinct(b)
             parts = [unpack(p) for p in answers]
-            known, skip, count, least = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            known, skip, count, least, busy = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            start, _, _, doc, _, content, _ = parts_of(b, busy)
             order = np.argsort(known, kind="stable")
             known, skip, count, least = known[order], skip[order].astype(np.int64), count[order].astype(np.int64), least[order]
             lo, hi = np.searchsorted(known, content), np.searchsorted(known, content, "right")

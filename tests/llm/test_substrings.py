@@ -60,6 +60,12 @@ def test_suffix_dedup_in_files(docs, rows):
     assert sorted(map(tuple, got.collect()), key=key) == suffix_brute(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 20])
+def test_busy_anchors_are_dealt_by_windows(docs, rows, hot):
+    got = suffix_dedup(docs, layout=LAYOUT, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect()), key=key) == suffix_brute(rows)
+
+
 def test_carried_columns_stay_with_their_rows(docs):
     got = suffix_dedup(docs, layout=LAYOUT, carry=("lang", "n_chars", "payload", "bucket")).collect()
     want = Counter((r.doc_id, len((r.text or "").encode()), r.n_chars, r.payload, r.bucket) for r in docs.collect())
