@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from framelake.llm.textops import U64, chunks, mix, pack, ragged, unpack
+from framelake.llm.textops import U64, chunks, forget, mix, pack, ragged, unpack
 
 MESSAGE = "bucket int, payload binary"
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id counts as the largest
@@ -54,6 +54,7 @@ class Bucket:
 
     @staticmethod
     def of(payloads: list[bytes], carried: bool = False) -> Bucket:
+        forget()
         parts = [unpack(p) for p in payloads]
         if not parts:
             return Bucket(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))

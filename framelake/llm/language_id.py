@@ -28,7 +28,7 @@ from framelake.llm.linear import bounded_sample, fold_case, fold_number, sigmoid
 from framelake.llm.textops import Chunk, chunks, pack, unpack
 
 BITS = 12  # of a feature's number
-CHUNK = 1 << 20
+CHUNK, ROWS = 1 << 20, 256
 UNDETERMINED = "und"
 
 
@@ -126,7 +126,7 @@ def learn(labelled: DataFrame, sample_rows: int = 6000) -> Model:
     sample, _, _ = bounded_sample(known, "lang", max(1, sample_rows // max(n, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, CHUNK):
+        for c in chunks(batches, CHUNK, max_rows=ROWS):
             x, ok = features(c), has_letter(c)
             rows = [pack(np.flatnonzero(r).astype(np.uint16), r[r > 0]) if good else None for r, good in zip(x, ok, strict=True)]
             yield pa.RecordBatch.from_arrays([c.batch.column("lang"), pa.array(rows, pa.binary())], names=["lang", "x"])
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.05) -> DataFrame:
     names = np.array([*model.languages, UNDETERMINED], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, CHUNK):
+        for c in chunks(batches, CHUNK, max_rows=ROWS):
             ok = has_letter(c) & bool(n)
             best, score, near = np.full(len(c), n), np.zeros(len(c)), ~ok
             if ok.any():

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from framelake.llm.textops import on_other_work
+
 SPACE = "▁"
 # Fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -152,7 +154,7 @@ class Normaliser:
 
 
 class Transducer:
-    def __init__(self, model: Model, memory: int = 1_000_000) -> None:
+    def __init__(self, model: Model, memory: int = 600_000) -> None:
         self.model, self.normalise, self.memory = model, Normaliser(model), memory
         self.texts = [p[0] for p in model.pieces]
         self.ids = {t: i for i, (t, _, kind) in enumerate(model.pieces) if kind == NORMAL}
@@ -348,6 +350,7 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model.value)
+        on_other_work(_compiled.clear)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)

@@ -41,9 +41,19 @@ ABSENT = 0xFF  # never a byte of UTF-8
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def fragments(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fragments(buf: np.ndarray, offs: np.ndarray, width: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every fragment: first window's start, number of windows, bytes before the anchor,
-    document, hash of the anchor."""
+    document, hash of the anchor.  Documents are gone through about ``block`` bytes at a time."""
+    found, at = [], 0
+    while at < len(offs) - 1 or not found:
+        to = min(max(at + 1, int(np.searchsorted(offs, offs[at] + block, "right")) - 1), len(offs) - 1)
+        start, windows, left, doc, grams = _fragments(buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at], width)
+        found.append((start + offs[at], windows, left, doc + at, grams))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _fragments(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, span = len(buf), width - GRAM + 1  # grams in a window
     lengths = np.diff(offs)
     if not (lengths >= width).any():

@@ -36,7 +36,7 @@ _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         made = []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, U64)
@@ -54,8 +54,40 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+BLOCK = 1 << 20  # bytes gone through at once
+
+
 def byte_span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE_CODES[buf], starts, ends)
+    """Hashes of byte spans, a block of the buffer at a time: a span's hash does not depend on its place."""
+    if len(buf) <= BLOCK or not len(starts):
+        return span_hashes(_BYTE_CODES[buf], starts, ends)
+    order = None if (starts[1:] >= starts[:-1]).all() else np.argsort(starts, kind="stable")
+    s, e = (starts, ends) if order is None else (starts[order], ends[order])
+    out, at = np.empty(len(s), U64), 0
+    while at < len(s):
+        low = int(s[at])
+        to = int(np.searchsorted(s, low + BLOCK))
+        out[at:to] = span_hashes(_BYTE_CODES[buf[low : int(e[at:to].max())]], s[at:to] - low, e[at:to] - low)
+        at = to
+    if order is None:
+        return out
+    back = np.empty(len(s), U64)
+    back[order] = out
+    return back
+
+
+_forgetful: list = []  # what to call when another operator's work begins in this process
+
+
+def on_other_work(forget) -> None:
+    """Have a process-wide memory emptied as soon as the worker turns to another operator."""
+    if forget not in _forgetful:
+        _forgetful.append(forget)
+
+
+def forget() -> None:
+    while _forgetful:
+        _forgetful.pop()()
 
 
 @dataclass
@@ -88,6 +120,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str = "text", max_rows: int = 1 << 15) -> Iterator[Chunk]:
     """Cut Arrow batches into chunks of whole texts."""
+    forget()
     for batch in batches:
         if not batch.num_rows:
             continue
