@@ -91,10 +91,31 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_BLOCK_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT r, i, true AS hit FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+judged AS (SELECT r, i, x, coalesce(i - max(CASE WHEN hit THEN i END) OVER (PARTITION BY r ORDER BY i) < 35, false) AS gone FROM word LEFT JOIN rep USING (r, i)),
+kept AS (SELECT r, count(*) FILTER (gone) AS n, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS k FROM judged GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+_SUFFIX_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+byte AS MATERIALIZED (SELECT r, doc_id, i, CASE WHEN i <= len(x) // 2 - 49 THEN md5(substr(x, 2 * i - 1, 100)) END AS h, substr(x, 2 * i - 1, 2) AS b FROM (SELECT *, unnest(range(1, len(x) // 2 + 1)) AS i FROM d)),
+first AS (SELECT h, min(doc_id) AS least FROM byte WHERE h IS NOT NULL GROUP BY h),
+judged AS (SELECT r, i, b, coalesce(i - max(CASE WHEN least < doc_id THEN i END) OVER (PARTITION BY r ORDER BY i) < 50, false) AS gone FROM byte LEFT JOIN first USING (h)),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS rise FROM judged),
+kept AS (SELECT r, count(*) FILTER (gone) AS n, count(*) FILTER (rise) AS s, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS k FROM edge GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     notices = ", ".join(f"({i}::BIGINT, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(NOTICES))
     return {
         "op1_decontamination": _containment_sql("SELECT item_id, text FROM benchmark", "item_id", "n_item"),
         "op2_perspectives": chat.oracle(),
+        "op4_block_dedup": _BLOCK_SQL,
+        "op9_suffix_dedup": _SUFFIX_SQL,
         "op10_license_scan": _containment_sql(f"SELECT * FROM (VALUES {notices}) t(template_id, license, text)", "template_id", "n_template", ", license"),
     }
