@@ -101,13 +101,13 @@ kept AS (SELECT r, count(*) FILTER (gone) AS n, string_agg(x, ' ' ORDER BY i) FI
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
 
 _SUFFIX_SQL = r"""
-WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-byte AS MATERIALIZED (SELECT r, doc_id, i, CASE WHEN i <= len(x) // 2 - 49 THEN md5(substr(x, 2 * i - 1, 100)) END AS h, substr(x, 2 * i - 1, 2) AS b FROM (SELECT *, unnest(range(1, len(x) // 2 + 1)) AS i FROM d)),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+byte AS MATERIALIZED (SELECT r, doc_id, i, CASE WHEN i <= octet_length(x) - 49 THEN md5(x[i:i + 49]) END AS h, hex(x[i:i]) AS b FROM (SELECT *, unnest(range(1, octet_length(x) + 1)) AS i FROM d)),
 first AS (SELECT h, min(doc_id) AS least FROM byte WHERE h IS NOT NULL GROUP BY h),
 judged AS (SELECT r, i, b, coalesce(i - max(CASE WHEN least < doc_id THEN i END) OVER (PARTITION BY r ORDER BY i) < 50, false) AS gone FROM byte LEFT JOIN first USING (h)),
 edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS rise FROM judged),
 kept AS (SELECT r, count(*) FILTER (gone) AS n, count(*) FILTER (rise) AS s, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS k FROM edge GROUP BY r)
-SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
