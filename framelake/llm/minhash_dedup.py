@@ -20,7 +20,7 @@ and ``ambassadors`` of it, then visit all other blocks of the group; if largest
 apart, all of their members but one class's do.  So no task holds more than a block and visitors.
 
 Results: texts without words are alike only if equal. Null text: empty. Null doc_id: the largest
-id. Rows that share a doc_id are one document. Empty tables give no rows; extra columns do not matter.
+id. Of rows that share a doc_id but not a text, the least text stands for them in verification. Empty tables give no rows; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from framelake.llm.textops import U64, byte_span_hashes, chunks, gram_hashes, gr
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 CHUNK = 2 << 20
+SALTS = 16
 
 
 def weighted_shingles(buf: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,7 +187,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
             yield pa.RecordBatch.from_arrays([c.batch.column("doc_id"), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["doc_id", "h1", "h2", "bands"])
 
     signed = cut(docs.mapInArrow(sign, "doc_id long, h1 long, h2 long, bands array<long>"))
-    copies = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    copies = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     reps = copies.select(F.col("rep").alias("doc_id")).distinct()
     slots = signed.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
     leads = slots.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("band", "lead")
@@ -212,9 +213,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     if large:
         linked = _across(cut(linked), texts, sizes, threshold, ambassadors)
     found = linked.select("doc_id", "class")
-    # copies follow their first; a document that shares its id with another text may have two firsts
-    whole = signed.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).select("doc_id", "rep")
-    whole = whole.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
+    # copies follow their first, found by a salted key, as one text may have any number of them
+    salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt")
+    first = copies.where("n > 1").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    first = first.select("h1", "h2", F.coalesce("class", "rep").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    whole = signed.select("doc_id", "h1", "h2", salt("doc_id")).join(first, ["h1", "h2", "salt"], "left").select("doc_id", "first")
+    whole = whole.join(found, "doc_id", "left").select("doc_id", F.coalesce("first", "class", "doc_id").alias("class_id"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return whole.select(null("doc_id"), null("class_id"))
 
