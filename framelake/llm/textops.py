@@ -7,6 +7,7 @@ longer, so memory does not follow the size of an Arrow batch or of a partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,8 +87,14 @@ def on_other_work(forget) -> None:
 
 
 def forget() -> None:
+    """Empty such memories, and give freed memory back to the machine: workers outlive their tasks."""
     while _forgetful:
         _forgetful.pop()()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 @dataclass
