@@ -8,6 +8,9 @@ Windows without a single shingle of any query cannot collide and are not signed.
 of document and query are then verified exactly: the share of the query's distinct shingles that
 the document has.
 
+Queries under five words have no shingle of five.  With ``short`` each is one shingle of its own
+length, looked up among all the document's runs of that many words.
+
 The queries are held in memory in blocks of a fixed number; each block scans the documents once.
 Texts are compared by words of letters and digits, ASCII and Latin-1 letters in lower case.
 """
@@ -46,12 +49,11 @@ def fold(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, and for each text the number of its first."""
+def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each text the number of its first (one more at the end)."""
     buf = fold(buf)
     starts, ends, first = word_spans(buf, offs)
-    grams, _, run = gram_hashes(byte_span_hashes(buf, starts, ends), first, SHINGLE)
-    return grams, run
+    return byte_span_hashes(buf, starts, ends), first
 
 
 def minhash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -92,10 +94,13 @@ class Index:
     grams: np.ndarray  # distinct shingles of each query
     known: np.ndarray  # all of them, ascending
     partitions: list[Partition]
+    short: list[tuple[int, np.ndarray, np.ndarray]]  # words, shingles in order, and the query of each
 
     @staticmethod
-    def of(ids: np.ndarray, texts: pa.Array, threshold: float, chance: float) -> Index:
-        grams, run = shingles(*text_bytes(texts))
+    def of(ids: np.ndarray, texts: pa.Array, threshold: float, chance: float, short: bool = False) -> Index:
+        hashes, first = words(*text_bytes(texts))
+        grams, _, run = gram_hashes(hashes, first, SHINGLE, short)
+        length = np.diff(first)
         own = [np.unique(grams[a:b]) for a, b in zip(run[:-1], run[1:], strict=True)]
         size = np.array([len(g) for g in own], np.int64)
         cut = np.concatenate(([0], np.cumsum(size)))
@@ -103,7 +108,7 @@ class Index:
         partitions, most = [], 1
         while (size > most // 2).any():
             least = most // 2 + 1
-            members = np.flatnonzero((size >= least) & (size <= most))
+            members = np.flatnonzero((size >= least) & (size <= most) & (length >= SHINGLE))
             if len(members):
                 step = max(1, most // 4)
                 span = (-(-most // step) + 1) * step if most > 1 else 1
@@ -115,11 +120,18 @@ class Index:
                 order = np.argsort(keys.ravel(), kind="stable")
                 partitions.append(Partition(step, span, rows, keys.ravel()[order], query[order]))
             most *= 2
-        return Index(ids, cut, grams, np.unique(grams), partitions)
+        few = []
+        for n in range(1, SHINGLE if short else 1):
+            query = np.flatnonzero(length == n)
+            if len(query):
+                query = query[np.argsort(grams[cut[query]], kind="stable")]
+                few.append((n, grams[cut[query]], query))
+        return Index(ids, cut, grams, np.unique(grams), partitions, few)
 
     def search(self, buf: np.ndarray, offs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text's number, query's number, shared shingles) of the verified matches."""
-        grams, run = shingles(buf, offs)
+        hashes, first = words(buf, offs)
+        grams, _, run = gram_hashes(hashes, first, SHINGLE)
         bits = max(16, int(np.ceil(np.log2(len(self.known) + 1))) + 4)
         table = np.zeros(1 << bits, bool)
         table[self.known >> U64(64 - bits)] = True
@@ -144,7 +156,17 @@ class Index:
         bounds, sorted_grams = np.searchsorted(row[order], np.arange(len(offs))), grams[hit][order]
         shared = np.array([np.isin(self.grams[self.cut[q] : self.cut[q + 1]], sorted_grams[bounds[t] : bounds[t + 1]]).sum() for t, q in pairs.tolist()], np.int64)
         good = shared >= threshold * np.diff(self.cut)[pairs[:, 1]] - 1e-9 if len(pairs) else np.zeros(0, bool)
-        return pairs[good, 0], pairs[good, 1], shared[good]
+        found = [(pairs[good, 0], pairs[good, 1], shared[good]), *(self._short(hashes, first, *s) for s in self.short)]
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+    def _short(self, hashes: np.ndarray, first: np.ndarray, n: int, keys: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the queries of ``n`` words: texts that have the query's one shingle."""
+        grams, _, run = gram_hashes(hashes, first, n)
+        hit = np.flatnonzero(np.isin(grams, keys))
+        lo, hi = np.searchsorted(keys, grams[hit]), np.searchsorted(keys, grams[hit], "right")
+        text = np.searchsorted(run, hit, "right") - 1
+        pairs = np.unique(np.stack([np.repeat(text, hi - lo), query[ragged(lo, hi - lo)]], 1), axis=0)
+        return pairs[:, 0], pairs[:, 1], np.ones(len(pairs), np.int64)
 
 
 def search(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
@@ -160,19 +182,20 @@ def search(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def blocks(queries: DataFrame, threshold: float, chance: float, block: int) -> Iterator[Index]:
+def blocks(queries: DataFrame, threshold: float, chance: float, block: int, short: bool = False) -> Iterator[Index]:
     """Indexes of ``queries`` (query_id, text), about ``block`` at a time: what the driver and a task hold is bounded."""
     queries = queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = max(1, -(-queries.count() // block))
     for i in range(n):
         part = queries.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(n)) == i).orderBy("query_id", "text").toArrow()
-        yield Index.of(part.column("query_id").to_numpy().astype(np.int64), part.column("text"), threshold, chance)
+        yield Index.of(part.column("query_id").to_numpy().astype(np.int64), part.column("text"), threshold, chance, short)
 
 
-def contained(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, block: int = BLOCK) -> DataFrame:
-    """Matches of ``queries`` (query_id, text) in ``docs`` (doc_id, text): one row per pair."""
+def contained(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, block: int = BLOCK, short: bool = False) -> DataFrame:
+    """Matches of ``queries`` (query_id, text) in ``docs`` (doc_id, text): one row per pair.
+    ``short``: those under five words are looked for, too."""
     out = None
-    for index in blocks(queries, threshold, chance, block):
+    for index in blocks(queries, threshold, chance, block, short):
         found = search(docs, index, threshold)
         out = found if out is None else out.unionByName(found)
     return out

@@ -2,10 +2,10 @@
 
 Overlapping windows of every document retrieve templates by MinHash bands, set so that a
 contained template collides with at least the chance asked for; exact containment of the
-template's distinct five-word shingles then verifies each match (containment.py).
+template's distinct five-word shingles then verifies each match (containment.py).  A template of one to
+four words is one shingle of its own length, and found wherever these words stand in a row.
 
-Results: null and empty texts hold nothing.  Templates under five words have no shingles and match
-nothing.  Repeated documents are each scanned; a document has a row for each license.
+Results: null and empty texts hold nothing.  Templates without words match nothing.  Repeated documents are each scanned; a document has a row for each license.
 """
 
 from __future__ import annotations
@@ -37,9 +37,11 @@ NOTICES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All rights reserved", "No part of this work may be reproduced without the prior written permission of the copyright holder."),
 )
+# Those under five words, numbered after the others.
+SHORT_NOTICES = (("All rights reserved", "All rights reserved."),)
 
 
-def templates(spark: SparkSession, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+def templates(spark: SparkSession, notices: tuple[tuple[str, str], ...] = NOTICES + SHORT_NOTICES) -> DataFrame:
     return spark.createDataFrame([(i, license, text) for i, (license, text) in enumerate(notices)], "template_id long, license string, text string")
 
 
@@ -47,6 +49,6 @@ def license_scan(docs: DataFrame, notices: DataFrame | None = None, threshold: f
     """(doc_id, template_id, license, n_template, n_shared, containment) of every verified match of
     ``notices`` (template_id, license, text)."""
     notices = templates(docs.sparkSession) if notices is None else notices
-    found = contained(docs, notices.select(F.col("template_id").alias("query_id"), "text"), threshold, chance)
+    found = contained(docs, notices.select(F.col("template_id").alias("query_id"), "text"), threshold, chance, short=True)
     found = found.withColumnsRenamed({"query_id": "template_id", "n_query": "n_template"})
     return found.join(notices.select(F.col("template_id").cast("long"), "license"), "template_id").select("doc_id", "template_id", "license", "n_template", "n_shared", "containment")

@@ -89,3 +89,17 @@ def test_licenses(spark):
     got = {(r.doc_id, r.template_id, r.n_shared) for r in license_scan(df).collect()}
     want = {(i, q, len(grams(s) & grams(t))) for i, t in rows for q, (_, s) in enumerate(NOTICES) if len(grams(s) & grams(t)) >= 0.8 * len(grams(s))}
     assert got == want and {(i, i) for i in range(len(NOTICES))} <= {g[:2] for g in got}
+
+
+def test_short_notices(spark):
+    filler = " ".join(f"w{i}" for i in range(300))
+    texts = ["All rights reserved.", f"{filler}\n(c) 2020 X, ALL RIGHTS -- RESERVED\n{filler}", "all rights", f"{filler} rights all reserved", "All rights. Reserved. All rights reserved", "", None, f"{filler} All rights reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(0, 1.0), (1, 1.0), (4, 1.0), (7, 1.0)]
+    got = license_scan(df).collect()
+    assert sorted((r.doc_id, r.containment) for r in got) == found
+    assert {(r.template_id, r.license, r.n_template, r.n_shared) for r in got} == {(len(NOTICES), "All rights reserved", 1, 1)}
+    items = [(0, "rights"), (1, "Rights!"), (2, "all rights"), (3, "w1 w2 w3 w4"), (4, "w1 w2 w3 w4 w5"), (5, "w1 w3"), (6, "...")]
+    got = contained(df, spark.createDataFrame(items, "query_id long, text string"), short=True)
+    want = [(i, q) for q, s in items for i, t in enumerate(texts) if re.sub(r"\W+", " ", s).strip() and re.search(r"\b" + r"\W+".join(re.findall(r"\w+", s)) + r"\b", t or "", re.I)]
+    assert sorted((r.doc_id, r.query_id) for r in got.collect()) == sorted(want)
