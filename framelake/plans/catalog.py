@@ -163,9 +163,8 @@ def read_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in the order of event_id for purchases only, going on after 1,000."""
-    e = _events(spark, sf_dir).where(F.col("event_id") % 3 == 0)
-    return log.assign_seq(e.select("event_id"), "event_id", 1000)
+    """Numbers for all events in the order of event_id, going on after 1,000."""
+    return log.assign_seq(_events(spark, sf_dir).select("event_id"), "event_id", 1000)
 
 
 def append_commit(spark: SparkSession, sf_dir: str) -> DataFrame:

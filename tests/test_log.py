@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.operators import index, log, ordering
+from framelake.plans import catalog
 
 
 def rows(df, *columns):
@@ -97,3 +98,8 @@ def test_index(spark):
         assert rows(index.schema_resolve(tagged, schemas, most).fillna("-"), "seq", "name") == [(1, "s"), (2, "-"), (3, "s"), (4, "-")]
     merged = index.compact([r.where("seq < 3"), r.where("seq > 2").withColumn("more", F.lit(1))], 2)
     assert rows(merged.fillna(0), "seq", "more") == [(1, 0), (2, 0), (3, 1), (4, 1)]
+
+
+def test_the_registered_query_numbers_every_event(spark, tmp_path):
+    spark.createDataFrame([(i * 2, "x") for i in range(20)], "event_id long, event_type string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(catalog.assign_seq(spark, str(tmp_path)), "event_id", "seq") == [(i * 2, 1001 + i) for i in range(20)]
