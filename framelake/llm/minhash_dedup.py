@@ -20,7 +20,8 @@ and ``ambassadors`` of it, then visit all other blocks of the group; if largest
 apart, all of their members but one class's do.  So no task holds more than a block and visitors.
 
 Results: texts without words are alike only if equal. Null text: empty. Null doc_id: the largest
-id. Of rows that share a doc_id but not a text, the least text stands for them in verification. Empty tables give no rows; extra columns do not matter.
+id. Rows that share a doc_id (or have none) but not a text are documents of their own; a class is named
+by doc_id and text. Empty tables give no rows; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.exchange import NULL_ID
 from framelake.llm.graph import components, cut
-from framelake.llm.textops import U64, byte_span_hashes, chunks, gram_hashes, group_starts, mix, ragged, text_bytes, word_hashes
+from framelake.llm.textops import U64, chunks, gram_hashes, group_starts, mix, ragged, text_bytes, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -157,46 +158,52 @@ class Group:
 
 
 def _load(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids in order and weighted shingles of a group's texts, a chunk at a time; each id once."""
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    ids = table.column("doc_id").to_numpy()
+    """Numbers in order and weighted shingles of a group's texts, a chunk at a time; each once."""
+    table = table.sort_by([("text_id", "ascending"), ("text", "ascending")])
+    ids = table.column("text_id").to_numpy()
     parts, at = [], 0
-    for c in chunks(iter(table.select(["doc_id", "text"]).to_batches()), CHUNK):
+    for c in chunks(iter(table.select(["text_id", "text"]).to_batches()), CHUNK):
         r, s, w = weighted_shingles(c.buf, c.offs)
         parts.append((r + at, s, w))
         at += len(c)
     row, shingle, weight = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    first = np.concatenate(([True], ids[1:] != ids[:-1]))  # of rows that share an id, the first stands for it
+    first = np.concatenate(([True], ids[1:] != ids[:-1]))  # repeated rows count once
     keep = first[row]
     number = np.cumsum(first) - 1
     return ids[first], number[row[keep]], shingle[keep], weight[keep]
 
 
+def text_hash(text: str = "text") -> Column:
+    """What texts are known by (null: empty)."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = 16_384, ambassadors: int = 64) -> DataFrame:
-    """(doc_id, class_id) for every row of ``docs`` (doc_id, text): the least doc_id of its class."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """(doc_id, class_id, class_text) for every row of ``docs`` (doc_id, text): the least doc_id of its
+    class, and the hash of the text that has it there (the least such hash).  The two together name a class."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_hash().alias("hash"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, CHUNK):
             row, shingle, weight = weighted_shingles(c.buf, c.offs)
             codes = band_hashes(signatures(row, shingle, weight, len(c), bands * rows), bands, rows).view(np.int64)
             filled = np.bincount(row, minlength=len(c)) > 0
-            h1 = byte_span_hashes(c.buf, c.offs[:-1], c.offs[1:])
-            h2 = byte_span_hashes(c.buf ^ np.uint8(0x5A), c.offs[:-1], c.offs[1:])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(filled * bands))), pa.int32()), pa.array(codes[filled].ravel()))
-            yield pa.RecordBatch.from_arrays([c.batch.column("doc_id"), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["doc_id", "h1", "h2", "bands"])
-
-    signed = cut(docs.mapInArrow(sign, "doc_id long, h1 long, h2 long, bands array<long>"))
-    copies = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    reps = copies.select(F.col("rep").alias("doc_id")).distinct()
-    slots = signed.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    leads = slots.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("band", "lead")
-    ties = slots.join(leads, "band").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
+            yield pa.RecordBatch.from_arrays([c.batch.column("doc_id"), c.batch.column("hash"), lists], names=["doc_id", "hash", "bands"])
+
+    signed = cut(docs.mapInArrow(sign, "doc_id long, hash binary, bands array<long>"))
+    # every distinct text has a number, in the order of its least doc_id and its hash
+    copies = signed.groupBy("hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    copies = cut(copies.repartitionByRange("rep", "hash").sortWithinPartitions("rep", "hash").withColumn("text_id", F.monotonically_increasing_id()))
+    reps = copies.select(F.col("rep").alias("doc_id"), "hash", "text_id")
+    slots = signed.join(reps, ["doc_id", "hash"]).select("text_id", F.explode("bands").alias("band"))
+    leads = slots.groupBy("band").agg(F.min("text_id").alias("lead"), F.max("text_id").alias("last")).where("lead <> last").select("band", "lead")
+    ties = slots.join(leads, "band").where("text_id <> lead").select(F.col("text_id").alias("a"), F.col("lead").alias("b")).distinct()
     groups = cut(_groups(ties))
     sizes = groups.groupBy("grp").count().where(F.col("count") > block).select("grp", F.ceil(F.col("count") / block).alias("blocks"))
-    placed = groups.join(sizes, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = groups.join(sizes, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
     large = sizes.limit(1).count() > 0
-    texts = docs.join(placed, "doc_id").select("grp", "blk", "doc_id", "text")
+    texts = docs.join(placed.join(reps, "text_id"), ["doc_id", "hash"]).select("grp", "blk", "text_id", "text")
     if large:
         texts = cut(texts)
 
@@ -207,24 +214,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         least = ids[order][group_starts(label[order])]
         _, number, count = np.unique(label, return_inverse=True, return_counts=True)
         main = number == np.argmax(count)
-        return pa.table({"grp": pa.array(np.full(len(ids), key[0].as_py())), "blk": pa.array(np.full(len(ids), key[1].as_py()), pa.int32()), "doc_id": ids, "class": least[number], "main": main})
+        return pa.table({"grp": pa.array(np.full(len(ids), key[0].as_py())), "blk": pa.array(np.full(len(ids), key[1].as_py()), pa.int32()), "text_id": ids, "class": least[number], "main": main})
 
-    linked = texts.groupBy("grp", "blk").applyInArrow(classes, "grp long, blk int, doc_id long, class long, main boolean")
+    linked = texts.groupBy("grp", "blk").applyInArrow(classes, "grp long, blk int, text_id long, class long, main boolean")
     if large:
         linked = _across(cut(linked), texts, sizes, threshold, ambassadors)
-    found = linked.select("doc_id", "class")
-    # copies follow their first, found by a salted key, as one text may have any number of them
-    salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt")
-    first = copies.where("n > 1").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    first = first.select("h1", "h2", F.coalesce("class", "rep").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    whole = signed.select("doc_id", "h1", "h2", salt("doc_id")).join(first, ["h1", "h2", "salt"], "left").select("doc_id", "first")
-    whole = whole.join(found, "doc_id", "left").select("doc_id", F.coalesce("first", "class", "doc_id").alias("class_id"))
+    # classes' names and copies' classes are found by salted keys, as one class or text may have any number of them
+    salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    found = cut(linked.select("text_id", "class"))
+    names = found.select("class").distinct().join(copies.withColumnRenamed("text_id", "class"), "class").select("class", F.col("rep").alias("class_id"), F.col("hash").alias("class_text"), F.explode(salts).alias("salt"))
+    named = found.withColumn("salt", salt("text_id")).join(names, ["class", "salt"]).select("text_id", "class_id", "class_text")
+    whole = copies.join(named, "text_id", "left").select(
+        "hash", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_text", "hash").alias("class_text"),
+        F.explode(F.when(F.col("n") > 1, salts).otherwise(F.array(salt("rep")))).alias("salt"),
+    )
+    whole = signed.select("doc_id", "hash", salt("doc_id").alias("salt")).join(whole, ["hash", "salt"])
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return whole.select(null("doc_id"), null("class_id"))
+    return whole.select(null("doc_id"), null("class_id"), "class_text")
 
 
 def _groups(ties: DataFrame) -> DataFrame:
-    """(doc_id, grp) from ties (a, b) of documents to the least members of their bands.
+    """(text_id, grp) from ties (a, b) of texts to the least members of their bands.
 
     A document has at most one tie per band.  It follows the least of its leads; that this lead goes
     with its others is said once for all documents alike, so the graph to settle is that of leads.
@@ -234,14 +245,14 @@ def _groups(ties: DataFrame) -> DataFrame:
     own = followed.select("a", "lead").join(leads, F.col("a") == F.col("b"), "left_semi")
     between = followed.select(F.col("lead").alias("a"), F.explode("leads").alias("b")).where("a <> b").union(own).distinct()
     settled = components(between)
-    nodes = followed.select(F.col("a").alias("doc_id"), "lead").union(leads.join(followed, leads.b == followed.a, "left_anti").select("b", "b"))
-    return nodes.join(settled, F.col("lead") == F.col("node"), "left").select("doc_id", F.coalesce("label", "lead").alias("grp"))
+    nodes = followed.select(F.col("a").alias("text_id"), "lead").union(leads.join(followed, leads.b == followed.a, "left_anti").select("b", "b"))
+    return nodes.join(settled, F.col("lead") == F.col("node"), "left").select("text_id", F.coalesce("label", "lead").alias("grp"))
 
 
 def _across(linked: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float, ambassadors: int) -> DataFrame:
     """Classes of groups that lie in several blocks, joined where a link crosses blocks."""
     split = cut(linked.join(sizes, "grp"))
-    rank = F.row_number().over(_by("grp", "blk").orderBy(F.xxhash64("doc_id")))
+    rank = F.row_number().over(_by("grp", "blk").orderBy(F.xxhash64("text_id")))
     chosen = split.withColumn("r", F.when(F.col("main"), rank)).where(~F.col("main") | (F.col("r") <= ambassadors))
     joined = _visit(chosen, split, texts, threshold)
     # largest classes that are still apart: members of all but the least class visit as well
@@ -250,7 +261,7 @@ def _across(linked: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: fl
     apart = top.withColumn("least", F.min("now").over(_by("grp"))).where("now <> least").select("grp", "blk", "class").distinct()
     if apart.limit(1).count():
         joined = _visit(chosen.select(split.columns).union(split.where("main").join(apart, ["grp", "blk", "class"], "left_semi").select(split.columns)).distinct(), split, texts, threshold)
-    return linked.join(joined, "class", "left").select("doc_id", F.coalesce("to", "class").alias("class"))
+    return linked.join(joined, "class", "left").select("text_id", F.coalesce("to", "class").alias("class"))
 
 
 def _by(*columns: str):
@@ -261,13 +272,13 @@ def _by(*columns: str):
 
 def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(class, to): classes renamed after links between visitors and the blocks they visit."""
-    guests = visitors.join(texts.select("grp", "doc_id", "text"), ["grp", "doc_id"])
-    guests = guests.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to_blk"), "blk", "doc_id", "text", "class").where("to_blk <> blk").select("grp", F.col("to_blk").alias("blk"), "doc_id", "text", "class")
-    hosts = split.select("grp", "blk", "doc_id", "class").join(texts, ["grp", "blk", "doc_id"]).select("grp", "blk", "doc_id", "text", "class")
+    guests = visitors.join(texts.select("grp", "text_id", "text"), ["grp", "text_id"])
+    guests = guests.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to_blk"), "blk", "text_id", "text", "class").where("to_blk <> blk").select("grp", F.col("to_blk").alias("blk"), "text_id", "text", "class")
+    hosts = split.select("grp", "blk", "text_id", "class").join(texts, ["grp", "blk", "text_id"]).select("grp", "blk", "text_id", "text", "class")
 
     def meet(table: pa.Table) -> pa.Table:
         ids, row, shingle, weight = _load(table)
-        known = dict(zip(table.column("doc_id").to_pylist(), table.column("class").to_pylist(), strict=True))
+        known = dict(zip(table.column("text_id").to_pylist(), table.column("class").to_pylist(), strict=True))
         old = np.array([known[i] for i in ids.tolist()])
         new = Group(row, shingle, weight, len(ids), threshold).classes()
         pairs = {(int(o), int(old[np.flatnonzero(new == n)[0]])) for o, n in {(int(a), int(b)) for a, b in zip(old, new, strict=True)}}
@@ -278,7 +289,7 @@ def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, threshold: f
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of each class one row of ``docs``: the one whose doc_id names it."""
-    key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    heads = classes.select(F.coalesce("class_id", F.lit(NULL_ID)).alias("__head")).distinct()
-    return docs.withColumn("__head", key.cast("long")).join(heads, "__head", "left_semi").dropDuplicates(["__head"]).drop("__head")
+    """Of each class one row of ``docs``: one that has the doc_id and the text that name it."""
+    keys = {"__head": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__hash": text_hash()}
+    heads = classes.select(F.coalesce("class_id", F.lit(NULL_ID)).alias("__head"), F.col("class_text").alias("__hash")).distinct()
+    return docs.withColumns(keys).join(heads, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)

@@ -31,7 +31,7 @@ def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8)
+    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id")
 
 
 def op4_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,19 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 50: 50, 60: 50, 70: 50, 40: 40, 41: 40, 80: 80, 81: 80}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("kw", [{}, {"block": 3, "ambassadors": 1}])
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, kw):
+    rnd = random.Random(5)
+    text = lambda: " ".join("u%d" % rnd.randrange(10**6) for _ in range(60))
+    nulls, sevens, early = [text() for _ in range(12)], [text() for _ in range(3)], text()
+    near = [re.sub(r"^\S+ ", f"e{i} ", nulls[0]) for i in range(9)]
+    rows = [(1, early), (None, early), (None, nulls[2]), (9, nulls[1]), (7, sevens[0]), (5, "")] + [(None, t) for t in nulls + near] + [(7, t) for t in sevens] + [(None, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_duplicates(df, **kw)
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in keep_first(df, found).collect()))
+    like = set(near + nulls[:1])
+    assert sum(t in like for _, t in kept) == 1
+    assert [k for k in kept if k[1] not in like] == sorted([(1, early), (9, nulls[1]), (5, "")] + [(0, t) for t in nulls[2:]] + [(7, t) for t in sevens])
+    assert found.count() == len(rows)
