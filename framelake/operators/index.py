@@ -48,10 +48,13 @@ def schema_resolve(records: DataFrame, schemas: DataFrame, most_mb: int = 64) ->
 def compact(logs: list[DataFrame], n: int | None = None) -> DataFrame:
     """Sealed logs merged into one, in ranges of sequence numbers that are sorted inside.
 
-    Logs of different versions keep all columns of any; a record found in several logs stays once.
+    Logs of different versions keep all columns of any; a record found in several logs stays once, each
+    of its columns as in the last log that has a value there.
     """
-    out = logs[0]
-    for log in logs[1:]:
-        out = out.unionByName(log, allowMissingColumns=True)
-    out = out.dropDuplicates(["seq"])
+    out = logs[0].withColumn("__log", F.lit(0))
+    for i, log in enumerate(logs[1:], 1):
+        out = out.unionByName(log.withColumn("__log", F.lit(i)), allowMissingColumns=True)
+    columns = [c for c in out.columns if c != "__log"]
+    latest = [F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col("__log"))).alias(c) for c in columns if c != "seq"]
+    out = (out.groupBy("seq").agg(*latest) if latest else out.select("seq").distinct()).select([F.col(f"`{c}`") for c in columns])
     return (out.repartitionByRange(n, "seq") if n else out.repartitionByRange("seq")).sortWithinPartitions("seq")

@@ -205,7 +205,7 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sealed logs that overlap, the later one with a column more."""
     r = _records(spark, sf_dir)
     n = 600
-    return index.compact([r.where(F.col("seq") <= n).select("seq", "rec_len"), r.where(F.col("seq") > n // 2).select("seq", "rec_len", "event_type").where(F.col("seq") > n)]).select("seq", "rec_len", "event_type")
+    return index.compact([r.where(F.col("seq") <= n).select("seq", "rec_len"), r.where(F.col("seq") > n // 2).select("seq", "rec_len", "event_type")]).select("seq", "rec_len", "event_type")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

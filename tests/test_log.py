@@ -103,3 +103,12 @@ def test_index(spark):
 def test_the_registered_query_numbers_every_event(spark, tmp_path):
     spark.createDataFrame([(i * 2, "x") for i in range(20)], "event_id long, event_type string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     assert rows(catalog.assign_seq(spark, str(tmp_path)), "event_id", "seq") == [(i * 2, 1001 + i) for i in range(20)]
+
+
+def test_overlapping_logs_keep_every_value(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", None)], "seq long, v string, old int").repartition(2)
+    new = spark.createDataFrame([(2, "B", "n"), (3, None, "m"), (4, "d", None)], "seq long, v string, more string").repartition(2)
+    assert sorted(map(tuple, index.compact([old, new], 2).collect())) == [(1, "a", 1, None), (2, "B", 2, "n"), (3, "c", None, "m"), (4, "d", None, None)]
+    assert rows(index.compact([old.select("seq"), new.select("seq")]), "seq") == [(1,), (2,), (3,), (4,)]
+    spark.range(700).selectExpr("id AS event_id", "'t' AS event_type", "'x' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(catalog.compact(spark, str(tmp_path)).fillna("-"), "seq", "event_type") == [(i, "t" if i > 300 else "-") for i in range(1, 701)]
