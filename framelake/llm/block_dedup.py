@@ -9,11 +9,11 @@ Index: the non-overlapping blocks of ``block`` words of every document, where
 ``block`` words of every document.  A block that is found anywhere else is a hit; nothing else
 can lie in a repeated window.  Extension: each hit block is extended by up to ``width - block``
 words to both sides, to all the windows that hold it; those whose sequence occurs twice are exact
-repeats, and their runs are the maximal ones.  Sequences meet by a 64-bit hash with 32 more bits
-of another hash beside it.
+repeats, and their runs are the maximal ones.  Sequences meet by 96 bits: two hashes over two
+independent hashes of each word.
 
-Both rounds send each distinct hash once from a document bucket (see exchange.py), so no group
-of copies, common passage or common line is larger in a task than the number of buckets.
+Both rounds send each distinct hash once from a document bucket, and merge on the way (see exchange.py),
+so no group of copies, common passage or common line is larger in a task than the number of its senders.
 
 Results: null text: no words. Null doc_id: a document like others. Repeated rows are repeats of
 one another. Texts under ``width`` words keep all words. Empty tables give no rows.
@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from framelake.llm.exchange import MESSAGE, NULL_ID, Bucket, Layout, answer, by_bucket, document_buckets, meet, messages, send
-from framelake.llm.textops import U64, byte_span_hashes, gram_hashes, group_starts, mix, pack, ragged, unpack, word_spans
+from framelake.llm.exchange import MESSAGE, Bucket, Layout, Letter, Round, answered, consult, document_buckets, meet, messages, post, send, tagged
+from framelake.llm.textops import U64, byte_span_hashes, gram_hashes, mix, ragged, run_hashes, word_spans
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
 
@@ -45,18 +45,30 @@ def from_planes(planes: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(raw.view(U64).ravel(), dtype=U64)
 
 
-def _distinct(values: np.ndarray, *flags: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Ascending distinct values; whether each occurs twice; the flags, joined by or; a first place."""
-    order = np.argsort(values, kind="stable")
-    values = values[order]
-    starts = group_starts(values)
-    size = np.diff(np.append(starts, len(values)))
-    joined = [np.logical_or.reduceat(f[order], starts) if len(starts) else f[:0] for f in flags]
-    return values[starts], size > 1, *joined, order[starts]
-
-
-def _bits(*flags: np.ndarray) -> np.ndarray:
-    return sum(f.astype(np.uint8) << i for i, f in enumerate(flags))
+def _merge(letters: list[Letter]) -> tuple[Letter, np.ndarray]:
+    """Distinct keys (all fields but the last) and their flags joined by or; flag 1 is also: in several letters."""
+    *keys, flags = (np.concatenate(x) for x in zip(*letters, strict=True))
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    keys, flags = [k[order] for k in keys], flags[order]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    starts = np.flatnonzero(new)
+    origin = np.empty(len(order), np.int64)
+    origin[order] = np.cumsum(new) - 1
+    joined = np.bitwise_or.reduceat(flags, starts) if len(starts) else flags
+    joined |= np.diff(np.append(starts, len(order))) > 1
+    return (*(k[starts] for k in keys), joined), origin
+
+
+SEVERAL, BLOCK = 1, 2
+PROBES = Round(
+    spread=lambda letter: letter[0], merge=_merge, judge=lambda letter: (np.flatnonzero(letter[1] == SEVERAL | BLOCK),),
+    write=lambda letter: (to_planes(letter[0], 5), letter[1]), read=lambda letter: (from_planes(letter[0], 5), letter[1]),
+)
+WINDOWS = Round(
+    spread=lambda letter: mix(letter[0]), merge=_merge, judge=lambda letter: (np.flatnonzero(letter[2] & SEVERAL),),
+    write=lambda letter: (to_planes(letter[0], 8), *letter[1:]), read=lambda letter: (from_planes(letter[0], 8), *letter[1:]),
+)
 
 
 def block_dedup(docs: DataFrame, width: int = 35, block: int | None = None, layout: Layout | None = None, texts: bool = True) -> DataFrame:
@@ -70,78 +82,53 @@ def block_dedup(docs: DataFrame, width: int = 35, block: int | None = None, layo
     layout = layout or Layout.of(docs)
     buckets = document_buckets(docs, layout)
 
-    def words(b: Bucket):
-        starts, ends, first = word_spans(b.buf, b.offs)
-        return starts, ends, first, byte_span_hashes(b.buf, starts, ends)
-
     def aligned(at: np.ndarray, first: np.ndarray, run: np.ndarray) -> np.ndarray:
         """The place within its document of each run of words."""
         return at - np.repeat(first[:-1], np.diff(run))
 
-    def probes(number: int, b: Bucket) -> list[tuple[int, bytes]]:
-        *_, first, codes = words(b)
+    def probes(b: Bucket):
+        starts, ends, first = word_spans(b.buf, b.offs)
+        codes = byte_span_hashes(b.buf, starts, ends)
         grams, at, run = gram_hashes(codes, first, block)
-        grams, several, is_block, _ = _distinct(grams >> U64(24), aligned(at, first, run) % block == 0)
-        out = []
-        for to, pick in by_bucket((grams % U64(layout.hashes)).astype(np.int32)):
-            out.append((to, pack(np.array([number], np.int32), to_planes(grams[pick], 5), _bits(several[pick], is_block[pick]))))
-        return out
-
-    def hits(payloads: list[bytes]) -> list[tuple[int, bytes]]:
-        parts = [unpack(p) for p in payloads]
-        grams, flags = np.concatenate([from_planes(p[1], 5) for p in parts]), np.concatenate([p[2] for p in parts])
-        froms = np.concatenate([np.repeat(p[0], len(p[2])) for p in parts])
-        order = np.argsort(grams, kind="stable")
-        grams, flags, froms = grams[order], flags[order], froms[order]
-        starts = group_starts(grams)
-        size, any_of = np.diff(np.append(starts, len(grams))), np.bitwise_or.reduceat(flags, starts)
-        hit = np.repeat(((size > 1) | (any_of & 1 > 0)) & (any_of & 2 > 0), size)
-        return [(to, pack(to_planes(grams[hit][pick], 5))) for to, pick in by_bucket(froms[hit])]
-
-    def windows(b: Bucket):
-        starts, ends, first, codes = words(b)
-        whole, at, run = gram_hashes(codes, first, width)
-        return starts, ends, first, codes, whole, at, run
+        flags = np.where(aligned(at, first, run) % block == 0, BLOCK, 0).astype(np.uint8)
+        letter, origin = _merge([(grams >> U64(24), flags)])
+        return starts, ends, first, codes, at, letter, origin
 
-    def checks(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return (gram_hashes(mix(codes ^ U64(0xD1B54A32D192ED03)), first, width)[0] >> U64(32)).astype(np.uint32)
+    def ask(number: int, b: Bucket) -> pa.Table:
+        return post(number, probes(b)[5], PROBES, layout)
 
-    def extensions(number: int, b: Bucket, answers: list[bytes]) -> pa.Table:
+    def windows(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, codes: np.ndarray, b: Bucket):
+        """Of all windows: first word, the two hashes that they meet by, place in the document."""
+        whole, at, run = gram_hashes(codes, first, width)
+        more = run_hashes(byte_span_hashes(b.buf, starts, ends, seed=1), width)
+        return at, whole, (more[at] >> U64(32)).astype(np.uint32), aligned(at, first, run)
+
+    def extend(number: int, b: Bucket, answers: list[bytes]) -> pa.Table:
         if not answers:
             return messages([])
-        _, _, first, codes, whole, at, run = windows(b)
-        if not len(whole):
-            return messages([])
-        known = np.concatenate([from_planes(unpack(p)[0], 5) for p in answers])
-        grams, gram_at, gram_run = gram_hashes(codes, first, block)
+        starts, ends, first, codes, gram_at, letter, origin = probes(b)
+        found = np.zeros(len(letter[0]), bool)
+        found[answered(letter, answers, PROBES, layout)[0]] = True
         hit = np.zeros(len(codes) + 1, bool)
-        hit[gram_at[np.isin(grams >> U64(24), known)]] = True
-        place = aligned(at, first, run)
+        hit[gram_at[found[origin]]] = True
+        at, whole, check, place = windows(starts, ends, first, codes, b)
         pick = np.flatnonzero(hit[at + (-place) % block])  # the block in the window
-        values, several, f = _distinct(whole[pick])
-        check = checks(codes, first)[pick[f]]
-        out = []
-        for to, p in by_bucket((mix(values) % U64(layout.hashes)).astype(np.int32)):
-            out.append((to, pack(np.array([number], np.int32), to_planes(values[p], 8), check[p], _bits(several[p]))))
-        return messages(out)
-
-    def repeats(payloads: list[bytes]) -> list[tuple[int, bytes]]:
-        parts = [unpack(p) for p in payloads]
-        values = np.concatenate([from_planes(p[1], 8) for p in parts])
-        check, several = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        froms = np.concatenate([np.repeat(p[0], len(p[2])) for p in parts])
-        order = np.lexsort((check, values))
-        values, check, several, froms = values[order], check[order], several[order], froms[order]
-        starts = np.union1d(group_starts(values), group_starts(check)).astype(np.int64)
-        size = np.diff(np.append(starts, len(values)))
-        hit = np.repeat((size > 1) | (np.bitwise_or.reduceat(several, starts) > 0), size)
-        return [(to, pack(to_planes(values[hit][pick], 8))) for to, pick in by_bucket(froms[hit])]
+        if not len(pick):
+            return messages([])
+        letter, origin = _merge([(whole[pick], check[pick], np.zeros(len(pick), np.uint8))])
+        some = np.empty(len(letter[0]), np.int64)
+        some[origin] = pick  # a window of each sequence; its number is the tag
+        return post(number, letter, WINDOWS, layout, some)
 
     def finish(number: int, b: Bucket, answers: list[bytes]) -> pa.Table:
-        starts, ends, first, _, whole, at, _ = windows(b)
+        starts, ends, first = word_spans(b.buf, b.offs)
         cover = np.zeros(len(starts) + 1, np.int32)
         if answers:
-            hit = at[np.isin(whole, np.concatenate([from_planes(unpack(p)[0], 8) for p in answers]))]
+            at, whole, check, _ = windows(starts, ends, first, byte_span_hashes(b.buf, starts, ends), b)
+            (tags,) = tagged(answers)
+            again = np.flatnonzero(np.isin(whole, whole[tags]))
+            _, origin = _merge([(np.append(whole[again], whole[tags]), np.append(check[again], check[tags]), np.zeros(len(again) + len(tags), np.uint8))])
+            hit = at[again[np.isin(origin[: len(again)], origin[len(again) :])]]
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + width, -1)
         keep = np.cumsum(cover[:-1]) == 0
@@ -155,11 +142,11 @@ def block_dedup(docs: DataFrame, width: int = 35, block: int | None = None, layo
         n_words = np.diff(first)
         return pa.table(
             {
-                "doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == NULL_ID), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_words - np.diff(kept_before[first]), pa.int64()),
+                "doc_id": b.id_array(), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_words - np.diff(kept_before[first]), pa.int64()),
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": pa.array(kept if texts else [None] * len(kept), pa.binary()),
             }
         )
 
-    known = answer(send(buckets, probes), hits)
-    found = answer(meet(buckets, known, extensions, MESSAGE), repeats)
+    known = consult(send(buckets, ask), PROBES, layout)
+    found = consult(meet(buckets, known, extend, MESSAGE), WINDOWS, layout)
     return meet(buckets, found, finish, SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set (local sessions)."""
+    """The folder in spark.checkpoint.dir; one of our own only where none is set, and only in local sessions."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder as a path that open() takes; None where only Spark reads it."""
+    ensure_checkpoint_dir(spark)
+    found = re.fullmatch(r"(?:file:(?://)?)?(/.*)", spark.sparkContext.getCheckpointDir())
+    return found and found[1]
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

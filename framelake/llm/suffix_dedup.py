@@ -10,31 +10,39 @@ of its 24-byte grams (its anchor; the leftmost one of equals), and neighbouring
 anchor form one fragment of 50 to 76 bytes.  Equal windows have equal anchors at equal places;
 hence fragments are aligned on their anchors, equal windows are always entered in the same
 round, and the transform is needed for the newest column alone: at most 76 rounds, each of
-them one sequential pass.  Columns that exceed ``memory_bytes`` lie in an unlinked temporary
-file, which every round reads one stripe of, in order.
+them one sequential pass.
+
+The collection's columns, order and common prefixes beyond ``memory_bytes`` lie in external files in the
+shared folder of checkpoints, without a name, so they go when the task ends: a round reads one
+column, the order and the prefixes from front to back, block by block, and writes the new order as one
+sequential file per symbol, laid end to end.  Some 30 bytes per string stay in memory.
 
 Fragments whose anchor occurs in one document only are left out before; that needs a round of
-gram hashes (see exchange.py).  In every document bucket equal fragments count once, with the
-least doc_id, so that copies and common passages are merged before the shuffle.  An anchor that
+gram hashes (see exchange.py).  Equal fragments are merged wherever they meet, after comparing
+their bytes, and keep the least doc_id; so copies and common passages do not pile up.  An anchor that
 more than ``hot`` fragments share (a common phrase among ever different neighbours) is dealt by its
-windows instead, each a fragment of its own that goes where its bytes' hash says.
+windows instead, each a fragment of its own that goes where its bytes' hash says.  No result
+rests on a hash alone.
 
-Results: null text: empty. Null doc_id: the largest. Rows that are repeated, or share a doc_id,
+Results: null text: empty. Null doc_id: after all others. Rows that are repeated, or share a doc_id,
 never remove from one another, and each gets a result row of its own. Empty tables give no rows.
+Columns of any name beside doc_id and text do not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from framelake.llm.exchange import MESSAGE, NULL_ID, Bucket, Layout, answer, by_bucket, document_buckets, meet, messages, send
-from framelake.llm.textops import U64, byte_span_hashes, group_starts, mix, pack, ragged, unpack
+from framelake.llm.exchange import MESSAGE, Bucket, Layout, Letter, Round, answered, consult, document_buckets, meet, messages, post, send, tagged
+from framelake.llm.graph import shared_folder
+from framelake.llm.textops import U64, byte_span_hashes, equal_spans, group_starts, loads, mix, ragged
 
 GRAM = 24
 ABSENT = 0xFF  # never a byte of UTF-8
@@ -59,12 +67,9 @@ def _fragments(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarra
     if not (lengths >= width).any():
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(U64)
-    b = buf.astype(U64)
-    b = b[:-1] | b[1:] << U64(8)
-    b = b[:-2] | b[2:] << U64(16)
-    b = b[:-4] | b[4:] << U64(32)
     m = n - GRAM + 1
-    grams = mix(b[:m] * U64(0x9E3779B97F4A7C15) ^ mix(b[8 : 8 + m] * U64(0xC2B2AE3D27D4EB4F) ^ b[16 : 16 + m]))
+    b = loads(buf)
+    grams = mix(b[:m] * U64(0x9E3779B97F4A7C15) ^ mix(b[8 : 8 + m] * U64(0xC2B2AE3D27D4EB4F) ^ b[16 : 16 + m]))  # as gram_at
     least = (grams >> U64(32) << U64(32)) | np.arange(m, dtype=U64)
     reach = 1
     while 2 * reach <= span:
@@ -85,44 +90,171 @@ def _fragments(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarra
     return start, end - start + 1, at - start, np.searchsorted(offs, start, "right") - 1, grams[at]
 
 
-def column_windows(columns: np.ndarray, docs: np.ndarray, left: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
-    """Column-wise construction over aligned fragments.
+class Files:
+    """Arrays in memory, or in files without a name in ``folder``."""
+
+    def __init__(self, folder: str | None) -> None:
+        self.folder = folder
+
+    def array(self, kind: type, *shape: int) -> np.ndarray:
+        if self.folder is None:
+            return np.empty(shape, kind)
+        path = os.path.join(self.folder, f"columns-{uuid.uuid4().hex}")
+        with open(path, "w+b") as file:
+            os.unlink(path)
+            return np.memmap(file, kind, "w+", shape=shape)
+
+
+def insert_column(symbols: np.ndarray, place: int, old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray], block: int) -> None:
+    """One round: a symbol in front of every string.  ``old`` and ``new``: the strings' order, and for each in
+    that order the place at which it and the one before cease to agree.  Both are gone through in blocks."""
+    order, common = old
+    cursor = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=256))))[:-1]
+    seen, since = np.zeros(256, bool), np.full(256, 255, np.uint8)  # least agreement since each symbol's last string
+    for at in range(0, len(order), block):
+        o, c = np.asarray(order[at : at + block]), np.asarray(common[at : at + block])
+        s = symbols[o]
+        moved = np.argsort(s, kind="stable")
+        s = s[moved]
+        to, first = np.empty(len(o), np.uint8), group_starts(s)
+        if len(o) > 1:
+            to[1:] = np.minimum.reduceat(np.append(c, np.uint8(255)), moved + 1)[:-1]  # between strings of one symbol
+        here = s[first]
+        before = np.minimum(since[here], np.minimum.accumulate(c)[moved[first]])
+        to[first] = np.where(seen[here], before, place)
+        after = np.append(np.minimum.accumulate(c[::-1])[::-1], np.uint8(255))
+        ends = np.append(first[1:], len(o))
+        since = np.minimum(since, c.min())
+        since[here], seen[here] = after[moved[ends - 1] + 1], True
+        o = o[moved]
+        if len(o) == len(order):
+            new[0][:], new[1][:] = o, to
+            return
+        for symbol, a, b in zip(here.tolist(), first.tolist(), ends.tolist(), strict=True):
+            w = int(cursor[symbol])
+            new[0][w : w + b - a], new[1][w : w + b - a] = o[a:b], to[a:b]
+            cursor[symbol] += b - a
 
-    ``columns[j]`` holds every fragment's symbol at place j, the anchors starting at place
-    ``width - GRAM``.  Result [j, i]: least document holding the window of fragment i that starts
-    at place j (NULL_ID where there is none).
+
+def column_runs(data: np.ndarray, left: np.ndarray, windows: np.ndarray, docs: np.ndarray, none: int, width: int, memory_bytes: int = 1 << 62, folder: str | None = None, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Column-wise construction over fragments aligned on their anchors.
+
+    ``data``: the fragments' bytes end to end; ``left``: bytes before the anchor, ``windows``: windows,
+    ``docs``: rank of its document, ``none`` if that takes nothing from others.  Result: runs of
+    windows that have one least document: (fragment, first window, number of windows, rank), none left out
+    but those of rank ``none``, by ascending fragment.
     """
-    lead, n = width - GRAM, columns.shape[1]
-    out = np.full((lead + 1, n), NULL_ID)
-    order = np.arange(n)
-    common = np.full(n + 1, len(columns), np.uint8)  # place at which a string and the one before it cease to agree
-    for j in range(len(columns) - 1, -1, -1):
-        symbols = columns[j][order]  # this column of the transform
-        moved = np.argsort(symbols, kind="stable")
-        symbols = symbols[moved]
-        kept = np.minimum.reduceat(common, moved + 1)
-        common[0] = j
-        # reduceat's segment i lies between the old places of strings i and i+1
-        common[1:n] = np.where(symbols[1:] == symbols[:-1], kept[: n - 1], j)
-        order = order[moved]
+    n, lead, depth = len(left), width - GRAM, 2 * width - GRAM
+    size = windows.astype(np.int64) + width - 1
+    begins = np.cumsum(size) - size
+    shift = begins - (lead - left.astype(np.int64))  # where place 0 of each string would lie
+    files = Files(folder if n * (depth + 10) > memory_bytes else None)
+    columns = files.array(np.uint8, depth, n) if files.folder else None
+    padded = np.concatenate((np.zeros(lead, np.uint8), data, np.zeros(depth, np.uint8)))
+
+    def column(j: int) -> np.ndarray:
+        at = shift + j
+        return np.where((at >= begins) & (at < begins + size), padded[at + lead], np.uint8(ABSENT))
+
+    if columns is not None:
+        for j in range(depth):
+            columns[j] = column(j)
+        del padded, shift, begins, size
+    old, new = ((files.array(np.int32, n), files.array(np.uint8, n)) for _ in range(2))
+    old[0][:], old[1][:] = np.arange(n), depth
+    now, value, until = np.empty(n, np.int32), np.full(n, none, np.int32), np.zeros(n, np.uint8)
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def close(which: np.ndarray, j: int) -> None:
+        """Runs of these strings end; the next window to come is at j."""
+        which = which[value[which] != none]
+        skip, count = j + 1 - lead + left[which].astype(np.int16), until[which].astype(np.int16) - j
+        found.append((which.astype(np.int32), skip.astype(np.uint8), count.astype(np.uint8), value[which]))
+
+    for j in range(depth - 1, -1, -1):
+        insert_column(column(j) if columns is None else np.asarray(columns[j]), j, old, new, block)
+        old, new = new, old
         if j <= lead:
-            back = lead - j
-            has = (left >= back) & (left - windows < back)
-            ids = np.where(has, docs, NULL_ID)[order]
-            starts = np.flatnonzero(common[:n] < j + width)
-            least = np.minimum.reduceat(ids, starts)
-            out[j, order] = np.repeat(least, np.diff(np.append(starts, n)))
-            out[j, ~has] = NULL_ID
-    return out
+            has = (left >= lead - j) & (left.astype(np.int16) - windows < lead - j)
+            starts = np.flatnonzero(np.asarray(old[1]) < j + width)
+            order = np.asarray(old[0])
+            least = np.minimum.reduceat(np.where(has, docs, none)[order], starts)
+            now[order] = np.repeat(least, np.diff(np.append(starts, n)))
+            now[~has] = none
+            changed = np.flatnonzero(now != value)
+            close(changed, j)
+            value[changed], until[changed] = now[changed], j
+    close(np.arange(n), -1)
+    frag, first, count, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(frag, kind="stable")
+    return frag[by], first[by], count[by], rank[by]
+
+
+def alike(buf: np.ndarray, start: np.ndarray, left: np.ndarray, windows: np.ndarray, size: np.ndarray, ids: np.ndarray, null: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fragments with equal ones side by side, in an order in which the first of these has the least doc_id,
+    and where in it each group of equal ones begins."""
+    order = np.lexsort((ids, null, content))
+    a, b = order[:-1], order[1:]
+    same = (content[a] == content[b]) & (left[a] == left[b]) & (windows[a] == windows[b])
+    may = np.flatnonzero(same)
+    same[may] = equal_spans(buf, start[a[may]], start[b[may]], size[a[may]])
+    return order, np.concatenate((np.zeros(min(1, len(order)), np.int64), np.flatnonzero(~same) + 1))
+
+
+NULL, SPLIT = 1, 2  # of a fragment: without a doc_id; a window of a busy anchor
+
+
+def gram_at(at8: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes that begin at some places."""
+    return mix(at8[at] * U64(0x9E3779B97F4A7C15) ^ mix(at8[at + 8] * U64(0xC2B2AE3D27D4EB4F) ^ at8[at + 16]))
+
 
+def fragment_round(width: int, judge) -> Round:
+    """Letters of (content's hash, where it is dealt, doc_id, flags, bytes before the anchor, windows, bytes).
+    Fragments of one anchor meet in one place, windows of a busy one where their content says."""
 
-def _columns(rows: int, count: int, memory_bytes: int) -> np.ndarray:
-    if rows * count <= memory_bytes:
-        return np.full((rows, count), ABSENT, np.uint8)
-    file = tempfile.TemporaryFile()  # has no name: gone when the task ends, however it ends
-    out = np.memmap(file, np.uint8, "w+", shape=(rows, count))
-    out[:] = ABSENT
-    return out
+    def begins(letter: Letter) -> tuple[np.ndarray, np.ndarray]:
+        size = letter[-2].astype(np.int64) + width - 1
+        return np.cumsum(size) - size, size
+
+    def read(sent: Letter) -> Letter:
+        _, flags, left, _, data = sent
+        at, size = begins(sent)
+        content = content_hash(data, at, size, left)
+        return (content, np.where(flags & SPLIT, content, gram_at(loads(data), at + left)), *sent)
+
+    def pick(letter: Letter, which: np.ndarray) -> Letter:
+        at, size = begins(letter)
+        return (*(a[which] for a in letter[:-1]), letter[-1][ragged(at[which], size[which])])
+
+    def merge(letters: list[Letter]) -> tuple[Letter, np.ndarray]:
+        """Distinct fragments, compared byte by byte, each with its least doc_id (null: none)."""
+        every = tuple(np.concatenate(x) for x in zip(*letters, strict=True))
+        content, _, ids, flags, left, windows, data = every
+        at, size = begins(every)
+        order, starts = alike(data, at, left, windows, size, ids, flags & NULL, content)
+        origin = np.empty(len(order), np.int64)
+        origin[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+        return pick(every, order[starts]), origin
+
+    return Round(lambda letter: letter[1], merge, judge, pick, lambda letter: letter[2:], read)
+
+
+def content_hash(buf: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return mix(byte_span_hashes(buf, start, start + size) + U64(1000003) * left.astype(U64))
+
+
+def _merge_anchors(letters: list[Letter]) -> tuple[Letter, np.ndarray]:
+    """Distinct anchors; whether they occur in several documents, and how often in all."""
+    grams, several, count = (np.concatenate(x) for x in zip(*letters, strict=True))
+    order = np.argsort(grams, kind="stable")
+    starts = group_starts(grams[order])
+    times = np.diff(np.append(starts, len(order)))
+    origin = np.empty(len(order), np.int64)
+    origin[order] = np.repeat(np.arange(len(starts)), times)
+    several = np.logical_or.reduceat(several[order], starts) | (times > 1)  # equal rows lie in one bucket
+    total = np.minimum(np.add.reduceat(count[order].astype(np.int64), starts), (1 << 32) - 1).astype(np.uint32)
+    return (grams[order][starts], several, total), origin
 
 
 def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20, layout: Layout | None = None, texts: bool = True, carry: tuple[str, ...] = (), hot: int = 20_000) -> DataFrame:
@@ -134,12 +266,33 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
     if not GRAM < width < 139:
         raise ValueError(f"width must be over {GRAM} and under 139")
     layout = layout or Layout.of(docs)
-    lead, depth = width - GRAM, 2 * width - GRAM
     buckets = document_buckets(docs, layout, carry)
+    folder = shared_folder(docs.sparkSession)
     schema = StructType([*_parse_datatype_string(SCHEMA).fields, *[StructField(f"in_{c}", docs.schema[c].dataType) for c in carry]])
 
+    def judge_anchors(letter: Letter) -> Letter:
+        hit = np.flatnonzero(letter[1])
+        return hit, letter[2][hit] > hot
+
+    def judge(letter: Letter) -> Letter:
+        _, _, ids, flags, left, windows, data = letter
+        known, rank = np.unique(ids, return_inverse=True)
+        none = len(known)
+        frag, first, count, least = column_runs(data, left, windows, np.where(flags & NULL, none, rank).astype(np.int32), none, width, memory_bytes, folder)
+        return frag, first, count, known[least]
+
+    # 40-bit values in order: differences, split in planes, compress well
+    narrow = lambda letter: (np.diff(letter[0], prepend=U64(0)).view(np.uint8).reshape(-1, 8).T[:5].ravel(), letter[1], letter[2])
+
+    def widen(letter: Letter) -> Letter:
+        raw = np.zeros((len(letter[1]), 8), np.uint8)
+        raw[:, :5] = letter[0].reshape(5, -1).T
+        return np.cumsum(raw.view(U64).ravel(), dtype=U64), letter[1], letter[2]
+
+    anchors_round = Round(lambda letter: letter[0], _merge_anchors, judge_anchors, write=narrow, read=widen)
+
     def parts_of(b: Bucket, busy: np.ndarray):
-        """The bucket's fragments, those of busy anchors window by window, and a hash of each one's content."""
+        """The bucket's fragments, those of busy anchors window by window; a hash of each one's content."""
         start, windows, left, doc, grams = fragments(b.buf, b.offs, width)
         split = np.isin(grams >> U64(24), busy)
         if split.any():
@@ -149,95 +302,60 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
             start, left = np.concatenate((start[one], start[many] + step)), np.concatenate((left[one], left[many] - step))
             windows = np.concatenate((windows[one], np.ones(len(many), np.int64)))
             doc, grams, split = doc[np.concatenate((one, many))], grams[np.concatenate((one, many))], np.repeat([False, True], [len(one), len(many)])
-        content = mix(byte_span_hashes(b.buf, start, start + windows + width - 1) + U64(1000003) * left.astype(U64))
+        content = content_hash(b.buf, start, windows + width - 1, left)
         return start, windows, left, doc, grams, content, split
 
-    def anchors(number: int, b: Bucket) -> list[tuple[int, bytes]]:
+    def groups(b: Bucket, start, windows, left, doc, content) -> tuple[np.ndarray, np.ndarray]:
+        return alike(b.buf, start, left, windows, windows + width - 1, b.ids[doc], b.null[doc], content)
+
+    def anchors(b: Bucket) -> Letter:
         _, _, _, doc, grams = fragments(b.buf, b.offs, width)
-        grams, ids = grams >> U64(24), b.ids[doc]
-        order = np.lexsort((ids, grams))
-        grams, ids = grams[order], ids[order]
+        grams = grams >> U64(24)
+        doc = (np.cumsum(np.concatenate(([True], (b.ids[1:] != b.ids[:-1]) | (b.null[1:] != b.null[:-1])))) if len(b.ids) else b.ids)[doc]  # rows of one doc_id
+        order = np.lexsort((doc, grams))
+        grams, doc = grams[order], doc[order]
         starts = group_starts(grams)
-        several = np.maximum.reduceat(ids, starts) != ids[starts] if len(starts) else np.zeros(0, bool)
-        count = np.minimum(np.diff(np.append(starts, len(grams))), 65_535).astype(np.uint16)
-        grams = grams[starts]
-        out = []
-        for to, at in by_bucket((grams % U64(layout.hashes)).astype(np.int32)):
-            low = grams[at]
-            # 40-bit values in order: differences, split in planes, compress well
-            steps = np.diff(low, prepend=U64(0)).astype(np.uint64)
-            out.append((to, pack(np.array([number], np.int32), steps.view(np.uint8).reshape(-1, 8).T[:5].ravel(), several[at], count[at])))
-        return out
+        several = np.maximum.reduceat(doc, starts) != doc[starts] if len(starts) else np.zeros(0, bool)
+        return grams[starts], several, np.diff(np.append(starts, len(grams))).astype(np.uint32)
 
-    def shared(payloads: list[bytes]) -> list[tuple[int, bytes]]:
-        parts = [unpack(p) for p in payloads]
-        grams, froms, many, counts = [], [], [], []
-        for who, planes, several, count in parts:
-            raw = np.zeros((len(several), 8), np.uint8)
-            raw[:, :5] = planes.reshape(5, -1).T
-            grams.append(np.cumsum(raw.view(U64).ravel(), dtype=U64))
-            froms.append(np.repeat(who, len(several)))
-            many.append(several)
-            counts.append(count)
-        grams, froms, many, counts = (np.concatenate(x) for x in (grams, froms, many, counts))
-        order = np.argsort(grams, kind="stable")
-        grams, froms, many, counts = grams[order], froms[order], many[order], counts[order].astype(np.int64)
-        starts = group_starts(grams)
-        size = np.diff(np.append(starts, len(grams)))
-        hit = np.repeat((size > 1) | np.logical_or.reduceat(many, starts), size)  # a document lies in one bucket
-        busy = np.repeat(np.add.reduceat(counts, starts) > hot, size)[hit]
-        grams, froms = grams[hit], froms[hit]
-        return [(to, pack(grams[at], busy[at])) for to, at in by_bucket(froms)]
+    def ask(number: int, b: Bucket) -> pa.Table:
+        return post(number, anchors(b), anchors_round, layout)
+
+    fragments_round = fragment_round(width, judge)
 
     def candidates(number: int, b: Bucket, answers: list[bytes]) -> pa.Table:
-        if not answers or not len(b.ids):
+        letter = anchors(b)
+        known = answered(letter, answers, anchors_round, layout)
+        if known is None:
             return messages([])
-        known, busy = (np.concatenate(x) for x in zip(*map(unpack, answers), strict=True))
-        start, windows, left, doc, grams, content, split = parts_of(b, known[busy])
-        pick = np.flatnonzero(np.isin(grams >> U64(24), known))
-        order = pick[np.lexsort((doc[pick], content[pick]))]
-        order = order[group_starts(content[order])]  # of equal fragments, the one in the least document
-        out = []
-        for to, at in by_bucket((np.where(split, content, grams)[order] % U64(layout.hashes)).astype(np.int32)):
-            f = order[at]
-            f = f[np.argsort(grams[f], kind="stable")]
-            size = windows[f] + width - 1
-            out.append((to, pack(np.array([number], np.int32), b.ids[doc[f]], content[f], left[f].astype(np.uint8), windows[f].astype(np.uint8), b.buf[ragged(start[f], size)], np.unique(grams[f[split[f]]] >> U64(24)))))
-        return messages(out)
-
-    def compare(payloads: list[bytes]) -> list[tuple[int, bytes]]:
-        parts = [unpack(p) for p in payloads]
-        froms = np.concatenate([np.repeat(p[0], len(p[1])) for p in parts])
-        ids, content, left, windows, data = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
-        left, windows = left.astype(np.int64), windows.astype(np.int64)
-        size = windows + width - 1
-        columns = _columns(depth, len(ids), memory_bytes)
-        columns[ragged(lead - left, size), np.repeat(np.arange(len(ids)), size)] = data
-        least = column_windows(columns, ids, left, windows, width)
-        # runs of windows with one least document; a fragment has few
-        some = (least != NULL_ID).T
-        least = least.T
-        first = some & np.concatenate((np.ones((len(ids), 1), bool), least[:, 1:] != least[:, :-1]), axis=1)
-        frag, place = np.nonzero(first)
-        last = some & np.concatenate((least[:, 1:] != least[:, :-1], np.ones((len(ids), 1), bool)), axis=1)
-        ends = np.nonzero(last)[1]
-        value = least[frag, place]
-        busy = {who: np.unique(np.concatenate([p[6] for p in parts if p[0][0] == who])) for who in {int(p[0][0]) for p in parts}}
-        return [(to, pack(content[frag[at]], (place[at] - (lead - left[frag[at]])).astype(np.uint8), (ends[at] - place[at] + 1).astype(np.uint8), value[at], busy[to])) for to, at in by_bucket(froms[frag])]
+        known, busy = letter[0][known[0]], letter[0][known[0][known[1]]]
+        start, windows, left, doc, grams, content, split = parts_of(b, busy)
+        order, starts = groups(b, start, windows, left, doc, content)
+        f = order[starts]
+        f = f[np.isin(grams[f] >> U64(24), known)]
+        flags = np.where(b.null[doc[f]], NULL, 0) | np.where(split[f], SPLIT, 0)
+        letter = content[f], np.where(split, content, grams)[f], b.ids[doc[f]], flags.astype(np.uint8), left[f].astype(np.uint8), windows[f].astype(np.uint8), b.buf[ragged(start[f], windows[f] + width - 1)]
+        return post(number, letter, fragments_round, layout, np.where(split[f], ~start[f], start[f]))
 
     def finish(number: int, b: Bucket, answers: list[bytes]) -> pa.Table:
         n, buf = len(b.ids), b.buf
         covered = np.zeros(len(buf) + 1, np.int32)
         if answers and n:
-            parts = [unpack(p) for p in answers]
-            known, skip, count, least, busy = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            start, _, _, doc, _, content, _ = parts_of(b, busy)
-            order = np.argsort(known, kind="stable")
-            known, skip, count, least = known[order], skip[order].astype(np.int64), count[order].astype(np.int64), least[order]
-            lo, hi = np.searchsorted(known, content), np.searchsorted(known, content, "right")
-            frag = np.repeat(np.arange(len(start)), hi - lo)
-            run = ragged(lo, hi - lo)
-            use = b.ids[doc[frag]] > least[run]
+            tags, skip, count, least = tagged(answers)
+            at = np.where(tags < 0, ~tags, tags)
+            whole, _, _, _, grams = fragments(buf, b.offs, width)
+            busy = np.unique(grams[np.searchsorted(whole, at[tags < 0], "right") - 1] >> U64(24))
+            start, windows, left, doc, _, content, _ = parts_of(b, busy)
+            order, starts = groups(b, start, windows, left, doc, content)
+            by_start = np.argsort(start)
+            head = by_start[np.searchsorted(start, at, sorter=by_start)]  # each answer's fragment, first of its group
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            lo = place[head]
+            size = np.append(starts, len(order))[np.searchsorted(starts, lo, "right")] - lo
+            run = np.repeat(np.arange(len(at)), size)
+            frag = order[ragged(lo, size)]
+            use = b.null[doc[frag]] | (b.ids[doc[frag]] > least[run])
             frag, run = frag[use], run[use]
             at = start[frag] + skip[run]
             np.add.at(covered, at, 1)
@@ -256,7 +374,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
             kept.append(left_over if texts else None)
         out = pa.table(
             {
-                "doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == NULL_ID), "n_bytes": pa.array(np.diff(b.offs), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()),
+                "doc_id": b.id_array(), "n_bytes": pa.array(np.diff(b.offs), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()),
                 "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()),
             }
         )
@@ -264,6 +382,6 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
             out = out.append_column(f"in_{c}", b.carried.column(i) if n else pa.nulls(0))
         return out
 
-    known = answer(send(buckets, anchors), shared)
-    found = answer(meet(buckets, known, candidates, MESSAGE), compare)
+    known = consult(send(buckets, ask), anchors_round, layout)
+    found = consult(meet(buckets, known, candidates, MESSAGE), fragments_round, layout)
     return meet(buckets, found, finish, schema, bool(carry))

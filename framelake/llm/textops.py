@@ -8,6 +8,7 @@ longer, so memory does not follow the size of an Arrow batch or of a partition.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,8 @@ import pyarrow as pa
 import zstandard
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = U64(0x9E3779B97F4A7C15)
+LONG = 512  # bytes beyond which a span gets a digest of its own
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,51 +31,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
+def loads(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at every place, as numbers (zeros behind the end)."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(1 << 16, n + n // 8)
-        made = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            made.append(np.multiply.accumulate(steps))
-        _powers = (made[0], made[1])
-    return _powers
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``codes[start:end]`` for every span, from one pass of prefix sums."""
-    up, down = _powers_to(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * up[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+def byte_span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes a round, mixed after each.  Hashes of different seeds
+    are independent.  Spans over LONG bytes go by a cryptographic digest."""
+    size = ends - starts
+    out = mix(size.astype(U64) * _STEP + U64(seed))
+    at8, k, live = loads(buf), 0, np.flatnonzero((size > 0) & (size <= LONG))
+    while len(live):
+        left = size[live] - k
+        out[live] = mix(out[live] * _STEP ^ (at8[starts[live] + k] & _MASKS[np.minimum(left, 8)]))
+        live, k = live[left > 8], k + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = np.frombuffer(digest, U64)[0]
+    return out
 
 
-BLOCK = 1 << 20  # bytes gone through at once
+def equal_spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b on are the same, for each pair of places and its size."""
+    at8, k, out = loads(buf), 0, np.ones(len(a), bool)
+    live = np.flatnonzero(size > 0)
+    while len(live):
+        out[live] = (at8[a[live] + k] ^ at8[b[live] + k]) & _MASKS[np.minimum(size[live] - k, 8)] == 0
+        k += 8
+        live = live[out[live] & (size[live] > k)]
+    return out
 
 
-def byte_span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans, a block of the buffer at a time: a span's hash does not depend on its place."""
-    if len(buf) <= BLOCK or not len(starts):
-        return span_hashes(_BYTE_CODES[buf], starts, ends)
-    order = None if (starts[1:] >= starts[:-1]).all() else np.argsort(starts, kind="stable")
-    s, e = (starts, ends) if order is None else (starts[order], ends[order])
-    out, at = np.empty(len(s), U64), 0
-    while at < len(s):
-        low = int(s[at])
-        to = int(np.searchsorted(s, low + BLOCK))
-        out[at:to] = span_hashes(_BYTE_CODES[buf[low : int(e[at:to].max())]], s[at:to] - low, e[at:to] - low)
-        at = to
-    if order is None:
-        return out
-    back = np.empty(len(s), U64)
-    back[order] = out
-    return back
+def run_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` codes in a row, by joining runs of powers of two."""
+    if len(codes) < n:
+        return np.zeros(0, U64)
+    out, done, power, size = None, 0, codes, 1
+    while True:
+        if n & size:
+            out = power if out is None else mix(out[: len(codes) - done - size + 1] * _STEP + power[done:])
+            done += size
+        if done == n:
+            return mix(out + U64(n))
+        power = mix(power[:-size] * _STEP + power[size:])
+        size *= 2
 
 
 _forgetful: list = []  # what to call when another operator's work begins in this process
@@ -160,15 +166,19 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def gram_hashes(words: np.ndarray, first: np.ndarray, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all runs of n words within a text, the number of each one's first word, and for
     each text the number of its first run.  ``short``: a text of 1 to n-1 words counts as one run."""
-    counts = np.maximum(np.diff(first) - n + 1, 0)
-    length = np.full(len(counts), n, np.int64)
-    if short:
-        few = (counts == 0) & (np.diff(first) > 0)
-        counts[few] = 1
-        length[few] = np.diff(first)[few]
+    length = np.diff(first)
+    counts = np.maximum(length - n + 1, 0)
+    few = (counts == 0) & (length > 0) & short
+    counts[few] = 1
     run = np.concatenate(([0], np.cumsum(counts)))
     at = np.arange(run[-1]) - np.repeat(run[:-1] - first[:-1], counts)
-    return span_hashes(words, at, at + np.repeat(length, counts)), at, run
+    whole = ~np.repeat(few, counts)
+    out = np.empty(len(at), U64)
+    out[whole] = run_hashes(words, n)[at[whole]]
+    for k in range(1, n) if few.any() else ():
+        some = np.flatnonzero(few & (length == k))
+        out[run[some]] = run_hashes(words, k)[first[some]]
+    return out, at, run
 
 
 def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
