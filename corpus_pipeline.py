@@ -10,21 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.decontaminate import decontaminate
-from framelake.llm.graph import cut
+from framelake.llm.graph import cut, fresh
 from framelake.llm.language_id import UNDETERMINED, identify, learn
 from framelake.llm.linear import fold_number
 from framelake.llm.minhash_dedup import keep_first, near_duplicates
 from framelake.llm.sentencepiece_fst import encode_documents
 from framelake.llm.suffix_dedup import suffix_dedup
 
-ORACLE_SQL = None  # no stage but the fourth can be expressed; tests hold the stages against brute force
+ORACLE_SQL = None  # stages learn a model, sign and encode; tests/llm/test_pipeline.py holds each against a brute-force version
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected: texts without a letter, and texts whose two nearest codewords are about as near."""
     model = learn(docs.where(fold_number(4) != 2))
     # columns of any name pass, those that the operator adds included
-    names = {c: c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)}
+    names = {c: c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)}
     judged = identify(docs.withColumnsRenamed(names), model)
     good = judged.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous"))
     return good.select(*[F.col(a).alias(c) for c, a in names.items()])
@@ -40,14 +40,14 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Where a cut falls inside a character, the character's remaining bytes go too.
     """
+    null = fresh(docs, "null")
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    done = suffix_dedup(docs.withColumn("__null", F.col("text").isNull()), width=50, carry=(*carry, "__null"))
-    whole, mended = F.try_validate_utf8(F.col("kept").cast("string")), F.make_valid_utf8(F.col("kept").cast("string"))
-    done = done.withColumn("__text", F.coalesce(whole, F.replace(mended, F.lit("\ufffd"), F.lit(""))))
-    done = done.where("n_removed = 0 or trim(__text) <> ''")
-    made = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("in___null"), F.col("__text"))} | {c: F.col(f"`in_{c}`") for c in carry}
+    done = suffix_dedup(docs.withColumn(null, F.col("text").isNull()), width=50, carry=(*carry, null), whole_characters=True)
+    text = F.col("kept").cast("string")
+    done = done.where((F.col("n_removed") == 0) | (F.trim(text) != ""))
+    made = {"doc_id": F.col("doc_id"), "text": F.when(~F.col(f"in_{null}"), text)} | {c: F.col(f"`in_{c}`") for c in carry}
     if "n_chars" in carry:
-        made["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("__text")).otherwise(F.col("in_n_chars"))
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length(text)).otherwise(F.col("in_n_chars"))
     return done.select(*[made[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 

@@ -34,7 +34,15 @@ def shared_folder(spark: SparkSession) -> str | None:
     return found and found[1]
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the least node of its component.
 
     Each round takes the least label among a node's neighbours and then that label's own label,
@@ -42,7 +50,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(most_rounds):
+    while True:
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
         near = labels.join(heard, labels.node == heard.a).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
@@ -51,4 +59,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = labels.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")

@@ -8,19 +8,21 @@ texts' lengths: the chance that two signatures agree in a slot.
    a random slot, and a slot keeps the shingle of its earliest arrival.  A process ends as soon as
    its next arrival is later than the latest slot of its text.
 2. Banding: 24 bands of 5 slots; a pair of likeness 0.8 shares a band with chance 0.9999.  Exact
-   copies are merged before, by a 128-bit hash.  Every member of a band is tied to the band's
+   copies are merged before, by SHA-256.  Every member of a band is tied to the band's
    least member only, and connected components of these ties are the candidate groups.
 3. Verification: inside a candidate group links are exact.  With M the sum of the smaller
    normalised weights, M / (2 - M) <= likeness <= M; only in between is the index worked out.
    Documents compare themselves to all of their group, those of small classes first, until all that
    have not done so are in one class: from then on no link can join two classes.
 
-Groups over ``block`` documents are dealt to blocks.  Documents outside a block's largest class,
-and ``ambassadors`` of it, then visit all other blocks of the group; if largest classes are still
-apart, all of their members but one class's do.  So no task holds more than a block and visitors.
+Groups over ``block`` documents are dealt to blocks, each a task of its own.  Their largest classes meet
+through ``ambassadors`` of each, 32 blocks at a time, then 32 of these, and so on.  Documents outside a
+block's largest class visit those parts of the group (of 8 blocks) that have a document with a band of
+theirs; if largest classes are still apart, the members of all but one class's do the same.  Visitors come
+in slices of their own, so no task holds more than such a part and a slice, whatever a group's size.
 
 Results: texts without words are alike only if equal. Null text: empty. Null doc_id: the largest
-id. Rows that share a doc_id (or have none) but not a text are documents of their own; a class is named
+id (after all others). Rows that share a doc_id (or have none) but not a text are documents of their own; a class is named
 by doc_id and text. Empty tables give no rows; extra columns do not matter.
 """
 
@@ -30,11 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.exchange import NULL_ID
-from framelake.llm.graph import components, cut
+from framelake.llm.graph import components, cut, fresh
 from framelake.llm.textops import U64, chunks, gram_hashes, group_starts, mix, ragged, text_bytes, word_hashes
 
 SHINGLE = 5
@@ -134,17 +135,24 @@ class Group:
         y[np.searchsorted(items, self.item[b])] = self.weight[b]
         return likeness(x, y)
 
-    def classes(self) -> np.ndarray:
-        """For every document a class number; stops when no link can join two classes any more."""
-        label, waiting = np.arange(self.n), np.ones(self.n, bool)
-        members = {i: [i] for i in range(self.n)}
-        size = np.ones(self.n, np.int64)
+    def classes(self, known: np.ndarray | None = None, guest: np.ndarray | None = None) -> np.ndarray:
+        """For every document a class number; stops when no link can join two classes any more.
+
+        ``known``: classes that are known to begin with; ``guest``: who need compare themselves, the links
+        of all others among themselves being in these classes."""
+        label = np.arange(self.n) if known is None else np.unique(known, return_inverse=True)[1]
+        waiting = np.ones(self.n, bool) if guest is None else guest.copy()
+        unsure = waiting.copy() if guest is None else np.ones(self.n, bool)  # whose links are not all known
+        size = np.bincount(label, minlength=self.n)
+        members: dict[int, list[int]] = {}
+        for i, c in enumerate(label.tolist()):
+            members.setdefault(c, []).append(i)
         while True:
             open_ = np.flatnonzero(waiting)
-            if not len(open_) or (label[open_] == label[open_[0]]).all():
+            if not len(open_) or (label[unsure] == label[open_[0]]).all():
                 return label
             i = int(open_[np.argmin(size[label[open_]])])
-            waiting[i] = False
+            waiting[i] = unsure[i] = False
             found = self.links(i)
             for other in np.unique(label[found]) if len(found) else ():
                 a, b = int(label[i]), int(other)
@@ -175,13 +183,13 @@ def _load(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def text_hash(text: str = "text") -> Column:
     """What texts are known by (null: empty)."""
-    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = 16_384, ambassadors: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = 512, ambassadors: int = 8) -> DataFrame:
     """(doc_id, class_id, class_text) for every row of ``docs`` (doc_id, text): the least doc_id of its
     class, and the hash of the text that has it there (the least such hash).  The two together name a class."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_hash().alias("hash"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_hash().alias("hash"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, CHUNK):
@@ -193,17 +201,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
     signed = cut(docs.mapInArrow(sign, "doc_id long, hash binary, bands array<long>"))
     # every distinct text has a number, in the order of its least doc_id and its hash
+    by_age = F.col("rep").asc_nulls_last(), F.col("hash")
     copies = signed.groupBy("hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copies = cut(copies.repartitionByRange("rep", "hash").sortWithinPartitions("rep", "hash").withColumn("text_id", F.monotonically_increasing_id()))
-    reps = copies.select(F.col("rep").alias("doc_id"), "hash", "text_id")
-    slots = signed.join(reps, ["doc_id", "hash"]).select("text_id", F.explode("bands").alias("band"))
+    copies = cut(copies.repartitionByRange(*by_age).sortWithinPartitions(*by_age).withColumn("text_id", F.monotonically_increasing_id()))
+    reps = copies.select("rep", F.col("hash").alias("rep_hash"), "text_id")
+    first = (F.col("hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    slots = signed.join(reps, first).select("text_id", F.explode("bands").alias("band"))  # of each distinct text
     leads = slots.groupBy("band").agg(F.min("text_id").alias("lead"), F.max("text_id").alias("last")).where("lead <> last").select("band", "lead")
     ties = slots.join(leads, "band").where("text_id <> lead").select(F.col("text_id").alias("a"), F.col("lead").alias("b")).distinct()
     groups = cut(_groups(ties))
     sizes = groups.groupBy("grp").count().where(F.col("count") > block).select("grp", F.ceil(F.col("count") / block).alias("blocks"))
     placed = groups.join(sizes, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
     large = sizes.limit(1).count() > 0
-    texts = docs.join(placed.join(reps, "text_id"), ["doc_id", "hash"]).select("grp", "blk", "text_id", "text")
+    texts = docs.join(placed.join(reps, "text_id"), first).select("grp", "blk", "text_id", "text")
     if large:
         texts = cut(texts)
 
@@ -218,7 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
     linked = texts.groupBy("grp", "blk").applyInArrow(classes, "grp long, blk int, text_id long, class long, main boolean")
     if large:
-        linked = _across(cut(linked), texts, sizes, threshold, ambassadors)
+        linked = _across(cut(linked), texts, slots, sizes, threshold, ambassadors)
     # classes' names and copies' classes are found by salted keys, as one class or text may have any number of them
     salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int")
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
@@ -230,8 +240,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         F.explode(F.when(F.col("n") > 1, salts).otherwise(F.array(salt("rep")))).alias("salt"),
     )
     whole = signed.select("doc_id", "hash", salt("doc_id").alias("salt")).join(whole, ["hash", "salt"])
-    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return whole.select(null("doc_id"), null("class_id"), "class_text")
+    return whole.select("doc_id", "class_id", "class_text")
 
 
 def _groups(ties: DataFrame) -> DataFrame:
@@ -249,47 +258,90 @@ def _groups(ties: DataFrame) -> DataFrame:
     return nodes.join(settled, F.col("lead") == F.col("node"), "left").select("text_id", F.coalesce("label", "lead").alias("grp"))
 
 
-def _across(linked: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float, ambassadors: int) -> DataFrame:
+FAN = 32  # blocks whose ambassadors meet in one task
+PART = 8  # blocks that are visited together
+SLICE = 4096  # visitors that come together
+
+
+def _across(linked: DataFrame, texts: DataFrame, slots: DataFrame, sizes: DataFrame, threshold: float, ambassadors: int) -> DataFrame:
     """Classes of groups that lie in several blocks, joined where a link crosses blocks."""
     split = cut(linked.join(sizes, "grp"))
-    rank = F.row_number().over(_by("grp", "blk").orderBy(F.xxhash64("text_id")))
-    chosen = split.withColumn("r", F.when(F.col("main"), rank)).where(~F.col("main") | (F.col("r") <= ambassadors))
-    joined = _visit(chosen, split, texts, threshold)
+    edges = _assemble(split, texts, threshold, ambassadors).union(_visit(split.where(~F.col("main")), split, texts, slots, threshold))
+    edges = cut(edges)
+    joined = components(edges).select(F.col("node").alias("class"), F.col("label").alias("to"))
     # largest classes that are still apart: members of all but the least class visit as well
     mains = split.where("main").select("grp", "blk", "class").distinct()
     top = mains.join(joined, "class", "left").withColumn("now", F.coalesce("to", "class"))
-    apart = top.withColumn("least", F.min("now").over(_by("grp"))).where("now <> least").select("grp", "blk", "class").distinct()
+    apart = cut(top.withColumn("least", F.min("now").over(Window.partitionBy("grp"))).where("now <> least").select("grp", "blk", "class").distinct())
     if apart.limit(1).count():
-        joined = _visit(chosen.select(split.columns).union(split.where("main").join(apart, ["grp", "blk", "class"], "left_semi").select(split.columns)).distinct(), split, texts, threshold)
+        more = _visit(split.where("main").join(apart, ["grp", "blk", "class"], "left_semi"), split, texts, slots, threshold)
+        joined = components(edges.union(more)).select(F.col("node").alias("class"), F.col("label").alias("to"))
     return linked.join(joined, "class", "left").select("text_id", F.coalesce("to", "class").alias("class"))
 
 
-def _by(*columns: str):
-    from pyspark.sql import Window
+def _merged(ids: np.ndarray, old: np.ndarray, new: np.ndarray) -> pa.Table:
+    """(a, b) for every old class that is in one new class with another."""
+    order = np.argsort(new, kind="stable")
+    starts = group_starts(new[order])
+    head = np.repeat(old[order[starts]], np.diff(np.append(starts, len(order))))
+    pairs = np.unique(np.stack([old[order], head], 1)[old[order] != head], axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return Window.partitionBy(*columns)
 
+def _known(table: pa.Table, ids: np.ndarray, column: str) -> np.ndarray:
+    at = table.column("text_id").to_numpy()
+    order = np.argsort(at, kind="stable")
+    return table.column(column).to_numpy()[order[np.searchsorted(at, ids, sorter=order)]]
 
-def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(class, to): classes renamed after links between visitors and the blocks they visit."""
-    guests = visitors.join(texts.select("grp", "text_id", "text"), ["grp", "text_id"])
-    guests = guests.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to_blk"), "blk", "text_id", "text", "class").where("to_blk <> blk").select("grp", F.col("to_blk").alias("blk"), "text_id", "text", "class")
-    hosts = split.select("grp", "blk", "text_id", "class").join(texts, ["grp", "blk", "text_id"]).select("grp", "blk", "text_id", "text", "class")
 
-    def meet(table: pa.Table) -> pa.Table:
-        ids, row, shingle, weight = _load(table)
-        known = dict(zip(table.column("text_id").to_pylist(), table.column("class").to_pylist(), strict=True))
-        old = np.array([known[i] for i in ids.tolist()])
-        new = Group(row, shingle, weight, len(ids), threshold).classes()
-        pairs = {(int(o), int(old[np.flatnonzero(new == n)[0]])) for o, n in {(int(a), int(b)) for a, b in zip(old, new, strict=True)}}
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+def _assemble(split: DataFrame, texts: DataFrame, threshold: float, ambassadors: int) -> DataFrame:
+    """(a, b): largest classes of blocks that are one, by some members of each, FAN blocks at a time."""
 
-    edges = hosts.unionByName(guests).groupBy("grp", "blk").applyInArrow(meet, "a long, b long").where("a <> b")
-    return components(edges).select(F.col("node").alias("class"), F.col("label").alias("to"))
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        ids, row, shingle, weight = _load(table)
+        old = _known(table, ids, "class")
+        new = Group(row, shingle, weight, len(ids), threshold).classes(old)
+        return _merged(ids, old, new)
+
+    most = split.agg(F.max("blocks")).first()[0] or 0
+    by = Window.partitionBy("grp", "unit").orderBy(F.xxhash64("text_id", F.lit("ambassador")), "text_id")
+    few = split.where("main").select("grp", F.col("blk").alias("unit"), "text_id", "class")
+    edges = None
+    while most > 1:
+        few = few.withColumn("r", F.row_number().over(by)).where(F.col("r") <= ambassadors).drop("r")
+        few = cut(few.join(texts.select("grp", "text_id", "text"), ["grp", "text_id"]).withColumn("unit", F.floor(F.col("unit") / FAN).cast("int")) if edges is None else few.withColumn("unit", F.floor(F.col("unit") / FAN).cast("int")))
+        found = few.select("grp", "unit", "text_id", "text", "class").groupBy("grp", "unit").applyInArrow(meet, "a long, b long")
+        edges = found if edges is None else edges.union(found)
+        most = -(-most // FAN)
+    return edges
+
+
+def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, slots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): classes that are one by links between visitors and the parts of their group they visit."""
+    part = F.floor(F.col("blk") / PART).cast("int").alias("part")
+    homes = slots.join(split.select("grp", "blk", "text_id"), "text_id").select("grp", part, "band").distinct()
+    asked = slots.join(visitors.select("grp", "text_id", "class"), "text_id")
+    asked = cut(asked.join(homes, ["grp", "band"]).select("grp", "part", "text_id", "class").distinct())
+    counts = asked.groupBy("grp", "part").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    asked = asked.join(counts, ["grp", "part"]).withColumn("slice", F.pmod(F.xxhash64("text_id", F.lit("slice")), F.col("slices")).cast("int"))
+    guests = asked.join(texts.select("grp", "text_id", "text"), ["grp", "text_id"]).select("grp", "part", "slice", "text_id", "text", "class", F.lit(True).alias("guest"))
+    hosts = split.select("grp", part, "blk", "text_id", "class").join(counts, ["grp", "part"]).join(texts.select("grp", "blk", "text_id", "text"), ["grp", "blk", "text_id"])
+    hosts = hosts.select("grp", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "text_id", "text", "class", F.lit(False).alias("guest"))
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        ids, row, shingle, weight = _load(table)  # a visitor that is at home here counts once
+        old = _known(table, ids, "class")
+        guest = np.isin(ids, table.column("text_id").to_numpy()[table.column("guest").to_numpy()])
+        return _merged(ids, old, Group(row, shingle, weight, len(ids), threshold).classes(old, guest))
+
+    return hosts.unionByName(guests).groupBy("grp", "part", "slice").applyInArrow(meet, "a long, b long")
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of each class one row of ``docs``: one that has the doc_id and the text that name it."""
-    keys = {"__head": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__hash": text_hash()}
-    heads = classes.select(F.coalesce("class_id", F.lit(NULL_ID)).alias("__head"), F.col("class_text").alias("__hash")).distinct()
-    return docs.withColumns(keys).join(heads, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
+    """Of each class one row of ``docs``: one that has the doc_id and the text that name it.  Of rows alike in
+    both, any one stays."""
+    key, text = fresh(docs, "key"), fresh(docs, "hash")
+    docs = docs.withColumns({key: F.col("doc_id").cast("long"), text: text_hash()})
+    heads = classes.select("class_id", "class_text").distinct()
+    first = docs.join(heads, F.col(key).eqNullSafe(heads.class_id) & (F.col(text) == heads.class_text), "left_semi")
+    return first.dropDuplicates([key, text]).drop(key, text)

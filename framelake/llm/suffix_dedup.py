@@ -257,11 +257,12 @@ def _merge_anchors(letters: list[Letter]) -> tuple[Letter, np.ndarray]:
     return (grams[order][starts], several, total), origin
 
 
-def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20, layout: Layout | None = None, texts: bool = True, carry: tuple[str, ...] = (), hot: int = 20_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20, layout: Layout | None = None, texts: bool = True, carry: tuple[str, ...] = (), hot: int = 20_000, whole_characters: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): what is removed and what is kept.
 
-    ``texts``: also return the kept bytes; otherwise that column is null.  ``carry``: columns of
-    ``docs`` to return as ``in_<name>``.
+    ``texts``: also return the kept bytes; otherwise that column is null.  ``whole_characters``: without what a
+    cut left of a character (the digest is of all kept bytes).  ``carry``: columns of ``docs`` to return
+    as ``in_<name>``.
     """
     if not GRAM < width < 139:
         raise ValueError(f"width must be over {GRAM} and under 139")
@@ -371,6 +372,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
             text = buf[b.offs[i] : b.offs[i + 1]]
             left_over = (text if not removed[i] else text[~gone[b.offs[i] : b.offs[i + 1]]]).tobytes()
             sha.append(hashlib.sha256(left_over).hexdigest())
+            if whole_characters and removed[i]:
+                left_over = left_over.decode("utf-8", "ignore").encode()
             kept.append(left_over if texts else None)
         out = pa.table(
             {

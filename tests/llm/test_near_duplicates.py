@@ -1,3 +1,5 @@
+import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -54,7 +56,7 @@ def classes_brute(rows, threshold=0.8):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("kw", [{}, {"block": 3, "ambassadors": 1}, {"block": 7}])
+@pytest.mark.parametrize("kw", [{}, {"block": 3, "ambassadors": 1}, {"block": 7}, {"block": 1, "ambassadors": 2}])
 def test_classes(spark, kw):
     rnd = random.Random(2)
     base = ["w%d" % rnd.randrange(1000) for _ in range(150)]
@@ -74,6 +76,76 @@ def test_classes(spark, kw):
     assert kept.columns == df.columns
 
 
+def classes_of_rows(rows, threshold=0.8):
+    """Rows in classes, by every pair of texts."""
+    texts = sorted({t or "" for _, t in rows})
+    own = [weights(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(own):
+        for j, b in enumerate(own[:i]):
+            if a and b and label[i] != label[j] and exact(a, b) >= threshold - 1e-9:
+                label = [label[j] if x == label[i] else x for x in label]
+    where = {t: label[k] for k, t in enumerate(texts)}
+    out = {}
+    for i, t in rows:
+        out.setdefault(where[t or ""], []).append((i is None, i or 0, hashlib.sha256((t or "").encode()).digest()))
+    return sorted((*r, *min(members)[:2]) for members in out.values() for r in members)
+
+
+@pytest.mark.parametrize("kw", [{}, {"block": 2, "ambassadors": 1}])
+def test_rows_are_what_is_classed(spark, kw):
+    rnd = random.Random(11)
+    text = lambda: ["u%d" % rnd.randrange(10**6) for _ in range(60)]
+    bases, rows = [text() for _ in range(6)], []
+    for i in range(90):
+        t = list(rnd.choice(bases))
+        t[rnd.randrange(60)] = "e%d" % i
+        rows.append((rnd.choice([None, 7, i, 2**63 - 1]), " ".join(t if rnd.random() < 0.7 else text())))
+    rows += [(8, "ab" * 5), (None, ""), (None, None), (3, rows[0][1]), (None, rows[1][1]), rows[5], rows[6]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = near_duplicates(df, **kw)
+    text_of = {hashlib.sha256((t or "").encode()).digest(): t for _, t in rows}
+    got = sorted((r.class_id is None, r.class_id or 0, bytes(r.class_text)) for r in found.collect())
+    want = classes_of_rows(rows)
+    assert sorted(g[:2] for g in got) == sorted(w[3:] for w in want)
+    assert len(set(got)) == len({tuple(g) for g in got}) and all(g[2] in text_of for g in got)
+    assert keep_first(df, found).count() == len(set(got))
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_texts_that_polynomials_cannot_tell(spark):
+    rows = [(2 * i + f, thue_morse(n, f)) for i, n in enumerate([64, 1024, 4096]) for f in (0, 1)]
+    rows += [(100 + f, " ".join(f"{thue_morse(1024, f)} w{k}" for k in range(9))) for f in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == {i: i for i, _ in rows}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_recall_on_documents(spark):
+    """Classes of all documents against those that exact likeness of all pairs makes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    data = [t.encode() for _, t in rows]
+    row, shingle, weight = weighted_shingles(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    label = Group(row, shingle, weight, len(rows), 0.8).classes()
+    exact_copies = {}
+    for k, (_, t) in enumerate(rows):
+        exact_copies.setdefault(t, []).append(k)
+    for same in exact_copies.values():
+        for k in same[1:]:
+            label[label == label[k]] = label[same[0]]
+    least = {}
+    for (i, _), c in zip(rows, label):
+        least[c] = min(i, least.get(c, i))
+    want = {i: least[c] for (i, _), c in zip(rows, label)}
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert sum(i != c for i, c in want.items()) > 50
+    assert got == want
+
+
 def test_awkward_rows(docs, rows):
     assert near_duplicates(docs).count() == len(rows)
 
