@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -78,19 +79,66 @@ CONVERSATIONS = [
 ]
 
 
-def test_perspectives(spark):
-    df = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string").withColumns({"speaker": F.lit(1), "part": F.lit("x"), "said": F.lit(2)}).repartition(3)
-    got = chat.rotate_perspectives(df)
+def rendered_by_hand(rows, context=("system",)):
+    """{(dialogue, speaker): (rendering, spans)}, a turn at a time."""
+    dialogues = {}
+    for k, (conv, turn, role, text) in enumerate(rows):
+        role, text = role or "unknown", (text or "").replace("<|", "< |")
+        rank = (turn is not None, turn or 0, "" if turn is not None else hashlib.sha256(f"{role}|{text}".encode()).hexdigest(), role, text)
+        dialogues.setdefault((conv, None if conv is not None else k), []).append((rank, role, text))
+    out = {}
+    for d, said in dialogues.items():
+        said.sort(key=lambda x: x[0])
+        for speaker in {r for _, r, _ in said} - set(context):
+            whole, spans = "", []
+            for _, role, text in said:
+                label = "assistant" if role == speaker else role if role in context else "user name=" + re.sub(r"[\s<>|]+", "_", role)
+                whole += f"<|im_start|>{label}\n"
+                if role == speaker:
+                    spans.append((len(whole), len(whole) + len(text) + 11))
+                whole += f"{text}<|im_end|>\n"
+            out[d, speaker] = whole, spans
+    return out
+
+
+def long_dialogue():
+    rnd = random.Random(6)
+    rows = [(10, i, rnd.choice(["ann", "bob", "system", "c c"]), "t" * rnd.randrange(9)) for i in range(1500)]
+    rows += [(11, 10**9 * i, rnd.choice("xy"), f"stamp {i}") for i in range(40)]
+    return rows + [(12, None, rnd.choice("xyz"), f"no number {i % 30}") for i in range(60)] + [(13, i, "xy"[i % 2], "over a border") for i in range(500, 520)]
+
+
+@pytest.mark.parametrize("page_turns", [7, 100, chat.PAGE_TURNS])
+def test_perspectives(spark, page_turns):
+    rows = CONVERSATIONS + long_dialogue()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"speaker": F.lit(1), "page": F.lit("x"), "said": F.lit(2), "chunk": F.lit(2)}).repartition(3)
+    got = chat.rotate_perspectives(df, page_turns=page_turns)
     con = duckdb.connect()
     table = df.select("conv_id", "turn", "role", "text").toPandas()
     con.register("raw", table)
     con.sql("CREATE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM raw")
     key = lambda r: tuple((x is None, str(x)) for x in r)
     columns = ", ".join(got.columns)
-    assert sorted(map(tuple, got.collect()), key=key) == sorted(con.sql(f"SELECT {columns} FROM ({chat.oracle()})").fetchall(), key=key)
-    ann = next(r for r in got.collect() if (r.conv_id, r.speaker) == (1, "ann"))
+    found = got.collect()
+    assert sorted(map(tuple, found), key=key) == sorted(con.sql(f"SELECT {columns} FROM ({chat.oracle(page_turns=page_turns)})").fetchall(), key=key)
+    whole, spans = {}, {}
+    for r in sorted(found, key=lambda r: r.page):
+        if r.conv_id is not None:
+            k = r.conv_id, r.speaker
+            assert r.start == len(whole.get(k, ""))
+            whole[k] = whole.get(k, "") + r.rendered
+            spans.setdefault(k, []).extend(tuple(map(int, s.split(":"))) for s in r.mask.split())
+            assert r.n_turns <= page_turns + chat.RANGE
+    want = rendered_by_hand(rows)
+    assert {k: (whole[k], spans[k]) for k in whole} == {(d[0], s): v for (d, s), v in want.items() if d[0] is not None}
+    assert sorted(r.rendered for r in found if r.conv_id is None) == sorted(v[0] for (d, _), v in want.items() if d[0] is None)
+    ann = next(r for r in found if (r.conv_id, r.speaker) == (1, "ann"))
     assert ann.rendered.startswith("<|im_start|>system\nbe nice<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n< |im_start|>assistant<|im_end|>")
-    spans = [ann.rendered[slice(*map(int, s.split(":")))] for s in ann.mask.split()]
-    assert spans == ["hi<|im_end|>\n", "<|im_end|>\n", "<|im_end|>\n"]
-    assert not [r for r in got.collect() if r.conv_id == 2]
+    assert not [r for r in found if r.conv_id == 2]
+    if page_turns == chat.PAGE_TURNS:
+        assert {r.page for r in found if r.conv_id != 10} == {0}  # ordinary dialogues are one row, however numbered
+
+
+def test_perspectives_of_nothing(spark):
+    df = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
