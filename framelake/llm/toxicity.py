@@ -2,10 +2,13 @@
 
 Features: how often a text has a word (case folded, letters only), or a word with a certain prefix,
 and its length.  The model is a logistic regression over those whose presence tells the labels
-apart best.  For every labelled text with an
-identity term, texts with that term swapped for each other term of its group are made, and the
-squared change of the score is penalised; so no group's mere mention moves the score, while
-labels still speak for words that matter.
+apart best.
+
+For every labelled text of the sample that mentions an identity term, texts with all of that term's
+mentions swapped for each other term of its group are made and turned into features like any text.
+What the swap does to the text's score, in log odds (so that sure scores are held like others), is squared,
+averaged over the text's swaps and over all texts with swaps, and penalised.  So no group's mere mention
+moves the score, while labels still speak for words that matter.
 
 Fitting uses at most ``sample_rows`` labelled rows (a documented bound); scoring reads every
 whole text and nothing else of a row.
@@ -16,8 +19,10 @@ score 0 for all.  A doc_id with several labels counts with each.  Repeated rows
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,11 @@ CHUNK = 2 << 20
 
 # Groups of terms that may stand for one another; a parameter of ``learn``.
 IDENTITY_GROUPS = (
+    ("he", "she"),
+    ("him", "her"),
+    ("er", "sie"),
+    ("il", "elle"),
+    ("él", "ella"),
     ("women", "men", "girls", "boys", "transgender"),
     ("woman", "man", "girl", "boy"),
     ("gay", "lesbian", "bisexual", "straight", "queer"),
@@ -80,11 +90,6 @@ def features(c: Chunk, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np
     return row[at], code[at], np.log1p(np.diff(np.append(at, len(row)))), np.log1p(np.diff(first))
 
 
-def term_code(term: str) -> int:
-    buf = fold_case(np.frombuffer(term.encode(), np.uint8))
-    return int(byte_span_hashes(buf, np.array([0]), np.array([len(buf)]))[0])
-
-
 @dataclass(frozen=True)
 class Model:
     vocabulary: np.ndarray  # features, ascending
@@ -104,32 +109,61 @@ def term_features(term: str) -> np.ndarray:
     return features(Chunk(None, data, np.array([0, len(data)])))[1]
 
 
-def swaps(code: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> list[tuple[str, str, int]]:
-    """(term present, term that takes its place, number of texts) for all identity terms."""
+def swapped(text: str, groups: tuple[tuple[str, ...], ...]) -> list[str]:
+    """The text with all mentions of each identity term in it swapped for each other term of its group."""
     out = []
     for group in groups:
-        for a in group:
-            times = int((code == U64(term_code(a))).sum())
-            out += [(a, b, times) for b in group if b != a and times]
+        for term in group:
+            mention = _mention(term)
+            if mention.search(text):
+                out += [mention.sub(other, text) for other in group if other != term]
     return out
 
 
-def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, strength: float = 10.0, decay: float = 1e-5, rounds: int = 500, odds: float | None = None) -> Model:
+@lru_cache(maxsize=4096)
+def _mention(term: str) -> re.Pattern:
+    return re.compile(rf"(?<![^\W\d_]){re.escape(term)}(?![^\W\d_])", re.IGNORECASE)
+
+
+def changes(text: str, groups: tuple[tuple[str, ...], ...], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What swaps change in a text's features: (number of the swap, feature, difference)."""
+    swap, code, value = [], [], []
+    others = swapped(text, groups)
+    for number, other in enumerate(others):
+        data = [x.encode() for x in (text, other)]
+        row, codes, values, _ = features(Chunk(None, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])), wanted)
+        both, at = np.unique(codes, return_inverse=True)
+        change = np.bincount(at, np.where(row == 1, values, -values), len(both))
+        some = np.flatnonzero(np.abs(change) > 1e-12)
+        swap.append(np.full(len(some), number))
+        code.append(both[some])
+        value.append(change[some])
+    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+    return join(swap, np.int64), join(code, U64), join(value, np.float32)
+
+
+@dataclass(frozen=True)
+class Swaps:
+    """Of all swapped texts: the weight of each, and what it changes (its number, feature, difference)."""
+
+    share: np.ndarray
+    row: np.ndarray
+    code: np.ndarray
+    value: np.ndarray
+
+
+NO_SWAPS = Swaps(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.float32))
+
+
+def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, swaps: Swaps = NO_SWAPS, strength: float = 10.0, decay: float = 1e-5, rounds: int = 500, odds: float | None = None) -> Model:
     """``x``: features of all texts (see ``features``).  ``strength``: weight of the counterfactual
     penalty (0: none).  ``odds``: of label 1 among all labelled rows, where the sample's differ."""
     row, code, value, length = x
     n = len(labels)
     if not n or labels.min() == labels.max():
         return Model(np.zeros(0, U64), np.zeros(0), 0.0, 50.0 if n and labels.any() else -50.0)
-    vocabulary, at = np.unique(code, return_inverse=True)
-    # a swap changes the sum of the weights of one term's features into that of another's
-    pairs = swaps(code, groups) if strength else []
-    terms = sorted({t for a, b, _ in pairs for t in (a, b)})
-    own = [np.flatnonzero(np.isin(vocabulary, term_features(t))) for t in terms]
-    of_term, of_feature = np.repeat(np.arange(len(terms)), [len(f) for f in own]), np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64)
-    left, right = (np.array([terms.index(p[i]) for p in pairs], np.int64) for i in (0, 1))
-    share = np.array([p[2] for p in pairs], float)
-    share /= max(share.sum(), 1)
+    vocabulary, at = np.unique(np.concatenate((code, swaps.code)), return_inverse=True)
+    at, swap_at = at[: len(code)], at[len(code) :]
     rate = labels.mean()
     base = np.log(rate / (1 - rate))
     k = len(vocabulary)
@@ -141,11 +175,9 @@ def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], labels: np.nda
         error = sigmoid(np.bincount(row, w[at] * value, n) + w[k] * (length - middle) + w[k + 1]) - labels
         g = np.concatenate((np.bincount(at, error[row] * value, k) / n, [(error * (length - middle)).mean(), error.mean()]))
         g[:k] += decay * w[:k]
-        if pairs:
-            term = np.bincount(of_term, w[of_feature], len(terms))
-            change = 2 * strength * share * (term[left] - term[right])
-            pull = np.bincount(left, change, len(terms)) - np.bincount(right, change, len(terms))
-            g[:k] += np.bincount(of_feature, pull[of_term], k)
+        if strength and len(swaps.share):
+            change = np.bincount(swaps.row, w[swap_at] * swaps.value, len(swaps.share))
+            g[:k] += np.bincount(swap_at, (2 * strength * swaps.share * change)[swaps.row] * swaps.value, k)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m / (np.sqrt(v) + 1e-8)
     shift = np.log(odds) - base if odds else 0.0
@@ -168,27 +200,34 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, vocabula
     rate = counts.get(1, 0) and min(counts[1], sample_rows // 2) / sum(min(n, sample_rows // 2) for n in counts.values())
     totals = sample.mapInArrow(count, "feature long, seen long, toxic long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
     lift = F.abs(F.col("toxic") - rate * F.col("seen")) / F.sqrt(F.col("seen") * (rate * (1 - rate)) + 1)
-    terms = [int(np.uint64(term_code(t)).view(np.int64)) for g in groups for t in g]
-    best = totals.where(F.col("seen") >= 3).withColumn("lift", F.when(F.col("feature").isin(terms), 1e9).otherwise(lift)).where("lift > 2").orderBy(F.desc("lift"), "feature").limit(vocabulary)
+    # terms that the sample hardly has get no weight, so swaps for them pull a term's own weight to nothing
+    terms = np.unique(np.concatenate([np.zeros(0, U64), *(term_features(t) for g in groups for t in g)])).view(np.int64).tolist()
+    lift = F.when(F.col("feature").isin(terms), 1e9).otherwise(lift)
+    best = totals.where(F.col("seen") >= 3).withColumn("lift", lift).where("lift > 2").orderBy(F.desc("lift"), "feature").limit(vocabulary)
     wanted = np.sort(np.array([r[0] for r in best.select("feature").collect()], np.int64).view(U64))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, CHUNK):
             row, code, value, length = features(c, wanted)
             cuts = np.searchsorted(row, np.arange(len(c) + 1))
-            packed = [pack(code[a:b], value[a:b].astype(np.float32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            packed = [pack(code[a:b], value[a:b].astype(np.float32), *changes(c.buf[s:e].tobytes().decode("utf-8", "replace"), groups, wanted)) for a, b, s, e in zip(cuts[:-1], cuts[1:], c.offs[:-1], c.offs[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([c.batch.column("toxic"), pa.array(length), pa.array(packed, pa.binary())], names=["toxic", "length", "x"])
 
     got = [(r[0], r[1], *unpack(r[2])) for r in sample.mapInArrow(vectors, "toxic int, length double, x binary").collect()]
-    got.sort(key=lambda g: (g[0], g[1], g[2].tobytes(), g[3].tobytes()))
+    got.sort(key=lambda g: (g[0], g[1], *(a.tobytes() for a in g[2:])))
     sizes = [len(g[2]) for g in got]
     join = lambda i, kind: np.concatenate([g[i] for g in got]) if got else np.zeros(0, kind)
     x = np.repeat(np.arange(len(got)), sizes), join(2, U64), join(3, np.float32), np.array([g[1] for g in got])
-    return fit(x, np.array([g[0] for g in got], np.int64), groups, odds=counts[1] / counts[0] if len(counts) == 2 else None, **fitting)
+    many = np.array([g[4].max() + 1 if len(g[4]) else 0 for g in got], np.int64)  # swaps of each text
+    first = np.cumsum(many) - many
+    share = np.repeat(1 / np.maximum(many, 1), many) / max((many > 0).sum(), 1)
+    swaps = Swaps(share, join(4, np.int64) + np.repeat(first, [len(g[4]) for g in got]).astype(np.int64), join(5, U64), join(6, np.float32))
+    return fit(x, np.array([g[0] for g in got], np.int64), swaps, odds=counts[1] / counts[0] if len(counts) == 2 else None, **fitting)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns; text) with score and predicted."""
+    """``docs`` (any columns; text) with score and predicted; columns of these names are replaced."""
+    docs = docs.drop("score", "predicted")
     schema = StructType(docs.schema.fields[:]).add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

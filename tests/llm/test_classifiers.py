@@ -1,5 +1,7 @@
+import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 
 from framelake.llm.language_id import codewords, fit, language_id
 from framelake.llm.linear import bounded_sample, fold_case
-from framelake.llm.toxicity import IDENTITY_GROUPS, toxicity
+from framelake.llm.textops import Chunk, byte_span_hashes
+from framelake.llm.toxicity import IDENTITY_GROUPS, PREFIXES, Swaps, changes, features, fit as fit_toxicity, swapped, toxicity
 
 SYLLABLES = {"aa": "ka lo mi tu ra".split(), "bb": "sche ung ber lich ein".split(), "cc": "tion eau oui le que".split()}
 
@@ -124,6 +127,81 @@ def test_counterfactuals_clear_neutral_mentions(comments, spark):
     assert held < 0.6 * free
 
 
+def by_hand(text, kept=None):
+    """Features of a text, a word at a time: {(kind, bytes): log count}, and its log number of words."""
+    buf = fold_case(np.frombuffer(text.encode(), np.uint8)).tobytes()
+    words = buf.split()
+    count = Counter(("word", w) for w in words)
+    for k in PREFIXES:
+        count.update(("prefix", w[:k]) for w in words if len(w) > k)
+    return {f: np.log1p(n) for f, n in count.items()}, np.log1p(len(words))
+
+
+def code_of(feature):
+    kind, data = feature
+    code = byte_span_hashes(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))
+    return int(code[0] ^ np.uint64(0x5851F42D4C957F2D if kind == "prefix" else 0))
+
+
+def test_swaps_are_texts():
+    groups = (("he", "she"), ("muslims", "jews", "hindus"))
+    assert swapped("He saw the Muslims, the help, he!", groups) == ["she saw the Muslims, the help, she!", "He saw the jews, the help, he!", "He saw the hindus, the help, he!"]
+    assert swapped("sheer ache _he_ 3he", groups) == ["sheer ache _she_ 3she"]
+    assert swapped("", groups) == swapped("nobody", groups) == []
+
+
+def test_the_fit_minimises_the_objective():
+    """Loss and penalty as the docstring has them, with swapped texts turned into features by hand."""
+    rnd, groups = random.Random(5), (("ba", "co", "di"),)
+    texts = [" ".join(rnd.choice(["ba", "co", "di", "vile", "wordlong", "wordy", "x"]) for _ in range(rnd.randrange(1, 9))) for _ in range(120)]
+    labels = np.array([int("vile" in t or (t.count("ba") > 1 and rnd.random() < 0.8)) for t in texts])
+    vocabulary = sorted({f for t in texts for u in [t, *swapped(t, groups)] for f in by_hand(u)[0]})
+    dense = lambda t: np.array([by_hand(t)[0].get(f, 0.0) for f in vocabulary])
+    x, length = np.array([dense(t) for t in texts]), np.array([by_hand(t)[1] for t in texts])
+    pairs = [[dense(u) - dense(t) for u in swapped(t, groups)] for t in texts]
+    wanted = np.unique(np.array([code_of(f) for f in vocabulary], np.uint64))
+    data = [t.encode() for t in texts]
+    chunk = Chunk(None, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    got, share, at = [changes(t, groups, wanted) for t in texts], [], []
+    for p, (swap, code, value) in zip(pairs, got):
+        assert len(p) == (swap.max() + 1 if len(swap) else 0)
+        for k, d in enumerate(p):
+            have = dict(zip(code[swap == k].tolist(), value[swap == k].tolist()))
+            assert have == pytest.approx({code_of(f): v for f, v in zip(vocabulary, d) if v})
+        at += [len(share) + s for s in swap]
+        share += [1 / len(p)] * len(p) if p else []
+    mentions = sum(bool(p) for p in pairs)
+    swaps = Swaps(np.array(share) / mentions, np.array(at), np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got]))
+    for strength in (0.0, 1.0):
+        model = fit_toxicity(features(chunk), labels, swaps, strength, decay=1e-3, rounds=4000)
+        w = np.array([model.weights[np.searchsorted(model.vocabulary, np.uint64(code_of(f)))] for f in vocabulary])
+
+        def objective(w, by_length, bias):
+            z = x @ w + by_length * length + bias
+            loss = (np.logaddexp(0, z) - labels * z).mean() + 1e-3 / 2 * (w @ w)
+            return loss + strength * sum(np.mean([(d @ w) ** 2 for d in p]) for p in pairs if p) / mentions
+
+        best = objective(w, model.by_length, model.bias)
+        rng = np.random.default_rng(0)
+        for _ in range(40):
+            step = rng.normal(size=len(w) + 2) * 0.05
+            assert objective(w + step[:-2], model.by_length + step[-2], model.bias + step[-1]) > best - 1e-5
+        z = x @ w + model.by_length * length + model.bias
+        assert model.score(*features(chunk, model.vocabulary)) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_swaps_are_active_on_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = [r.text for r in docs.join(labels, "doc_id").collect()]
+    assert sum(bool(swapped(t or "", IDENTITY_GROUPS)) for t in texts) > 0.2 * len(texts)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    for strength in (0.0, 10.0):
+        held = [r for r in toxicity(docs, labels, strength=strength).collect() if r.held_out and r.doc_id in truth]
+        assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.93
+        assert sum(r.predicted > truth[r.doc_id] for r in held) <= 0.02 * len(held)
+
+
 def test_toxicity_without_labels(comments, no_docs, spark):
     docs, labels = comments
     assert {r.predicted for r in toxicity(docs, labels.where("false")).collect()} == {0}
