@@ -1,21 +1,33 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled into three transducers: the normaliser (character map, spaces), the
-pieces (an arc per piece, weighted by its negative score), and byte fallback (an arc per unknown
-character, writing its bytes' pieces).  Encoding composes them with a text and takes the shortest
-path of the tropical semiring, by relaxing arcs from left to right.
-
-For unigram models that is their definition.  In byte-pair models weights alone do not give what
-merging gives; there the piece transducer remembers its last piece, and an arc may follow only a
-piece it is compatible with: merging the two pieces' text alone must give these two pieces.
-Merges inside pieces that are next to each other happen independently, so a path has compatible
-neighbours only if it is the result of merging, and each prefix of a text has exactly one.
+A model file is compiled into transducers:
+
+* normaliser: the character map (a trie that writes upon its longest match) and, for spaces, a
+  subsequential transducer (``Fst``): arcs by state and symbol, an arc for all other symbols, final outputs;
+* pieces: an arc per piece, read backwards from a trie of pieces' ends, weighted;
+* byte fallback: an arc per character that no piece covers, writing its bytes' pieces (or, in models
+  without byte pieces, the unknown piece once for a run of such characters).
+
+Encoding composes the text with the normaliser, its output with pieces and fallback, and takes the path of
+least weight in the tropical semiring (weights add up along a path, the least one wins, infinity is no arc),
+relaxing all arcs into each place from left to right.
+
+Weights: in unigram models an arc costs its piece's negative score.  In byte-pair models scores are ranks
+of merges, and no weights of single pieces give what merging gives.  There the state is the last piece: an
+arc costs its rank after a piece that it is compatible with, and infinity after any other.  Compatible are
+two pieces if merging their text alone gives these two.  Merges inside neighbours do not touch, so a
+path is finite exactly if it is the result of merging, and each prefix of a text has one such path.
+User-defined pieces: in unigram models arcs of the library's bonus, in byte-pair models always taken
+where they match, longest first, and never merged.
 
 Texts are cut where no piece can cross (between two characters that no piece has side by side)
 and parts are remembered, up to ``memory`` of them.
 
 Results: null and empty texts have no pieces and decode to the empty text.  Decoding is exact for
-models without a character map, but for texts that hold U+2581, which such models write for spaces.
+models without a character map, but for texts that hold U+2581, which such models write for spaces (where
+a model makes runs of spaces one, that sign's runs at a text's ends are kept, unlike the library's).  Texts of any
+length are encoded whole; repeated rows are each encoded; empty tables give no rows; columns of ``docs``
+with the name of a result column are replaced, others pass.
 """
 
 from __future__ import annotations
@@ -31,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from framelake.llm.textops import on_other_work
 
@@ -40,6 +52,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
+USER_DEFINED_BONUS = 0.1
+INFINITY = float("inf")
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -76,6 +90,12 @@ class Model:
     squeeze: bool
     escape: bool
 
+    @property
+    def defined(self) -> re.Pattern | None:
+        """User-defined pieces, longest first."""
+        own = sorted((t for t, _, kind in self.pieces if kind == USER_DEFINED), key=lambda t: (-len(t.encode()), t))
+        return re.compile("(" + "|".join(map(re.escape, own)) + ")") if own else None
+
     @staticmethod
     def parse(data: bytes) -> Model:
         pieces, trainer, normalizer = [], {}, {}
@@ -90,13 +110,57 @@ class Model:
         kind = trainer.get(3, UNIGRAM)
         if kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {kind} is neither unigram nor byte-pair")
-        if any(t == USER_DEFINED for _, _, t in pieces):
-            raise ValueError("user-defined pieces are not supported")
         return Model(pieces, kind, normalizer.get(2, b""), bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)), bool(normalizer.get(5, 1)))
 
 
+@dataclass(frozen=True)
+class Fst:
+    """A subsequential transducer over characters, starting in state 0."""
+
+    arcs: dict[int, dict[str, tuple[int, str]]]  # state, symbol: next state, output
+    others: dict[int, tuple[int, str]]  # state: next state for all other symbols, output before the symbol itself
+
+    def __post_init__(self) -> None:
+        # where other symbols are copied in place, the way to the next arc of another kind is one step
+        loops = {q for q, (to, before) in self.others.items() if to == q and not before}
+        leave = {q: [c for c, (to, _) in self.arcs[q].items() if to != q] for q in loops}
+        object.__setattr__(self, "exits", {q: re.compile("|".join(map(re.escape, c)) or r"(?!)") for q, c in leave.items()})
+        object.__setattr__(self, "copies", {q: str.maketrans({c: o for c, (to, o) in self.arcs[q].items() if to == q}) for q in loops})
+
+    def compose(self, text: str) -> str:
+        """The output of the text's path."""
+        out, at, state = [], 0, 0
+        while at < len(text):
+            if state in self.exits:
+                found = self.exits[state].search(text, at)
+                end = found.start() if found else len(text)
+                out.append(text[at:end].translate(self.copies[state]))
+                at = end
+                if not found:
+                    break
+            symbol = text[at]
+            hit = self.arcs[state].get(symbol)
+            if hit is None:
+                to, before = self.others[state]
+                hit = to, before + symbol
+            state = hit[0]
+            out.append(hit[1])
+            at += 1
+        return "".join(out)
+
+
+def spaces(prefix: bool, squeeze: bool, escape: bool) -> Fst:
+    """Spaces of a text: one written before it, runs made one and ends trimmed, all written as SPACE."""
+    mark = SPACE if escape else " "
+    lead = mark if prefix else ""
+    start, word, gap = 0, 1, 2
+    if not squeeze:
+        return Fst({start: {" ": (word, lead + mark)}, word: {" ": (word, mark)}}, {start: (word, lead), word: (word, "")})
+    return Fst({start: {" ": (start, "")}, word: {" ": (gap, "")}, gap: {" ": (gap, "")}}, {start: (word, lead), word: (word, ""), gap: (word, mark)})
+
+
 class Normaliser:
-    """Longest-match character map, then spaces."""
+    """Character map, then spaces."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -104,6 +168,8 @@ class Normaliser:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.texts = blob[4 + size :] if blob else b""
+        self.kept = model.defined
+        self.spaces = spaces(model.dummy_prefix, model.squeeze, model.escape)
 
     def _longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """The longest key at ``at`` in the double-array trie, and what it becomes."""
@@ -124,7 +190,11 @@ class Normaliser:
         return found
 
     def _mapped(self, text: str) -> str:
-        data, out, at = text.encode(), bytearray(), 0
+        pieces = self.kept.split(text) if self.kept else [text]  # user-defined ones, every second, stay as they are
+        return "".join(p if i % 2 else self._characters(p.encode("utf-8", "surrogatepass")) for i, p in enumerate(pieces))
+
+    def _characters(self, data: bytes) -> str:
+        out, at = bytearray(), 0
         while at < len(data):
             hit = self._longest(data, at)
             if hit is None:
@@ -137,30 +207,30 @@ class Normaliser:
         return out.decode("utf-8", "replace")
 
     def __call__(self, text: str) -> str:
-        m = self.model
-        if self.units:
-            text = self._mapped(text)
-        if m.squeeze:
-            text = re.sub(" {2,}", " ", text.strip(" "))
-        if not text:
-            return ""
-        if m.dummy_prefix:
-            text = f" {text}"
-        return text.replace(" ", SPACE) if m.escape else text
+        return self.spaces.compose(self._mapped(text) if self.units else text)
 
     def back(self, text: str) -> str:
+        """Of pieces' text: spaces as they were."""
         text = text.replace(SPACE, " ")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
 class Transducer:
     def __init__(self, model: Model, memory: int = 600_000) -> None:
+        """``memory``: how many parts and how many pairs of pieces are remembered."""
         self.model, self.normalise, self.memory = model, Normaliser(model), memory
         self.texts = [p[0] for p in model.pieces]
         self.ids = {t: i for i, (t, _, kind) in enumerate(model.pieces) if kind == NORMAL}
         self.cost = [-score for _, score, _ in model.pieces]
-        worst = max((self.cost[i] for i in self.ids.values()), default=0.0)
-        self.unknown_cost = worst + UNKNOWN_PENALTY
+        costs = [self.cost[i] for i in self.ids.values()]
+        self.unknown_cost = max(costs, default=0.0) + UNKNOWN_PENALTY
+        own = {t: i for i, (t, _, kind) in enumerate(model.pieces) if kind == USER_DEFINED}
+        self.defined = model.defined if model.kind == BPE else None
+        self.own = own
+        if model.kind == UNIGRAM:
+            for t, i in own.items():
+                self.cost[i] = min(costs, default=0.0) * len(t.encode()) + USER_DEFINED_BONUS
+            self.ids |= own
         self.unknown = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
         self.bytes = {int(t[3:5], 16): i for i, (t, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -177,7 +247,7 @@ class Transducer:
         self.beside = beside
         self.edges: dict[tuple[int, bool], list[tuple[float, str]]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, float] = {}
         self.many = len(model.pieces)
         self.cut = self._cutter()
 
@@ -215,17 +285,15 @@ class Transducer:
             self.edges[piece, right] = known
         return known
 
+    def weight(self, a: int, b: int) -> float:
+        """Of the arc of piece b after piece a (-1: after a fallback, -2: at the beginning)."""
+        if self.model.kind == UNIGRAM:
+            return self.cost[b]
+        allowed = self.compatible(a, b) if a >= 0 else bool(self._edge(b, False))
+        return self.cost[b] if allowed else INFINITY
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the text of a and b gives a and b: no merge across is ever the next one."""
-        known = self.pairs.get(a * self.many + b)
-        if known is None:
-            known = self._compatible(a, b)
-            if len(self.pairs) > self.memory:
-                self.pairs.clear()
-            self.pairs[a * self.many + b] = known
-        return known
-
-    def _compatible(self, a: int, b: int) -> bool:
         if self.texts[a][-1] + self.texts[b][0] not in self.beside:
             return bool(self._edge(a, True) and self._edge(b, False))
         left, right = self._edge(a, True), self._edge(b, False)
@@ -244,66 +312,55 @@ class Transducer:
                 return cost == float("inf")
 
     def path(self, text: str) -> list[int]:
-        """Pieces on the shortest path through a part; -1 stands for an unknown character."""
+        """Pieces on the path of least weight through a part; -1 stands for a fallback arc."""
         n = len(text)
+        total = [0.0] + [INFINITY] * n
         last: list[int] = [-2] * (n + 1)
         size = [0] * (n + 1)
-        ends, weight = self.ends, self.cost
-        if self.model.kind == BPE:  # one path alone is allowed, whatever it costs
-            pairs, compatible, many = self.pairs, self.compatible, self.many
-            for i in range(1, n + 1):
-                arcs = []
-                for k in range(1, i + 1):
-                    piece = ends.get(text[i - k : i])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        arcs.append((k, piece))
-                for k, piece in reversed(arcs):
-                    before = last[i - k]
-                    if before >= 0:
-                        known = pairs.get(before * many + piece)
-                        if not (compatible(before, piece) if known is None else known):
-                            continue
-                    elif not self._edge(piece, True):
-                        continue
-                    last[i], size[i] = piece, k
+        ends, pairs, many, weight, ids = self.ends, self.pairs, self.many, self.weight, self.ids
+        for i in range(1, n + 1):
+            best = INFINITY
+            for k in range(1, i + 1):
+                piece = ends.get(text[i - k : i])
+                if piece is None:
                     break
-                else:
-                    last[i], size[i] = -1, 1
-        else:
-            cost = [0.0] + [float("inf")] * n
-            for i in range(1, n + 1):
-                for k in range(1, i + 1):
-                    piece = ends.get(text[i - k : i])
-                    if piece is None:
-                        break
-                    if piece >= 0 and cost[i - k] + weight[piece] < cost[i]:
-                        cost[i], last[i], size[i] = cost[i - k] + weight[piece], piece, k
-                if text[i - 1] not in self.ids and cost[i - 1] + self.unknown_cost < cost[i]:
-                    cost[i], last[i], size[i] = cost[i - 1] + self.unknown_cost, -1, 1
+                if piece >= 0:
+                    before = last[i - k]
+                    cost = pairs.get(before * many + piece)
+                    if cost is None:
+                        cost = pairs[before * many + piece] = weight(before, piece)
+                    cost += total[i - k]
+                    if cost < best:
+                        best, last[i], size[i] = cost, piece, k
+            if text[i - 1] not in ids and total[i - 1] + self.unknown_cost < best:
+                best, last[i], size[i] = total[i - 1] + self.unknown_cost, -1, 1
+            total[i] = best
+        if len(pairs) > self.memory:
+            pairs.clear()
         out, i = [], n
         while i:
             out.append(last[i])
             i -= size[i]
         return out[::-1]
 
+    def fallback_arc(self, symbol: str, again: bool) -> list[int]:
+        """What an arc of the fallback writes; ``again``: it follows another one."""
+        if self.fallback:
+            return [self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass")]
+        return [] if again else [self.unknown]
+
     def _ids(self, text: str) -> list[int]:
-        """A part's pieces, unknown characters as bytes (or, without fallback, one unknown piece per run)."""
+        """What the path through a part writes."""
         out: list[int] = []
-        at, was_unknown = 0, False
+        at, again = 0, False
         for piece in self.path(text):
             if piece >= 0:
                 out.append(piece)
                 at += len(self.texts[piece])
-            elif self.fallback:
-                out += [self.bytes[b] for b in text[at].encode("utf-8", "surrogatepass")]
-                at += 1
             else:
-                if not was_unknown:
-                    out.append(self.unknown)
+                out += self.fallback_arc(text[at], again)
                 at += 1
-            was_unknown = piece < 0
+            again = piece < 0
         return out
 
     def part(self, text: str) -> tuple[int, ...]:
@@ -315,8 +372,13 @@ class Transducer:
         return known
 
     def encode(self, text: str) -> list[int]:
-        known, more = self.parts.get, self.part
-        return list(chain.from_iterable([known(p) or more(p) for p in self.cut.findall(self.normalise(text))]))
+        known, more, text = self.parts.get, self.part, self.normalise(text)
+        if self.defined is None:
+            return list(chain.from_iterable([known(p) or more(p) for p in self.cut.findall(text)]))
+        out: list[int] = []
+        for i, piece in enumerate(self.defined.split(text)):
+            out += [self.own[piece]] if i % 2 else chain.from_iterable([known(p) or more(p) for p in self.cut.findall(piece)])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.normalise.back(b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace"))
@@ -334,6 +396,9 @@ def transducer(data: bytes) -> Transducer:
     return _compiled[key]
 
 
+RESULTS = "ids array<int>, n_pieces long, n_bytes long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+
+
 def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep_ids: bool = True) -> DataFrame:
     """``docs`` (any columns; text) with ids, n_pieces, n_bytes (pieces of byte fallback), ids_sha256 (of
     the ids as little-endian 32-bit numbers), decoded_sha256 and round_trip.
@@ -342,44 +407,46 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep_ids:
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = StructType(docs.schema.fields[:])
-    for name, kind in (("ids", "array<int>"), ("n_pieces", "long"), ("n_bytes", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("round_trip", "boolean")):
-        from pyspark.sql.types import _parse_datatype_string
-
-        schema = schema.add(name, _parse_datatype_string(kind))
+    made = _parse_datatype_string(RESULTS).fields
+    docs = docs.drop(*(f.name for f in made))
+    schema = StructType([*docs.schema.fields, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model.value)
         on_other_work(_compiled.clear)
+        of_bytes = np.zeros(t.many, bool)
+        of_bytes[list(t.byte_of)] = True
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids, n, n_bytes, sha, decoded, same = [], [], [], [], [], []
-                for text in batch.column(batch.schema.get_field_index("text")):
-                    text = text.as_py() or ""
-                    got = t.encode(text)
+                every, bounds, decoded, same = [], [0], [], []
+                for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+                    got = t.encode(text or "")
                     back = t.decode(got)
-                    array = np.array(got, "<u4")
-                    ids.append(got if keep_ids else None)
-                    n.append(len(got))
-                    n_bytes.append(int(((array >= min(t.byte_of)) & (array <= max(t.byte_of))).sum()) if t.byte_of else 0)
-                    sha.append(hashlib.sha256(array.tobytes()).hexdigest())
+                    every += got
+                    bounds.append(len(every))
                     decoded.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                    same.append(back == text)
-                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string()), pa.array(same)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+                    same.append(back == (text or ""))
+                flat, bounds = np.array(every, "<i4"), np.array(bounds, np.int32)
+                sha = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                n_bytes = np.concatenate(([0], np.cumsum(of_bytes[flat])))[bounds]
+                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)) if keep_ids else pa.nulls(len(sha), pa.list_(pa.int32()))
+                results = [ids, pa.array(np.diff(bounds).astype(np.int64)), pa.array(np.diff(n_bytes)), pa.array(sha, pa.string()), pa.array(decoded, pa.string()), pa.array(same)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *results], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """``encoded`` (any columns; ids) with decoded, the text that the ids stand for."""
+    """``encoded`` (any columns; ids) with decoded, the text that the ids stand for (null ids: the empty text)."""
     with open(model_path, "rb") as f:
         model = encoded.sparkSession.sparkContext.broadcast(f.read())
+    encoded = encoded.drop("decoded")
     schema = StructType(encoded.schema.fields[:]).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model.value)
+        on_other_work(_compiled.clear)
         for batch in batches:
             texts = [t.decode(x.as_py() or []) for x in batch.column(batch.schema.get_field_index("ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
@@ -388,5 +455,6 @@ def decode_documents(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> Dat
 
 
 def tokenise(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """Digests alone: doc_id, n_pieces, n_bytes, ids_sha256, decoded_sha256, round_trip."""
-    return encode_documents(docs.select("doc_id", F.col("text").cast("string")), model_path, keep_ids=False).select("doc_id", "n_pieces", "n_bytes", "ids_sha256", "decoded_sha256", "round_trip")
+    """doc_id, ids and what is said of them: n_pieces, n_bytes, ids_sha256, decoded_sha256, round_trip."""
+    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    return encode_documents(docs, model_path).drop("text").select("doc_id", "ids", "n_pieces", "n_bytes", "ids_sha256", "decoded_sha256", "round_trip")

@@ -1,12 +1,15 @@
 import hashlib
 import random
+import re
+import struct
 
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from framelake.llm.sentencepiece_fst import BPE, BYTE, DEFAULT_MODEL, NORMAL, UNIGRAM, UNKNOWN, Model, Transducer, decode_documents, encode_documents, tokenise
+from framelake.llm.sentencepiece_fst import BPE, BYTE, DEFAULT_MODEL, NORMAL, UNIGRAM, UNKNOWN, USER_DEFINED, Model, Transducer, decode_documents, encode_documents, spaces, tokenise
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +85,111 @@ def test_unknown_characters():
     assert fallback.decode(ids) == "aé a"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab  ▁\nß"), max_size=12), st.booleans(), st.booleans(), st.booleans())
+def test_spaces_as_a_transducer(text, prefix, squeeze, escape):
+    want = re.sub(" {2,}", " ", text.strip(" ")) if squeeze else text
+    want = (" " if prefix else "") + want if want else ""
+    assert spaces(prefix, squeeze, escape).compose(text) == (want.replace(" ", "▁") if escape else want)
+
+
+def proto(number, value):
+    """One field of a protocol buffer."""
+    if isinstance(value, float):
+        return bytes([number << 3 | 5]) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return bytes([number << 3]) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return bytes([number << 3 | 2]) + varint(len(value)) + value
+
+
+def varint(n):
+    return bytes([n & 0x7F | 0x80]) + varint(n >> 7) if n > 0x7F else bytes([n])
+
+
+def model_file(kind, pieces, prefix=True, squeeze=False):
+    """A model as a file of the library's format."""
+    table = b"".join(proto(1, proto(1, t) + proto(2, s) + proto(3, k)) for t, s, k in pieces)
+    return table + proto(2, proto(3, kind)) + proto(3, proto(1, "identity") + proto(3, int(prefix)) + proto(4, int(squeeze)) + proto(5, 1))
+
+
+def library(data):
+    return sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
+UNI = [("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(t, -float(i % 7 + 1), NORMAL) for i, t in enumerate("▁ a b c ab bc abc ▁a ▁ab ca cab b▁ aab".split())]]
+BYTES = [(f"<0x{b:02X}>", 0.0, BYTE) for b in range(256)]
+TEXT = st.text(st.sampled_from("abc  dé▁<>x"), max_size=20)
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_unigram_is_the_library_s(fallback, squeeze):
+    data = model_file(UNIGRAM, UNI + (BYTES if fallback else []), squeeze=squeeze)
+    if fallback:
+        data = data.replace(proto(2, proto(3, UNIGRAM)), proto(2, proto(3, UNIGRAM) + bytes([0x98, 0x02, 1])))
+    ours, theirs = Transducer(Model.parse(data)), library(data)
+
+    @settings(max_examples=300, deadline=None)
+    @given(TEXT)
+    def run(text):
+        text = text.replace("▁", "") if squeeze else text  # see the module's docstring
+        a, b = ours.encode(text), theirs.encode(text)
+        cost = lambda ids: sum(ours.cost[i] if i in ours.ids.values() else ours.unknown_cost for i in ids if i not in ours.byte_of)
+        assert a == b or cost(a) == pytest.approx(cost(b))  # of equal paths, any
+        assert ours.decode(b) == theirs.decode(b)
+
+    run()
+
+
+def test_user_defined_pieces_in_byte_pair_models():
+    with open(DEFAULT_MODEL, "rb") as f:
+        data = f.read()
+    data += b"".join(proto(1, proto(1, t) + proto(2, 0.0) + proto(3, USER_DEFINED)) for t in ["<x>", "<x><x>", "qzxb", "日本語ab"])
+    ours, theirs = Transducer(Model.parse(data)), library(data)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.sampled_from(["<", "x", ">", "<x>", "a", "b", " ", "日本語ab", "日", "the", "qzxb", "qzx"]), max_size=15).map("".join))
+    def run(text):
+        assert ours.encode(text) == theirs.encode(text)
+        assert ours.decode(ours.encode(text)) == theirs.decode(theirs.encode(text))
+
+    run()
+
+
+def test_user_defined_pieces_in_unigram_models():
+    data = model_file(UNIGRAM, [*UNI, ("<x>", 0.0, USER_DEFINED), ("bca", 0.0, USER_DEFINED)])
+    ours, theirs = Transducer(Model.parse(data)), library(data)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.sampled_from(["<", "x", ">", "<x>", "a", "b", "c", " ", "bca"]), max_size=15).map("".join))
+    def run(text):
+        a, b = ours.encode(text), theirs.encode(text)
+        cost = lambda ids: sum(ours.cost[i] if i in ours.ids.values() else ours.unknown_cost for i in ids)
+        assert a == b or cost(a) == pytest.approx(cost(b))
+
+    run()
+
+
+def test_byte_pair_weights_are_ranks_or_infinite(both):
+    """The path taken is the one of finite weight: each other way to cut a word costs infinity."""
+    t = both[0]
+    for word in ["▁the", "▁banana", "▁unhappily", "▁straße"]:
+        ways = []
+
+        def walk(at, before, cost, pieces, word=word, ways=ways):
+            if at == len(word):
+                ways.append((cost, pieces))
+            for end in range(at + 1, len(word) + 1):
+                if word[at:end] in t.ids:
+                    i = t.ids[word[at:end]]
+                    walk(end, i, cost + t.weight(before, i), [*pieces, i])
+
+        walk(0, -2, 0.0, [])
+        finite = [w for w in ways if w[0] < float("inf")]
+        assert len(ways) > 1 and len(finite) == 1 and finite[0][1] == t.path(word) == both[1].encode(word[1:])
+
+
 def test_normaliser_squeezes():
     m = Model([("<unk>", 0.0, UNKNOWN), ("▁", -1.0, NORMAL)], UNIGRAM, b"", True, True, True)
     assert Transducer(m).normalise("  a   b ") == "▁a▁b"
@@ -94,7 +202,9 @@ def test_documents(docs, rows, no_docs, both):
         assert r.ids == theirs.encode(r.text or "")
         assert r.n_pieces == len(r.ids) and r.round_trip
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
-    back = decode_documents(got.select("doc_id", "text", "ids"))
+    again = encode_documents(got)  # result columns that are there already are made anew
+    assert again.columns == got.columns and sorted(r.ids_sha256 for r in again.collect()) == sorted(r.ids_sha256 for r in got.collect())
+    back = decode_documents(got.select("doc_id", "text", "ids", F.lit(1).alias("decoded")))
     assert all(r.decoded == (r.text or "") for r in back.collect())
     assert tokenise(docs).count() == len(rows)
     assert tokenise(no_docs).count() == 0
