@@ -1,18 +1,22 @@
 """MinHash search for short texts (queries) inside long ones, verified by exact containment.
 
-Queries are partitioned by size.  A partition for queries of up to S shingles looks at windows
-of about 1.25 S shingles that overlap so that any S in a row lie in one of them; hence a
-contained query and its window are of like size and their Jaccard index has a floor, from which
-the partition's bands are set so that a match collides with at least the chance asked for.
-Windows without a single shingle of any query cannot collide and are not signed.  Colliding pairs
-of document and query are then verified exactly: the share of the query's distinct shingles that
-the document has.
+1. Queries become rows: their distinct shingles and, as they are partitioned by size, the band keys of
+   their partition.  What every task needs of all of them are two bit tables, of their shingles and of
+   their band keys, whose size is bounded; nothing else of the queries leaves their table.
+2. Documents are read once.  Of each, only the shingles that the table may have can count; they are laid
+   end to end, so that a query whose shingles are scattered over the text lies together again, once with
+   all their occurrences and once with the first ones alone.  For every partition (queries of up to S
+   shingles) windows of about 1.25 S of them are signed, which overlap so that any S in a row lie in one.
+   A query of the partition and its window are of like size, so their Jaccard index has a floor, from
+   which follow rows and number of bands so that a match collides with at least the chance asked for.
+3. Documents' keys and queries' keys are joined, and each pair that meets is verified: the share of the
+   query's distinct shingles that the document has.
 
 Queries under five words have no shingle of five.  With ``short`` each is one shingle of its own
 length, looked up among all the document's runs of that many words.
 
-The queries are held in memory in blocks of a fixed number; each block scans the documents once.
-Texts are compared by words of letters and digits, ASCII and Latin-1 letters in lower case.
+Texts are compared by words of letters and digits, ASCII and Latin-1 letters in lower case; words and
+shingles by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,19 +26,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from framelake.llm.textops import U64, byte_span_hashes, chunks, gram_hashes, mix, ragged, text_bytes, word_spans
+from framelake.llm.graph import cut, fresh
+from framelake.llm.minhash_dedup import text_hash
+from framelake.llm.textops import U64, Chunk, byte_span_hashes, chunks, gram_hashes, mix, ragged, word_spans
 
 SHINGLE = 5
-HASHES = 64
 CHUNK = 2 << 20
-BLOCK = 20_000  # queries held at once
-SCHEMA = "doc_id long, query_id long, n_query long, n_shared long, containment double"
+MOST_BITS = 29  # a bit table has 2**MOST_BITS places at most; fuller tables let more through, and lose nothing
+SALTS = 16
 
-_MULTIPLY = mix(np.arange(1, HASHES + 1, dtype=U64)) | U64(1)
-_ADD = mix(np.arange(1001, HASHES + 1001, dtype=U64))
+_STEP = U64(0x9E3779B97F4A7C15)
 
 
 def fold(buf: np.ndarray) -> np.ndarray:
@@ -56,160 +62,220 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return byte_span_hashes(buf, starts, ends), first
 
 
-def minhash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Least value of each hash function over each of the segments that begin at ``starts``."""
-    out = np.empty((len(starts), HASHES), U64)
-    for i in range(HASHES):
-        out[:, i] = np.minimum.reduceat(values * _MULTIPLY[i] + _ADD[i], starts) if len(starts) else 0
-    return out
+@dataclass(frozen=True)
+class Partition:
+    """Queries of over most / 2 and up to ``most`` distinct shingles, and the windows that look for them."""
 
+    most: int
+    step: int  # shingles between windows
+    span: int  # windows' shingles
+    rows: int  # of a band
+    bands: int
 
-def band_keys(sign: np.ndarray, rows: int) -> np.ndarray:
-    bands = HASHES // rows
-    out = np.zeros((len(sign), bands), U64) + np.arange(bands, dtype=U64)
-    for j in range(rows):
-        out = mix(out * U64(0x9E3779B97F4A7C15) + sign[:, j * bands : (j + 1) * bands])
-    return out
+    @staticmethod
+    def of(most: int, threshold: float, chance: float) -> Partition:
+        least, step = most // 2 + 1, max(1, most // 4)
+        span = (-(-most // step) + 1) * step if most > 1 else 1
+        floor = threshold * least / (span + least - threshold * least)
+        return Partition(most, step, span, *bands_for(min(floor, 1.0), chance))
 
+    def keys(self, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Band keys of the sets of shingles that begin at ``starts``: a row for each."""
+        out = np.zeros((len(starts), self.bands), U64) + np.arange(self.bands, dtype=U64) + U64(self.most << 32)
+        for i in range(self.rows * self.bands):
+            odd, add = mix(np.array([2 * i + 1, 2 * i + 2], U64) * _STEP)
+            least = np.minimum.reduceat(values * (odd | U64(1)) + add, starts) if len(starts) else np.zeros(0, U64)
+            out[:, i % self.bands] = mix(out[:, i % self.bands] * _STEP + least)
+        return out
 
-def rows_for(floor: float, chance: float) -> int:
-    """Most rows a band may have so that pairs of Jaccard ``floor`` collide with ``chance``."""
-    fit = [r for r in range(1, 9) if 1 - (1 - floor**r) ** (HASHES // r) >= chance]
-    return max(fit, default=1)
 
+def bands_for(floor: float, chance: float) -> tuple[int, int]:
+    """Rows and number of bands by which sets of Jaccard index ``floor`` collide with at least ``chance``: as
+    many rows as 64 hashes allow, one row and as many bands as it takes where they allow none."""
+    if not 0 < floor <= 1 or not 0 < chance < 1:
+        raise ValueError("threshold and chance must be over 0, chance under 1")
+    needed = [1 if floor == 1 else int(np.ceil(np.log1p(-chance) / np.log1p(-(floor**r)))) for r in range(1, 9)]
+    rows = max((r for r, n in enumerate(needed, 1) if r * n <= 64), default=1)
+    return rows, needed[rows - 1]
 
-@dataclass(frozen=True)
-class Partition:
-    step: int  # shingles between windows
-    span: int  # windows' shingles
-    rows: int
-    keys: np.ndarray  # ascending
-    query: np.ndarray  # of each key
 
+def size_class(n: int) -> int:
+    """The partition's ``most`` for a query of n shingles."""
+    return 1 << max(0, int(n) - 1).bit_length()
 
-@dataclass(frozen=True)
-class Index:
-    ids: np.ndarray
-    cut: np.ndarray  # queries' places in ``grams``
-    grams: np.ndarray  # distinct shingles of each query
-    known: np.ndarray  # all of them, ascending
-    partitions: list[Partition]
-    short: list[tuple[int, np.ndarray, np.ndarray]]  # words, shingles in order, and the query of each
 
-    @staticmethod
-    def of(ids: np.ndarray, texts: pa.Array, threshold: float, chance: float, short: bool = False) -> Index:
-        hashes, first = words(*text_bytes(texts))
-        grams, _, run = gram_hashes(hashes, first, SHINGLE, short)
-        length = np.diff(first)
-        own = [np.unique(grams[a:b]) for a, b in zip(run[:-1], run[1:], strict=True)]
-        size = np.array([len(g) for g in own], np.int64)
-        cut = np.concatenate(([0], np.cumsum(size)))
-        grams = np.concatenate([*own, np.zeros(0, U64)])
-        partitions, most = [], 1
-        while (size > most // 2).any():
-            least = most // 2 + 1
-            members = np.flatnonzero((size >= least) & (size <= most) & (length >= SHINGLE))
-            if len(members):
-                step = max(1, most // 4)
-                span = (-(-most // step) + 1) * step if most > 1 else 1
-                floor = threshold * least / (span + least - threshold * least)
-                rows = rows_for(min(floor, 1.0), chance)
-                at = ragged(cut[members], size[members])
-                keys = band_keys(minhash(grams[at], np.concatenate(([0], np.cumsum(size[members])[:-1]))), rows)
-                query = np.repeat(members, keys.shape[1])
-                order = np.argsort(keys.ravel(), kind="stable")
-                partitions.append(Partition(step, span, rows, keys.ravel()[order], query[order]))
-            most *= 2
-        few = []
-        for n in range(1, SHINGLE if short else 1):
-            query = np.flatnonzero(length == n)
-            if len(query):
-                query = query[np.argsort(grams[cut[query]], kind="stable")]
-                few.append((n, grams[cut[query]], query))
-        return Index(ids, cut, grams, np.unique(grams), partitions, few)
-
-    def search(self, buf: np.ndarray, offs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text's number, query's number, shared shingles) of the verified matches."""
-        hashes, first = words(buf, offs)
-        grams, _, run = gram_hashes(hashes, first, SHINGLE)
-        bits = max(16, int(np.ceil(np.log2(len(self.known) + 1))) + 4)
-        table = np.zeros(1 << bits, bool)
-        table[self.known >> U64(64 - bits)] = True
-        hit = np.flatnonzero(table[grams >> U64(64 - bits)])
-        hit = hit[np.isin(grams[hit], self.known)]
-        row = np.searchsorted(run, hit, "right") - 1
-        pairs = []
-        for p in self.partitions:
-            block = (hit - run[row]) // p.step
-            back = np.arange(p.span // p.step)
-            text, start = np.repeat(row, len(back)), (block[:, None] - back).ravel()
-            windows = np.unique(np.stack([text[start >= 0], start[start >= 0]], 1), axis=0) if len(hit) else np.zeros((0, 2), np.int64)
-            text, start = windows[:, 0], run[windows[:, 0]] + windows[:, 1] * p.step
-            size = np.minimum(start + p.span, run[text + 1]) - start
-            keys = band_keys(minhash(grams[ragged(start, size)], np.cumsum(size) - size), p.rows)
-            lo, hi = np.searchsorted(p.keys, keys.ravel()), np.searchsorted(p.keys, keys.ravel(), "right")
-            found = p.query[ragged(lo, hi - lo)]
-            pairs.append(np.unique(np.stack([np.repeat(np.repeat(text, keys.shape[1]), hi - lo), found], 1), axis=0))
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        # verification: the documents' shingles that any query has, against those of the query
-        order = np.lexsort((grams[hit], row))
-        bounds, sorted_grams = np.searchsorted(row[order], np.arange(len(offs))), grams[hit][order]
-        shared = np.array([np.isin(self.grams[self.cut[q] : self.cut[q + 1]], sorted_grams[bounds[t] : bounds[t + 1]]).sum() for t, q in pairs.tolist()], np.int64)
-        good = shared >= threshold * np.diff(self.cut)[pairs[:, 1]] - 1e-9 if len(pairs) else np.zeros(0, bool)
-        found = [(pairs[good, 0], pairs[good, 1], shared[good]), *(self._short(hashes, first, *s) for s in self.short)]
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
-
-    def _short(self, hashes: np.ndarray, first: np.ndarray, n: int, keys: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same for the queries of ``n`` words: texts that have the query's one shingle."""
-        grams, _, run = gram_hashes(hashes, first, n)
-        hit = np.flatnonzero(np.isin(grams, keys))
-        lo, hi = np.searchsorted(keys, grams[hit]), np.searchsorted(keys, grams[hit], "right")
-        text = np.searchsorted(run, hit, "right") - 1
-        pairs = np.unique(np.stack([np.repeat(text, hi - lo), query[ragged(lo, hi - lo)]], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1], np.ones(len(pairs), np.int64)
-
-
-def search(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
-    """Matches of one block of queries in ``docs`` (doc_id, text)."""
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+def _prepare(queries: DataFrame, threshold: float, chance: float, short: bool) -> DataFrame:
+    """(qid, query_id, part, n_query, grams, keys): ``part`` is the partition, or minus the words of a short query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, CHUNK):
-            text, query, shared = index.search(c.buf, c.offs, threshold)
-            size = np.diff(index.cut)[query]
-            yield pa.RecordBatch.from_arrays([c.batch.column("doc_id").take(pa.array(text)), pa.array(index.ids[query], pa.int64()), pa.array(size), pa.array(shared), pa.array(shared / np.maximum(size, 1))], names=names)
+            hashes, first = words(c.buf, c.offs)
+            grams, _, run = gram_hashes(hashes, first, SHINGLE, short)
+            length, parts, own, keys = np.diff(first), [], [], []
+            for i, (a, b) in enumerate(zip(run[:-1], run[1:], strict=True)):
+                own.append(np.unique(grams[a:b]))
+                if not len(own[i]):
+                    parts.append(0)
+                    keys.append(own[i])
+                elif length[i] < SHINGLE:
+                    parts.append(-int(length[i]))
+                    keys.append(own[i])
+                else:
+                    parts.append(size_class(len(own[i])))
+                    keys.append(Partition.of(parts[i], threshold, chance).keys(own[i], np.zeros(1, np.int64))[0])
+            lists = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (own, keys)]
+            yield pa.RecordBatch.from_arrays([c.batch.column("query_id"), pa.array(parts, pa.int32()), pa.array([len(x) for x in own], pa.int64()), *lists], names=["query_id", "part", "n_query", "grams", "keys"])
+
+    made = queries.select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "query_id long, part int, n_query long, grams array<long>, keys array<long>")
+    return cut(made.where("part <> 0").withColumn("qid", F.monotonically_increasing_id()))
+
+
+def bit_table(values: DataFrame, count: int) -> np.ndarray:
+    """Which places of a table some value falls on, for values in a column of arrays.  Every task sends its
+    own table of the same bounded size, and they are joined by or, some at a time."""
+    bits = min(MOST_BITS, max(12, int(np.ceil(np.log2(count + 1))) + 4))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, bool)
+        for batch in batches:
+            table[place(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(U64), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((1 << bits) // 8, np.uint8)
+        for batch in batches:
+            for one in batch.column(0):
+                table |= np.frombuffer(one.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["bits"])
 
+    tables = values.mapInArrow(mark, "bits binary").coalesce(16).mapInArrow(join, "bits binary").coalesce(1).mapInArrow(join, "bits binary")
+    return np.unpackbits(np.frombuffer(tables.first()["bits"], np.uint8)).astype(bool)
 
-def blocks(queries: DataFrame, threshold: float, chance: float, block: int, short: bool = False) -> Iterator[Index]:
-    """Indexes of ``queries`` (query_id, text), about ``block`` at a time: what the driver and a task hold is bounded."""
-    queries = queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = max(1, -(-queries.count() // block))
-    for i in range(n):
-        part = queries.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(n)) == i).orderBy("query_id", "text").toArrow()
-        yield Index.of(part.column("query_id").to_numpy().astype(np.int64), part.column("text"), threshold, chance, short)
 
+def place(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(values) >> U64(64 - bits)).astype(np.int64)
 
-def contained(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, block: int = BLOCK, short: bool = False) -> DataFrame:
-    """Matches of ``queries`` (query_id, text) in ``docs`` (doc_id, text): one row per pair.
-    ``short``: those under five words are looked for, too."""
-    out = None
-    for index in blocks(queries, threshold, chance, block, short):
-        found = search(docs, index, threshold)
-        out = found if out is None else out.unionByName(found)
-    return out
 
+def known(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether the table may have each value."""
+    return table[place(values, len(table).bit_length() - 1)]
 
-def without(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, block: int = BLOCK) -> DataFrame:
-    """``docs`` (any columns; text) without the rows that hold one of ``queries``."""
-    for index in blocks(queries, threshold, chance, block):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for c in chunks(batches, CHUNK):
-                keep = np.ones(len(c), bool)
-                keep[index.search(c.buf, c.offs, threshold)[0]] = False
-                yield c.batch.filter(pa.array(keep))
+def _first_of_each(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where each distinct pair stands first, by row and value."""
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return order[new]
+
+
+@dataclass(frozen=True)
+class Search:
+    """What a task needs to know of all queries."""
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    partitions: list[Partition]
+    short: list[int]  # words of short queries
+    grams: np.ndarray  # bit tables
+    keys: np.ndarray
+
+    def document(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a chunk's texts: (text's number, shingle) that queries may have, (text's number, key) likewise."""
+        hashes, first = words(c.buf, c.offs)
+        grams, _, run = gram_hashes(hashes, first, SHINGLE)
+        hit = np.flatnonzero(known(grams, self.grams))
+        row, value = np.searchsorted(run, hit, "right") - 1, grams[hit]
+        rows, keys = [], []
+        for n in self.short:
+            runs, _, cuts = gram_hashes(hashes, first, n)
+            may = np.flatnonzero(known(runs, self.keys))
+            rows.append(np.searchsorted(cuts, may, "right") - 1)
+            keys.append(runs[may])
+        short_rows, short_keys = np.concatenate([*rows, row[:0]]), np.concatenate([*keys, value[:0]])
+        once = np.sort(_first_of_each(row, value))
+        for at in (np.arange(len(row)), once):
+            for p in self.partitions:
+                for r, k in self._windows(p, row[at], value[at]):
+                    rows.append(r)
+                    keys.append(k)
+        key_rows, keys = np.concatenate([*rows, row[:0]]), np.concatenate([*keys, value[:0]])
+        some = _first_of_each(key_rows, keys)
+        return np.concatenate([row[once], short_rows]), np.concatenate([value[once], short_keys]), key_rows[some], keys[some]
+
+    def _windows(self, p: Partition, row: np.ndarray, value: np.ndarray, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text's number, key) of a partition's windows over shingles laid end to end, some windows at a time."""
+        texts, begins = np.unique(row, return_index=True)
+        ends = np.append(begins[1:], len(row))
+        # the last window of a text is its first that reaches the end
+        many = np.maximum(-(-(ends - begins - p.span) // p.step), 0) + 1
+        text = np.repeat(np.arange(len(texts)), many)
+        start = ragged(np.zeros(len(texts), np.int64), many) * p.step + begins[text]
+        size = np.minimum(start + p.span, ends[text]) - start
+        for at in range(0, len(start), max(1, block // p.span)):
+            to = at + max(1, block // p.span)
+            some = size[at:to]
+            keys = p.keys(value[ragged(start[at:to], some)], np.cumsum(some) - some)
+            good = known(keys.ravel(), self.keys)
+            yield np.repeat(texts[text[at:to]], p.bands)[good], keys.ravel()[good]
+
+
+def _find(docs: DataFrame, search: Broadcast) -> DataFrame:
+    """(uid, other columns, hits, keys) of the rows of ``docs`` (text, others) that have a key of some query."""
+    names = [c for c in docs.columns if c != "text"]
+    schema = StructType([docs.schema[c] for c in names]).add("hits", ArrayType(LongType())).add("keys", ArrayType(LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = search.value
+        for c in chunks(batches, CHUNK):
+            row, gram, key_row, key = s.document(c)
+            have = np.unique(key_row)
+            if len(have):
+                order = np.argsort(row, kind="stable")
+                row, gram = row[order], gram[order]
+                lists = []
+                for of, values in ((row, gram), (key_row, key)):
+                    lo, hi = np.searchsorted(of, have), np.searchsorted(of, have, "right")
+                    cuts = np.concatenate(([0], np.cumsum(hi - lo)))
+                    lists.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values[ragged(lo, hi - lo)].view(np.int64))))
+                taken = [c.batch.column(n).take(pa.array(have)) for n in names]
+                yield pa.RecordBatch.from_arrays([*taken, *lists], names=[*names, "hits", "keys"])
+
+    return cut(docs.select(*names, "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
+
+
+def matches(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, short: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Verified matches (uid, qid, query_id, n_query, n_shared, containment, shared) of ``queries`` (query_id, text) in
+    ``docs`` (any columns but these; text), and documents' rows with a match or almost one: (uid, their columns)."""
+    asked = _prepare(queries, threshold, chance, short)
+    parts = asked.groupBy("part").agg(F.sum("n_query").alias("grams"), F.sum(F.size("keys")).alias("keys")).collect()  # one row for each power of two
+    tables = [bit_table(asked.select(c), sum(r[c] for r in parts)) for c in ("grams", "keys")]
+    search = Search([Partition.of(r["part"], threshold, chance) for r in sorted(parts) if r["part"] > 0], sorted(-r["part"] for r in parts if r["part"] < 0), *tables)
+    found = _find(docs, docs.sparkSession.sparkContext.broadcast(search))
+    # a query that a third of all documents hold has as many rows on one side of this join; it is salted
+    salt = F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")
+    doc_keys = found.select("uid", salt.alias("salt"), F.explode("keys").alias("key"))
+    query_keys = asked.select("qid", F.explode("keys").alias("key")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = doc_keys.join(query_keys, ["key", "salt"]).select("uid", "qid").distinct()
+    pairs = pairs.join(found.select("uid", "hits"), "uid").withColumn("salt", salt)
+    wanted = asked.select("qid", "query_id", "n_query", "grams").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = pairs.join(wanted, ["qid", "salt"]).withColumn("shared", F.array_intersect("grams", "hits")).withColumn("n_shared", F.size("shared").cast("long"))
+    good = pairs.where(F.col("n_shared") >= threshold * F.col("n_query") - 1e-9)
+    return good.select("uid", "qid", "query_id", "n_query", "n_shared", (F.col("n_shared") / F.col("n_query")).alias("containment"), "shared"), found.drop("hits", "keys")
+
+
+def contained(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, short: bool = False) -> DataFrame:
+    """(doc_id, query_id, n_query, n_shared, containment) of ``queries`` (query_id, text) in ``docs`` (doc_id, text):
+    one row per pair of rows.  ``short``: queries under five words are looked for, too."""
+    found, rows = matches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), queries, threshold, chance, short)
+    return found.join(rows, "uid").select("doc_id", "query_id", "n_query", "n_shared", "containment")
+
+
+def without(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999) -> DataFrame:
+    """``docs`` (any columns; doc_id, text) without the rows that hold one of ``queries`` (query_id, text).  Rows are
+    told by doc_id and the text's SHA-256; where those with a match are few, Spark sends them to the rows."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"), F.col("text").cast("string"))
+    found, rows = matches(keyed, queries, threshold, chance)
+    bad = rows.join(found.select("uid").distinct(), "uid", "left_semi").select("id", "hash").distinct()
+    key, digest = fresh(docs, "key"), fresh(docs, "digest")
+    told = docs.withColumns({key: F.col("doc_id").cast("long"), digest: text_hash()})
+    return told.join(bad, F.col(key).eqNullSafe(bad.id) & (F.col(digest) == bad.hash), "left_anti").drop(key, digest)

@@ -4,8 +4,9 @@ Size-partitioned MinHash containment search (containment.py), verified by exact
 the item's distinct five-word shingles: a match has at least ``threshold`` (0.8) of them.
 
 Results: items under five words have no shingles and match nothing; so do null and empty texts.
-Items with null item_id are left out; equal items are each reported; repeated documents are each
-searched.  An item whose shingles are scattered over a document, in no one window, is not looked for.
+Items with null item_id are items like others; equal items are each reported; repeated documents are each
+searched, those of any length whole. An item whose shingles lie scattered over a document, others between them,
+is found as if they lay together. Empty tables give no matches; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -23,6 +24,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, chance: float = 0.9999) -> DataFrame:
-    """``docs`` (any columns; text) without the rows that hold a test item.  Rows are filtered where they lie,
-    without a shuffle."""
+    """``docs`` (any columns; text) without the rows that hold a test item."""
     return without(docs, benchmark.select(F.col("item_id").alias("query_id"), "text"), threshold, chance)

@@ -1,6 +1,6 @@
 """Rounds of questions from buckets of documents to buckets of hashes.
 
-The substring operators hold texts in *document buckets* (a few MB of whole texts each) and compare
+The substring operators hold texts in *document buckets* (about 2 MB of whole texts each) and compare
 what they find in *hash buckets*.  A round: every document bucket writes a *letter*, an array of
 distinct items and what it says of each, cut up by the items' hashes; every hash bucket merges what
 it is sent and judges it; answers name the sender's items by its own tags, or by their numbers in its
@@ -42,7 +42,7 @@ class Layout:
     fan: int = 256
 
     @staticmethod
-    def of(docs: DataFrame, document_mb: float = 4.0, hash_mb: float = 16.0) -> Layout:
+    def of(docs: DataFrame, document_mb: float = 2.0, hash_mb: float = 16.0) -> Layout:
         """From the total length of all texts (one aggregate over the text column)."""
         total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
         least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -121,7 +121,7 @@ def _stream(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(sink.getvalue(), np.uint8)
 
 
-def document_buckets(docs: DataFrame, layout: Layout, carry: tuple[str, ...] = (), chunk_bytes: int = 4 << 20) -> DataFrame:
+def document_buckets(docs: DataFrame, layout: Layout, carry: tuple[str, ...] = (), chunk_bytes: int = 2 << 20) -> DataFrame:
     """Texts dealt to document buckets by doc_id and text, compressed; null texts are empty.  ``carry``: columns
     to take along."""
     names = [f"__carried_{i}" for i in range(len(carry))]

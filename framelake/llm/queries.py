@@ -11,7 +11,7 @@ from framelake.llm import chat
 from framelake.llm.decontaminate import contamination
 from framelake.llm.fingerprint import fingerprints
 from framelake.llm.language_id import language_id
-from framelake.llm.licenses import NOTICES, license_scan
+from framelake.llm.licenses import TEMPLATES, license_scan
 from framelake.llm.minhash_dedup import near_duplicates
 from framelake.llm.sentencepiece_fst import tokenise
 from framelake.llm.suffix_dedup import suffix_dedup
@@ -70,21 +70,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _WORDS = """list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
-_GRAMS = "array_to_string(w[i:i + 4], ' ')"
 
 
-def _containment_sql(queries: str, query_id: str, n_query: str, extra: str = "") -> str:
-    """All pairs of document and query by a join on shingles; ``queries`` gives id, text and extra columns."""
+def _containment_sql(queries: str, result: str, beside: str = "", short: bool = False) -> str:
+    """All pairs of document and query by a join on shingles; ``queries`` gives text and other columns.  ``short``:
+    queries of one to four words are one shingle of their own length."""
+    few = "UNION SELECT k, array_to_string(w, ' ') FROM qw WHERE len(w) BETWEEN 1 AND 4" if short else ""
+    runs = """UNION SELECT DISTINCT r, g FROM (SELECT r, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT len(w) AS n FROM qw WHERE len(w) BETWEEN 1 AND 4)))
+          WHERE g IN (SELECT g FROM qs)""" if short else ""
     return f"""
-WITH q AS ({queries}),
-qw AS (SELECT {query_id}, {_WORDS} AS w FROM q),
-qs AS (SELECT DISTINCT {query_id}, {_GRAMS} AS g FROM (SELECT {query_id}, w, unnest(range(1, len(w) - 3)) AS i FROM qw)),
-qn AS (SELECT {query_id}, count(*) AS n FROM qs GROUP BY 1),
-dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, {_GRAMS} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
-m AS (SELECT doc_id, {query_id}, count(*) AS s FROM ds JOIN qs USING (g) GROUP BY 1, 2)
-SELECT doc_id, {query_id}{extra}, n AS {n_query}, s AS n_shared, s / n AS containment
-FROM m JOIN qn USING ({query_id}) JOIN q USING ({query_id}) WHERE s >= 0.8 * n - 1e-9"""
+WITH q AS MATERIALIZED (SELECT row_number() OVER () AS k, * FROM ({queries})),
+qw AS (SELECT k, {_WORDS} AS w FROM q),
+qs AS MATERIALIZED (SELECT DISTINCT k, g FROM (SELECT k, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM qw)) {few}),
+qn AS (SELECT k, count(*) AS n FROM qs GROUP BY 1),
+dw AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+ds AS MATERIALIZED (SELECT DISTINCT r, g FROM (SELECT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM dw)) WHERE g IN (SELECT g FROM qs) {runs}),
+c AS (SELECT r, k, count(*) AS s FROM ds JOIN qs USING (g) GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT r, k, s, n, s / n AS containment FROM c JOIN qn USING (k) WHERE s >= 0.8 * n - 1e-9){beside}
+SELECT doc_id, {result} FROM m JOIN q USING (k) JOIN dw USING (r)"""
+
+
+# Matches of which the document has more in another license's, and nothing beside it.
+_BEST_SQL = """,
+p AS (SELECT a.r, a.k FROM m a JOIN m b ON a.r = b.r AND b.containment > a.containment JOIN q x ON x.k = a.k JOIN q y ON y.k = b.k AND x.license IS DISTINCT FROM y.license
+      JOIN qs u ON u.k = a.k JOIN ds ON ds.r = a.r AND ds.g = u.g JOIN qs v ON v.k = b.k AND v.g = u.g GROUP BY a.r, a.k, b.k, a.s HAVING count(*) = a.s)"""
 
 
 def _quoted(text: str) -> str:
@@ -111,11 +120,12 @@ SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_r
 
 
 def oracle_sql() -> dict[str, str]:
-    notices = ", ".join(f"({i}::BIGINT, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(NOTICES))
+    notices = ", ".join(f"({i}::BIGINT, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(TEMPLATES))
+    licenses = _containment_sql(f"SELECT * FROM (VALUES {notices}) t(template_id, license, text)", "template_id, license, n AS n_template, s AS n_shared, containment", _BEST_SQL, short=True)
     return {
-        "op1_decontamination": _containment_sql("SELECT item_id, text FROM benchmark", "item_id", "n_item"),
+        "op1_decontamination": _containment_sql("SELECT item_id, text FROM benchmark", "item_id, n AS n_item, s AS n_shared, containment"),
         "op2_perspectives": chat.oracle(),
         "op4_block_dedup": _BLOCK_SQL,
         "op9_suffix_dedup": _SUFFIX_SQL,
-        "op10_license_scan": _containment_sql(f"SELECT * FROM (VALUES {notices}) t(template_id, license, text)", "template_id", "n_template", ", license"),
+        "op10_license_scan": f"{licenses} WHERE (r, k) NOT IN (SELECT r, k FROM p)",
     }

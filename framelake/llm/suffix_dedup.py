@@ -361,16 +361,16 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
             at = start[frag] + skip[run]
             np.add.at(covered, at, 1)
             np.add.at(covered, at + count[run] + width - 1, -1)
-        gone = np.cumsum(covered[:-1]) > 0
-        first = np.zeros(len(buf) + 1, bool)
-        first[b.offs] = True
-        rises = gone & (first[:-1] | ~np.concatenate(([False], gone[:-1]))) if len(buf) else gone
-        total, spans = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(rises)))
-        removed, runs = total[b.offs[1:]] - total[b.offs[:-1]], spans[b.offs[1:]] - spans[b.offs[:-1]]
-        sha, kept = [], []
-        for i in range(n):
-            text = buf[b.offs[i] : b.offs[i + 1]]
-            left_over = (text if not removed[i] else text[~gone[b.offs[i] : b.offs[i + 1]]]).tobytes()
+        gone = np.cumsum(covered, dtype=np.int32)[:-1] > 0
+        del covered
+        removed, runs, sha, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
+        for i, (a, e) in enumerate(zip(b.offs[:-1].tolist(), b.offs[1:].tolist(), strict=True)):
+            text, lost = buf[a:e], gone[a:e]
+            removed[i] = np.count_nonzero(lost)
+            if removed[i]:
+                runs[i] = int(lost[0]) + np.count_nonzero(lost[1:] & ~lost[:-1])
+                text = text[~lost]
+            left_over = text.tobytes()
             sha.append(hashlib.sha256(left_over).hexdigest())
             if whole_characters and removed[i]:
                 left_over = left_over.decode("utf-8", "ignore").encode()
