@@ -58,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as the model's pieces."""
-    return encode_documents(docs.select("doc_id", "lang", "source", "n_chars", "text")).select("doc_id", "lang", "source", "n_chars", "ids", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip")
+    return encode_documents(docs.select("doc_id", "lang", "source", "n_chars", "text"), memory=150_000).select("doc_id", "lang", "source", "n_chars", "ids", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip")
 
 
 STAGES = [

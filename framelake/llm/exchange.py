@@ -42,7 +42,7 @@ class Layout:
     fan: int = 256
 
     @staticmethod
-    def of(docs: DataFrame, document_mb: float = 2.0, hash_mb: float = 16.0) -> Layout:
+    def of(docs: DataFrame, document_mb: float = 2.0, hash_mb: float = 8.0) -> Layout:
         """From the total length of all texts (one aggregate over the text column)."""
         total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
         least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,9 @@ parts merge into the sketch of the whole, and estimate resemblance, containment
 of distinct shingles; below k shingles the estimates are exact.
 
 Results: null text: empty.  Two empty sketches resemble each other fully; an empty one is fully
-contained.  Ties of doc_id are ordered by text; a null doc_id is the least.
+contained.  Ties of doc_id are ordered by a hash of the text and the text; a null doc_id is the least.
+Repeated rows each have a row. Texts of any length count whole. Empty tables give no rows; other columns
+do not matter.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.operators.ordering import RANGE, ranges
+from framelake.operators.ordering import CUTS, RANGE, ranges
 
 K = 128
 SHINGLE = 5
@@ -82,26 +84,53 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
+def _dealt(docs: DataFrame, rows_per_range: int) -> DataFrame:
+    """``docs`` with RANGE: numbers that ascend with doc_id, null least, about ``rows_per_range`` rows to each.  An id
+    with so many rows that quantiles repeat it is divided by a hash of the text; ``tie`` has that hash."""
+    total, nulls = docs.select(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    dealt = ranges(docs, "doc_id", max(1, total // rows_per_range))
+    busy = []
+    if total > CUTS * rows_per_range:
+        quantiles = docs.select(F.percentile_approx("doc_id", [i / CUTS for i in range(1, CUTS + 1)], 20 * CUTS)).first()[0] or []
+        busy = sorted({a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b})
+    parts = 1 + (total if busy else nulls) // rows_per_range
+    dealt = dealt.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    hot = F.col("doc_id").isin(busy) if busy else F.lit(False)
+    last = F.lit(parts - 1).cast("long")
+    sub = last - F.least(F.floor(F.col("tie") / (2.0**63 / parts)).cast("long"), last)  # the least hash comes first, in the greatest range
+    # an id that is divided stands alone in its range, its neighbours below and above it
+    below = F.size(F.filter(F.lit(busy), lambda x: x < F.col("doc_id"))) if busy else F.lit(0)
+    place = F.when(F.col("doc_id").isNull(), 0).otherwise(2 * below + hot.cast("int")).cast("long")
+    return dealt.withColumn(RANGE, F.struct(F.col(RANGE).alias("gap"), place.alias("place"), F.when(hot | F.col("doc_id").isNull(), sub).otherwise(F.lit(0).cast("long")).alias("sub")))
+
+
 def next_documents(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], rows_per_range: int = 2000) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with the columns of ``derive``, and as ``next_*`` those of the
     row after it by descending doc_id (after the last: the first).  Rows are dealt to ranges of
     doc_id once; windows run within ranges, and only each range's first row crosses to the one before."""
-    total = docs.select("doc_id").count()
-    dealt = ranges(docs, "doc_id", max(1, total // rows_per_range))
-    inside = Window.partitionBy(RANGE).orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
+    dealt = _dealt(docs, rows_per_range)
+    inside = Window.partitionBy(RANGE).orderBy(F.desc_nulls_last("doc_id"), "tie", F.asc("text"))
     derived = derive(dealt)
-    columns = [c for c in derived.columns if c not in ("doc_id", RANGE)]
+    columns = [c for c in derived.columns if c not in ("doc_id", "tie", RANGE)]
     # each range's first row goes to the range before it; only the first rows of each task are shuffled for this
-    down = Window.orderBy(F.desc(RANGE))  # one small row per range
-    known = dealt.select(RANGE).distinct()
-    known = known.withColumn("__to", F.coalesce(F.lag(RANGE).over(down), F.min(RANGE).over(Window.partitionBy())))
     first = dealt.withColumn("__place", F.row_number().over(inside)).where("__place = 1").drop("__place")
-    edge = derive(first).join(known, RANGE).select(F.col("__to").alias(RANGE), F.lit(True).alias("__edge"), *[F.col(c).alias(f"__edge_{c}") for c in columns])
+    edge = derive(first).join(_range_before(dealt.select(RANGE).distinct()), RANGE).select(F.col("__to").alias(RANGE), F.lit(True).alias("__edge"), *[F.col(c).alias(f"__edge_{c}") for c in columns])
     out = derived.withColumns({"__last": F.lead(F.lit(0)).over(inside).isNull()} | {f"next_{c}": F.lead(c).over(inside) for c in columns})
     out = out.join(edge, RANGE, "left")
     return out.select("doc_id", *columns, *[F.when(F.col("__last"), F.col(f"__edge_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns])
 
 
+def _range_before(known: DataFrame) -> DataFrame:
+    """(RANGE, __to): of every range the one before it in descending order; the first has the last.  Ranges are
+    taken some hundreds at a time, and one row of each such lot crosses to the next."""
+    known = known.select(RANGE, F.floor(F.col(f"{RANGE}.gap") / 512).alias("lot"))
+    down = Window.partitionBy("lot").orderBy(F.desc(RANGE))
+    lots = known.groupBy("lot").agg(F.min(RANGE).alias("least"))
+    across = Window.orderBy(F.desc("lot"))  # one row per lot
+    lots = lots.select("lot", F.coalesce(F.lag("least").over(across), F.min("least").over(Window.partitionBy())).alias("before"))
+    return known.withColumn("own", F.lag(RANGE).over(down)).join(lots, "lot").select(RANGE, F.coalesce("own", "before").alias("__to"))
+
+
 def edited(text: Column, following: Column) -> Column:
     """``text`` with its last half (rounded down) replaced by as much of the start of ``following``."""
     half = F.floor(F.char_length(text) / 2).cast("int")

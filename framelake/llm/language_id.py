@@ -10,7 +10,7 @@ bound); prediction reads every whole text and nothing else of a row.
 
 Results: null text, or one without a letter: ``und``, score 0, ambiguous. Nothing to learn from:
 ``und`` for all. One language only: that one. Empty tables give no rows; repeated rows are each
-answered.
+answered; texts of any length are read whole. Ties of two codewords: the first by name, ambiguous.
 """
 
 from __future__ import annotations
@@ -141,7 +141,8 @@ def learn(labelled: DataFrame, sample_rows: int = 6000) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, margin: float = 0.05) -> DataFrame:
-    """``docs`` (any columns; text) with lang_pred, score and ambiguous."""
+    """``docs`` (any columns; text) with lang_pred, score and ambiguous; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "ambiguous")
     schema = StructType(docs.schema.fields[:]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     n = len(model.languages)
     names = np.array([*model.languages, UNDETERMINED], object)

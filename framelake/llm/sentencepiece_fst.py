@@ -387,23 +387,24 @@ class Transducer:
 _compiled: dict[str, Transducer] = {}
 
 
-def transducer(data: bytes) -> Transducer:
+def transducer(data: bytes, memory: int = 600_000) -> Transducer:
     """Compiled once per process."""
-    key = hashlib.sha256(data).hexdigest()
+    key = f"{hashlib.sha256(data).hexdigest()} {memory}"
     if key not in _compiled:
         _compiled.clear()
-        _compiled[key] = Transducer(Model.parse(data))
+        _compiled[key] = Transducer(Model.parse(data), memory)
     return _compiled[key]
 
 
 RESULTS = "ids array<int>, n_pieces long, n_bytes long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
-def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep_ids: bool = True, memory: int = 600_000) -> DataFrame:
     """``docs`` (any columns; text) with ids, n_pieces, n_bytes (pieces of byte fallback), ids_sha256 (of
     the ids as little-endian 32-bit numbers), decoded_sha256 and round_trip.
 
-    The model is read on the driver and broadcast: its size does not depend on the data.
+    ``memory``: how many parts of texts, and pairs of pieces, a worker remembers.  The model is read on the
+    driver and broadcast: its size does not depend on the data.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -412,7 +413,7 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep_ids:
     schema = StructType([*docs.schema.fields, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(model.value)
+        t = transducer(model.value, memory)
         on_other_work(_compiled.clear)
         of_bytes = np.zeros(t.many, bool)
         of_bytes[list(t.byte_of)] = True

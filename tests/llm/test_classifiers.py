@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm.language_id import codewords, fit, language_id
+from framelake.llm.language_id import codewords, fit, identify, language_id, learn
 from framelake.llm.linear import bounded_sample, fold_case
 from framelake.llm.textops import Chunk, byte_span_hashes
 from framelake.llm.toxicity import IDENTITY_GROUPS, PREFIXES, Swaps, changes, features, fit as fit_toxicity, swapped, toxicity
@@ -69,6 +69,64 @@ def test_decoding_mends_a_wrong_bit():
     assert (model.losses(x).argmin(1) == labels).all()
 
 
+def grams_by_hand(text):
+    """Unit vector of log counts of the hashed runs of one to three folded bytes."""
+    buf, x = fold_case(np.frombuffer(text.encode(), np.uint8)).tolist(), np.zeros(4096)
+    for n in (1, 2, 3):
+        for i in range(len(buf) - n + 1):
+            code = sum(b << (8 * k) for k, b in enumerate(buf[i : i + n])) | n << 24
+            x[(code * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    x = np.log1p(x)
+    return x / max(np.sqrt((x * x).sum()), 1e-6)
+
+
+def decoded_by_hand(model, text, margin=0.05):
+    """Language, score and doubt: every bit's loss to every codeword, weighted, one at a time."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, True
+    z = [float((grams_by_hand(text) - model.mean) @ model.weights[:, b] + model.bias[b]) for b in range(model.code.shape[1])]
+    losses = [sum(float(model.trust[i, b]) * np.log1p(np.exp(-z[b] * float(model.code[i, b]))) for b in range(len(z))) for i in range(len(model.languages))]
+    p = np.exp(-np.array(losses) * len(z))
+    p /= p.sum()
+    best = int(np.argmin(losses))
+    rest = sorted(p)[-2] if len(p) > 1 else 0
+    return model.languages[best], p[best], p[best] - rest < margin
+
+
+def test_decoding_by_hand(languages, spark):
+    model = learn(languages.where("doc_id < 300"))
+    rnd = random.Random(9)
+    texts = [None, "", "12 !", "Ж", "a"] + [made(lang, rnd, k) for lang in SYLLABLES for k in (1, 2, 5, 40)]
+    texts += [" ".join(made(lang, rnd, 2) for lang in pair) for pair in (("aa", "bb"), ("bb", "cc"), ("aa", "cc"), ("aa", "bb", "cc")) for _ in range(10)]
+    got = identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model)
+    doubts = 0
+    for r in got.collect():
+        lang, score, doubt = decoded_by_hand(model, r.text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4)
+        if abs(score - 0.05) > 1e-3:
+            assert r.ambiguous == doubt or abs(score) < 1e-9
+        doubts += r.ambiguous and lang != "und"
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "ambiguous"]
+    assert doubts  # texts of several languages
+
+
+def test_a_text_between_two_languages_is_ambiguous(spark):
+    rnd = random.Random(2)
+    rows = [(i, made(lang, rnd, 30), lang) for i in range(200) for lang in ("aa", "bb")]
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    flip = identify(spark.createDataFrame([(0, "zzz zz z"), (1, made("aa", rnd, 30)), (2, made("bb", rnd, 30))], "doc_id long, text string"), model, margin=0.9)
+    assert {r.doc_id: r.ambiguous for r in flip.collect()} == {0: True, 1: False, 2: False}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: (r.lang, len(r.text or "")) for r in docs.collect()}
+    held = [r for r in language_id(docs).collect() if r.held_out and truth[r.doc_id][0] and r.lang_pred != "und"]
+    assert len(held) > 150
+    assert np.mean([r.lang_pred == truth[r.doc_id][0] for r in held]) > 0.98
+
+
 def test_fold_case():
     text = "AbÉÀ×÷ß, ZÜ9".encode()
     assert fold_case(np.frombuffer(text, np.uint8)).tobytes().decode() == "abéà×÷ß  zü "
