@@ -1,10 +1,13 @@
+import itertools
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions.codec import Record, seal
-from framelake.sources.framelog import committed, read_log, register
+from framelake.sources import framelog
+from framelake.sources.framelog import Writer, committed, last_seq, log_files, read_log, read_valid, register, truncate
 from framelake.streaming import ingest
 
 
@@ -105,3 +108,204 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seqs(spark.table("followed")) == list(range(1, 19))
+
+
+def payloads(spark, path, **options):
+    return sorted((int(r.seq), bytes(r.payload).decode()) for r in spark.read.format("framelog").options(**options).load(path).collect())
+
+
+def records(spark, lo, hi, files=3):
+    df = spark.range(lo, hi).select(F.col("id").alias("seq"), F.lit(1).alias("schema_seq"), F.encode(F.col("id").cast("string"), "utf-8").alias("payload"))
+    return df.repartitionByRange(files, "seq").sortWithinPartitions("seq")
+
+
+def write(df, path, mode="append", **options):
+    df.write.format("framelog").options(**{"group_bytes": "200"} | options).mode(mode).save(path)
+
+
+def flip(path, at):
+    with open(path, "r+b") as f:
+        f.seek(at)
+        byte = f.read(1)
+        f.seek(at)
+        f.write(bytes([byte[0] ^ 4]))
+
+
+def test_a_log_is_one_over_its_files(spark, tmp_path):
+    """Offsets, fences and the first damage count over all files."""
+    path = str(tmp_path / "log")
+    write(records(spark, 1, 61), path)
+    write(records(spark, 61, 121), path)
+    files = log_files(path)
+    frames = spark.read.format("framelog").option("level", "frames").load(path).orderBy("frame_off").collect()
+    assert [f.frame_off for f in frames] == [0, *itertools.accumulate(f.frame_len for f in frames)][:-1]
+    assert [int(f.min_seq) for f in frames] == sorted(int(f.min_seq) for f in frames)
+    assert sum(f.bytes for f in files) == frames[-1].frame_off + frames[-1].frame_len
+    assert sum(f.frames for f in files) == len(frames) and len(files) == 6
+    for fence in (0, 1, frames[3].frame_off, frames[9].frame_off + 5, frames[-1].frame_off + frames[-1].frame_len):
+        want = [int(f.max_seq) for f in frames if f.frame_off + f.frame_len <= fence]
+        assert seqs(spark.read.format("framelog").option("visible_to", str(fence)).load(path)) == list(range(1, max(want, default=0) + 1))
+    # damage in the second file ends the log for those behind it
+    flip(os.path.join(path, files[1].name), 100)
+    hit = next(f for f in frames if f.frame_off + f.frame_len > files[0].bytes + 100)
+    assert seqs(read_valid(spark, path)) == list(range(1, int(hit.min_seq)))
+    assert read_valid(spark, path, "frames").count() == sum(f.frame_off < hit.frame_off for f in frames)
+    with open(os.path.join(path, files[0].name), "r+b") as f:
+        f.truncate(files[0].bytes - 1)  # cut off: manifests tell, so every reading ends there
+    assert max(seqs(spark.read.format("framelog").load(path))) < int(frames[files[0].frames].min_seq)
+
+
+def test_keys_that_fall_from_file_to_file_end_the_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for lo, hi in ((50, 60), (1, 9), (70, 80)):
+        write(records(spark, lo, hi, 1), path)
+    assert seqs(spark.read.format("framelog").load(path)) == list(range(50, 60))
+    frames = spark.read.format("framelog").options(level="frames", diagnostics="true").load(path)
+    assert [r.stop_reason for r in frames.where("stop_reason is not null").collect()] == ["order: 8 after 59"]
+    assert seqs(read_valid(spark, path)) == list(range(50, 60))
+
+
+def test_truncate(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write(records(spark, 1, 61), path)
+    frames = spark.read.format("framelog").option("level", "frames").load(path).orderBy("frame_off").collect()
+    end = frames[-1].frame_off + frames[-1].frame_len
+    with pytest.raises(ValueError, match="bytes"):
+        truncate(path, end + 1)
+    truncate(path, end)
+    assert len(seqs(spark.read.format("framelog").load(path))) == 60
+    for at in (frames[7].frame_off + 3, frames[4].frame_off, 0):
+        truncate(path, at)
+        kept = [f for f in frames if f.frame_off + f.frame_len <= at]
+        assert seqs(spark.read.format("framelog").load(path)) == list(range(1, 1 + max((int(f.max_seq) for f in kept), default=0)))
+        assert last_seq(path) == max((int(f.max_seq) for f in kept), default=0)
+    df = spark.range(5).select("id", F.encode(F.lit("x"), "utf-8").alias("payload"))
+    assert ingest.append(df, path, "id") == (1, 5)
+    assert seqs(spark.read.format("framelog").load(path)) == [1, 2, 3, 4, 5]
+
+
+def test_writers_exclude_one_another(spark, tmp_path):
+    path = str(tmp_path / "log")
+    first, second = (Writer(path, {}, False) for _ in range(2))
+    batch = [pa.RecordBatch.from_pydict({"seq": [1, 2], "schema_seq": [1, 1], "payload": [b"a", b"b"]}, pa.schema([("seq", pa.int64()), ("schema_seq", pa.int64()), ("payload", pa.binary())]))]
+    staged = [w.write(iter(batch)) for w in (first, second)]
+    first.commit(staged[:1])
+    with pytest.raises(RuntimeError, match="another writer"):
+        second.commit(staged[1:])
+    assert seqs(spark.read.format("framelog").load(path)) == [1, 2]
+
+
+def test_nulls_and_missing_folders_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, None)], "seq long, schema_seq long, payload binary")
+    with pytest.raises(Exception, match="must not be null"):
+        write(df, str(tmp_path / "log"))
+    with pytest.raises(Exception, match="no folder"):
+        write(records(spark, 1, 3), str(tmp_path / "no" / "log"))
+
+
+def test_an_overwrite_that_dies_leaves_a_whole_log(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    write(records(spark, 1, 31), path)
+    old = set(os.listdir(path))
+    w = Writer(path, {}, True)
+    columns = records(spark, 100, 103, 1).toPandas()
+    staged = w.write(iter([pa.RecordBatch.from_pandas(columns, preserve_index=False)]))
+    assert seqs(spark.read.format("framelog").load(path)) == list(range(1, 31))  # staged is not seen
+    monkeypatch.setattr(framelog, "vacuum", lambda p: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError):
+        w.commit([staged])
+    assert seqs(spark.read.format("framelog").load(path)) == [100, 101, 102]
+    monkeypatch.undo()
+    assert set(framelog.vacuum(path)) == old
+    assert seqs(spark.read.format("framelog").load(path)) == [100, 101, 102]
+
+
+def test_parts_of_large_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    monkeypatch.setattr(framelog, "MARK_BYTES", 1000)
+    w = Writer(path, {"group_bytes": "150"}, False)
+    n = 500
+    table = pa.RecordBatch.from_pydict({"seq": list(range(1, n + 1)), "schema_seq": [1] * n, "payload": [b"x" * (i % 40) for i in range(n)]}, pa.schema([("seq", pa.int64()), ("schema_seq", pa.int64()), ("payload", pa.binary())]))
+    w.commit([w.write(iter([table.slice(i, 70) for i in range(0, n, 70)]))])
+    cut = framelog.parts(path, log_files(path), {})
+    assert len(cut) > 10 and cut[0].start == 0 and all(a.end == b.start and b.number > a.number for a, b in zip(cut, cut[1:]))
+    frames = spark.read.format("framelog").option("level", "frames").load(path).orderBy("frame_no").collect()
+    assert [f.frame_no for f in frames] == list(range(len(frames))) == list(range(log_files(path)[0].frames))
+    assert [f.frame_off for f in frames] == [0, *itertools.accumulate(f.frame_len for f in frames)][:-1]
+    assert seqs(spark.read.format("framelog").load(path)) == list(range(1, n + 1))
+    assert seqs(spark.read.format("framelog").option("push", "true").load(path).where("seq > 7 and seq <= 12 and seq < 100")) == list(range(8, 13))
+    assert seqs(spark.read.format("framelog").option("push", "true").load(path).where("seq > 7 and seq < 3")) == []
+
+
+def test_blocks_are_read_whatever_their_size():
+    log = b"".join(seal([Record(s, 1, b"p" * (s % 50)) for s in range(f, f + 3)]) for f in range(1, 90, 3))
+    for block in (4, 30, 64, 1000, len(log)):
+        for damage in (None, 700):
+            data = bytearray(log)
+            if damage:
+                data[damage] ^= 1
+            got = list(framelog.scan(lambda at, n, d=bytes(data): d[at : at + n], block=block))
+            whole = list(framelog.scan(lambda at, n, d=bytes(data): d[at : at + n]))
+            keys = lambda runs: [int(k) for _, b, _ in runs if b is not None for k in b.greatest]
+            assert keys(got) == keys(whole)
+            assert [(at, why) for at, b, why in got if b is None] == [(at, why) for at, b, why in whole if b is None]
+
+
+def test_a_batch_repeated_after_its_commit_is_skipped(spark, tmp_path, monkeypatch):
+    source, path, mark = (str(tmp_path / n) for n in ("in", "log", "mark"))
+    make = lambda lo, hi: spark.range(lo, hi).select("id", F.encode(F.col("id").cast("string"), "utf-8").alias("payload")).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema("id long, payload binary").parquet(source)
+    make(0, 10)
+    ingest.ingest(stream(), path, "id", mark).awaitTermination()
+    # the commit succeeded, and the driver died before the stream's own log said so
+    for n in os.listdir(os.path.join(mark, "commits")):
+        os.remove(os.path.join(mark, "commits", n))
+    make(10, 15)
+    ingest.ingest(stream(), path, "id", mark).awaitTermination()
+    ingest.ingest(stream(), path, "id", mark).awaitTermination()
+    assert seqs(spark.read.format("framelog").load(path)) == list(range(1, 16))
+    assert sorted(p for _, p in payloads(spark, path)) == sorted(str(i) for i in range(15))
+
+
+def test_quota(spark, tmp_path):
+    df = spark.range(5).select("id", F.encode(F.lit("12345"), "utf-8").alias("payload"))
+    with pytest.raises(ValueError, match="quota"):
+        ingest.append(df, str(tmp_path / "log"), "id", most_bytes=129)
+    assert ingest.append(df, str(tmp_path / "log"), "id", most_bytes=130) == (1, 5)
+
+
+def test_copies_of_a_log(spark, tmp_path):
+    path, copy, twin = (str(tmp_path / n) for n in ("log", "copy", "twin"))
+    write(records(spark, 1, 31), path)
+    ingest.backup(path, copy)
+    ingest.replicate(spark, path, twin, str(tmp_path / "mark")).awaitTermination()
+    write(records(spark, 31, 41), path)
+    assert payloads(spark, copy) == payloads(spark, path)[:30] == payloads(spark, twin)
+    ingest.replicate(spark, path, twin, str(tmp_path / "mark")).awaitTermination()
+    assert payloads(spark, twin) == payloads(spark, path)
+
+
+def test_many_manifests_are_summed_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(framelog, "FULL_EVERY", 3)
+    path = str(tmp_path / "log")
+    for i in range(7):
+        w = Writer(path, {}, False)
+        batch = pa.RecordBatch.from_pydict({"seq": [i + 1], "schema_seq": [1], "payload": [b"x"]}, pa.schema([("seq", pa.int64()), ("schema_seq", pa.int64()), ("payload", pa.binary())]))
+        w.commit([w.write(iter([batch]))])
+        assert last_seq(path) == i + 1
+    assert [framelog.manifest(path, n)["replace"] for n in range(1, 8)] == [False, False, True] * 2 + [False]
+    assert seqs(spark.read.format("framelog").load(path)) == list(range(1, 8))
+    framelog.vacuum(path)
+    assert seqs(spark.read.format("framelog").load(path)) == list(range(1, 8))
+
+
+def test_a_stream_of_a_log_that_was_cut_fails(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write(records(spark, 1, 31), path)
+    truncate(path, 500)
+    write(records(spark, 31, 41), path)
+    reader = framelog.StreamReader(path, {})
+    end = reader.latestOffset()
+    assert [p.base for p in reader.partitions({"files": 0, "bytes": 0}, end)][0] == 0
+    with pytest.raises(RuntimeError, match="no longer"):
+        reader.partitions({"files": 0, "bytes": 0}, end | {"bytes": 1})
