@@ -22,9 +22,14 @@ def record_size(payload: Column) -> Column:
     return (RECORD_HEADER + F.octet_length(payload)).cast("long")
 
 
+def within_limit(size: Column) -> Column:
+    """Whether a record of this size is one the format allows."""
+    return size <= RECORD_MAX
+
+
 def fits(payload: Column) -> Column:
     """Whether a payload keeps its record within the format's limit."""
-    return record_size(payload) <= RECORD_MAX
+    return within_limit(record_size(payload))
 
 
 def reject_oversize(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -61,16 +66,14 @@ def scan_valid_prefix(frames: DataFrame, scan_key: str = "max_seq", ok: Column |
     ``diagnostics``: keep all frames and say in ``scanned`` and ``stop_reason`` what became of each.
     """
     key = F.col(scan_key)
-    with_last = ordering.previous(frames, order, scan_key, "__last_key")
-    late = ~(key > F.coalesce(F.col("__last_key"), F.lit(0)))
-    reason = F.when(~(ok if ok is not None else F.lit(True)), "damaged").when(F.coalesce(late, F.lit(True)), "order")
-    judged = with_last.withColumn("stop_reason", reason).drop("__last_key")
-    stop = judged.where(F.col("stop_reason").isNotNull()).agg(F.min(order).alias("__stop"))
-    out = judged.crossJoin(F.broadcast(stop))  # one row
-    before = F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))
+    late = lambda before: F.coalesce(~(key > F.coalesce(before, F.lit(0))), F.lit(True))
+    damaged = ~(ok if ok is not None else F.lit(True))
+    out = ordering.walk(frames, order, previous={"__last_key": scan_key}, stop=lambda before: damaged | late(before["__last_key"]))
+    scanned = F.col(ordering.STOP).isNull() | (F.col(order) < F.col(ordering.STOP))
     if diagnostics:
-        return out.withColumn("scanned", before).drop("__stop")
-    return out.where(before).drop("__stop", "stop_reason")
+        reason = F.when(damaged, "damaged").when(late(F.col("__last_key")), "order")
+        return out.withColumns({"stop_reason": reason, "scanned": scanned}).drop("__last_key", ordering.STOP)
+    return out.where(scanned).drop("__last_key", ordering.STOP)
 
 
 def visible(frames: DataFrame, watermark: int) -> DataFrame:
@@ -102,6 +105,15 @@ def visible_read_length(offset: Column, length: Column, watermark: int) -> Colum
     return F.greatest(F.lit(0), F.least(length, F.lit(watermark) - offset)).cast("long")
 
 
+def generate(spark, n_txns: int, seed: int = 0, payload: bytes = b"A record like any other. ", schema_seq: int = 1) -> DataFrame:
+    """Made records (seq, txn, schema_seq, payload): transactions of 2 to 20 records, numbered from 1 without gaps."""
+    sizes = spark.range(n_txns).select(F.col("id").alias("txn"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(19)) + 2).alias("n"))
+    begins = ordering.running_sum(sizes, "txn", "n", "before")
+    return begins.select("txn", F.posexplode(F.array_repeat(F.lit(payload), F.col("n").cast("int"))).alias("at", "payload"), "before").select(
+        (F.col("before") + F.col("at") + 1).cast("long").alias("seq"), "txn", F.lit(schema_seq).cast("long").alias("schema_seq"), "payload"
+    )
+
+
 def group_commit(records: DataFrame, cap: int = RECORD_MAX, log: str = "log", order: str = "seq", size: str = "rec_len") -> DataFrame:
     """Greedy packing of appends into frames, as a writer does whose queue is never empty.
 

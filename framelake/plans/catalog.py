@@ -2,24 +2,30 @@
 
 Fixtures come from ``events``: ``seq`` is event_id + 1, seven events make a transaction, the
 payload is ``props``.  Where a query needs a schema or a damaged log, its few rows are stated here.
+Queries on log files write a log of their own into the cluster's shared folder and read it back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import codec
 from framelake.functions.schema import DataType, Schema, SchemaError, layout_table, width_expr
 from framelake.operators import index, log
+from framelake.operators.lineage import place
+from framelake.sources import framelog
+from framelake.streaming import ingest
 
 SCHEMAS = (
     ("person", '{"name": {"first": "String 64", "last": "String? 64"}, "id": "Int"}'),
-    ("account", '{"firstName": "String 50", "userId": "Int", "ok": "Bool", "ratio": "Float", "data": "Blob 12"}'),
-    ("optional", '{"a": "Int?", "b": "Bool?", "c": "String? 50", "d": "String 50"}'),
+    ("reading", '{"sensor": "String 40", "at": "Int", "valid": "Bool", "celsius": "Float", "raw": "Blob 16"}'),
+    ("order", '{"qty": "Int?", "paid": "Bool?", "note": "String? 30", "sku": "String 30"}'),
     ("levels", '{"a": {"z": "Int"}, "a-b": "Bool", "A": {"y": {"x": "Float?"}}}'),
 )
 DECLARATIONS = ("Int", "int", "INT?", "Int 64", "Int ?", "Int??", "?", "", "TimeStamp", "String", "String?", "String 0", "String -5", "String x", "String 5 6", "String? 50", "String 50?", "String +5", "String 4294967296", "Float", "Bool?", "Blob 12")
@@ -73,19 +79,19 @@ def record_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which payloads would fit if each were repeated to about 4 MiB."""
     e = _events(spark, sf_dir)
-    size = (21 + F.octet_length("props") * (F.lit(4194283) / 10 + F.col("event_id") % 3)).cast("long")
-    return e.select((F.col("event_id") + 1).alias("seq"), size.alias("rec_len")).withColumn("fits", F.col("rec_len") <= codec.RECORD_MAX)
+    size = (codec.RECORD_HEADER + F.octet_length("props") * (F.lit(4194283) / 10 + F.col("event_id") % 3)).cast("long")
+    return e.select((F.col("event_id") + 1).alias("seq"), size.alias("rec_len")).withColumn("fits", log.within_limit(F.col("rec_len")))
 
 
 def record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded by batches, decoded one by one."""
+    """Encoded and decoded, a batch at a time."""
     source = _records(spark, sf_dir).select("seq", "schema_seq", F.col("props").cast("binary").alias("payload"))
 
     def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             encoded = codec.encode_column(b.column("seq"), b.column("schema_seq"), b.column("payload"))
-            records = [codec.Record.decode(x.as_py()) for x in encoded]
-            yield pa.RecordBatch.from_arrays([pa.array([r.seq for r in records], pa.int64()), pa.array([r.schema_seq for r in records], pa.int64()), pa.array([r.payload.decode() for r in records]), pa.array([r.size for r in records], pa.int64())], names=["seq", "schema_seq", "payload", "rec_len"])
+            seq, schema_seq, payload = codec.decode_column(encoded)
+            yield pa.RecordBatch.from_arrays([seq.cast(pa.int64()), schema_seq.cast(pa.int64()), payload.cast(pa.binary()).cast(pa.string()), pc.binary_length(encoded).cast(pa.int64())], names=["seq", "schema_seq", "payload", "rec_len"])
 
     return source.mapInArrow(there_and_back, "seq long, schema_seq long, payload string, rec_len long")
 
@@ -105,21 +111,77 @@ def frame_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames sealed from whole transactions and decoded again, every tenth with one bit flipped."""
     txns = _records(spark, sf_dir).select("txn", "seq", "schema_seq", F.col("props").cast("binary").alias("payload"))
-
-    def seal(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["seq", "schema_seq", "payload"]).to_pylist(), key=lambda r: r["seq"])
-        frame = bytearray(codec.seal([codec.Record(r["seq"], r["schema_seq"], r["payload"]) for r in rows]))
-        txn = table.column("txn")[0].as_py()
-        if txn % 10 == 9:
-            frame[len(frame) // 2] ^= 1
-        try:
-            decoded = codec.Frame.decode(bytes(frame))
-            state, low, high = "ok", decoded.min_seq, decoded.max_seq
-        except codec.CodecError as e:
-            state, low, high = type(e).__name__, None, None
-        return pa.table({"txn": pa.array([txn], pa.int64()), "frame_len": pa.array([len(frame)], pa.int64()), "state": [state], "min_seq": pa.array([low], pa.int64()), "max_seq": pa.array([high], pa.int64())})
-
-    return txns.groupBy("txn").applyInArrow(seal, "txn long, frame_len long, state string, min_seq long, max_seq long")
+    dealt = txns.repartition("txn").sortWithinPartitions("txn", "seq")
+
+    def check(table: pa.Table) -> pa.RecordBatch:
+        txn, seq, schema_seq, payload = (table.column(c).combine_chunks() for c in ("txn", "seq", "schema_seq", "payload"))
+        txn = txn.to_numpy(zero_copy_only=False)
+        sealed = codec.seal_many(txn, seq, schema_seq, payload)
+        txn = txn[np.flatnonzero(np.diff(txn, prepend=txn[0] - 1))]
+        data, flipped = sealed.buf.copy(), txn % 10 == 9
+        data[(sealed.starts + sealed.sizes // 2)[flipped]] ^= 1
+        frames, _, _ = codec.frames_in(data)
+        bad = np.zeros(len(frames), bool)
+        bad[frames.damaged()] = True
+        low, high = (pa.array(x.astype(np.int64), mask=bad) for x in (frames.least, frames.greatest))
+        return pa.RecordBatch.from_arrays([pa.array(txn), pa.array(frames.sizes), pa.array(np.where(bad, "InvalidData", "ok")), low, high], names=["txn", "frame_len", "state", "min_seq", "max_seq"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the transaction that may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            numbers = table.column("txn").to_numpy()
+            whole = int(np.searchsorted(numbers, numbers[-1])) if len(numbers) else 0
+            if whole:
+                yield check(table.slice(0, whole))
+            rest = table.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield check(rest)
+
+    return dealt.mapInArrow(run, "txn long, frame_len long, state string, min_seq long, max_seq long")
+
+
+def _write_log(spark: SparkSession, sf_dir: str) -> str:
+    """The event log as files, a frame for each transaction."""
+    path = place(spark, "log")
+    r = _records(spark, sf_dir).select("seq", "schema_seq", F.col("props").cast("binary").alias("payload"), "txn")
+    framelog.register(spark)
+    r.repartitionByRange("txn").sortWithinPartitions("txn", "seq").write.format("framelog").option("by", "txn").mode("append").save(path)
+    return path
+
+
+def _numbers(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def log_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log written and read back, as frames."""
+    frames = spark.read.format("framelog").option("level", "frames").load(_write_log(spark, sf_dir))
+    return _numbers(frames, "min_seq", "max_seq").select("frame_off", "frame_len", "min_seq", "max_seq", "n_records")
+
+
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log written and read back, as records."""
+    r = _numbers(spark.read.format("framelog").load(_write_log(spark, sf_dir)), "seq", "schema_seq")
+    return r.select("seq", "schema_seq", F.col("payload").cast("string").alias("payload"), "frame_off")
+
+
+def scan_damaged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of which one bit in the middle is flipped: the frames before."""
+    path = _write_log(spark, sf_dir)
+    hit = spark.read.format("framelog").option("level", "frames").load(path).where(F.col("min_seq") == 7 * DAMAGED_TXN + 1).select("frame_off").first()
+    if hit:
+        at = hit[0] + 30
+        for f in framelog.log_files(path):
+            if at < f.bytes:
+                with open(f"{path}/{f.name}", "r+b") as file:
+                    file.seek(at)
+                    byte = file.read(1)[0]
+                    file.seek(at)
+                    file.write(bytes([byte ^ 1]))
+                break
+            at -= f.bytes
+    return _numbers(framelog.read_valid(spark, path, "frames"), "min_seq", "max_seq").select("frame_off", "frame_len", "min_seq", "max_seq")
 
 
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +212,11 @@ def visible_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truncate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.log_stats(log.truncate(_frames(spark, sf_dir), WATERMARK))
+    """A log cut at a byte, in the middle of a frame, and read again."""
+    path = _write_log(spark, sf_dir)
+    framelog.truncate(path, WATERMARK)
+    frames = spark.read.format("framelog").option("level", "frames").load(path)
+    return log.log_stats(_numbers(frames, "max_seq"))
 
 
 def log_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +225,8 @@ def log_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    return e.select("event_id", log.read_at(F.col("props"), 3, 5).alias("piece"), log.read_at(F.col("props"), 1000, 5).alias("beyond"))
+    data = F.col("props").cast("binary")
+    return e.select("event_id", log.read_at(data, 3, 5).cast("string").alias("piece"), log.read_at(data, 1000, 5).cast("string").alias("beyond"))
 
 
 def assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,14 +235,15 @@ def assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two appends of half the events each, resumed, as the committed log's statistics."""
-    e = _events(spark, sf_dir).select("event_id", log.record_size(F.col("props")).alias("rec_len"))
+    """Two appends to a log of half the events each, the second going on from the first, read back from its files."""
+    e = _events(spark, sf_dir).select("event_id", F.col("props").cast("binary").alias("payload"))
     half = e.select(F.max("event_id")).first()[0] // 2
-    first = log.assign_seq(e.where(F.col("event_id") <= half), "event_id")
-    last = first.agg(F.max("seq")).first()[0] or 0
-    second = log.assign_seq(e.where(F.col("event_id") > half), "event_id", last)
-    both = first.withColumn("batch", F.lit(1)).unionByName(second.withColumn("batch", F.lit(2)))
-    return both.groupBy("batch").agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.sum("rec_len").cast("long").alias("n_bytes"))
+    path = place(spark, "log")
+    _, last = ingest.append(e.where(F.col("event_id") <= half), path, "event_id")
+    ingest.append(e.where(F.col("event_id") > half), path, "event_id")
+    r = _numbers(spark.read.format("framelog").load(path), "seq")
+    batch = F.when(F.col("seq") <= last, 1).otherwise(2).alias("batch")
+    return r.groupBy(batch).agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.sum(log.record_size(F.col("payload"))).cast("long").alias("n_bytes"))
 
 
 def group_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +253,13 @@ def group_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemas = spark.createDataFrame([(1, "person", 0), (2, "account", 0)], "schema_seq long, schema string, version int")
-    return index.schema_resolve(_records(spark, sf_dir).select("seq", "schema_seq"), schemas).select("seq", "schema_seq", "schema", "version")
+    """Schemas written into a log as flagged records, and the records after them with the schemas they name."""
+    path = place(spark, "log")
+    first = spark.createDataFrame([(i, bytearray(index.schema_payload(n, d, i)), index.SCHEMA_FLAG) for i, (n, d) in enumerate(SCHEMAS[:2])], "event_id long, payload binary, schema_seq long")
+    ingest.append(first, path, "event_id")
+    ingest.append(_records(spark, sf_dir).select((F.col("seq") + 10).alias("event_id"), F.col("props").cast("binary").alias("payload"), "schema_seq"), path, "event_id")
+    r = _numbers(spark.read.format("framelog").load(path), "seq", "schema_seq")
+    return index.schema_resolve(index.data_in(r), index.schemas_in(r)).select("seq", "schema_seq", "schema", "version")
 
 
 def index_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,11 +267,34 @@ def index_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.search(index.index_entries(_records(spark, sf_dir), F.col("event_type")), "purchase")
+    """By an index that is saved and read back."""
+    path = place(spark, "index")
+    index.save_index(_records(spark, sf_dir), F.col("event_type"), path)
+    return index.search_saved(spark, path, "purchase")
 
 
 def seq_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.seq_lookup(_records(spark, sf_dir), [1, 500, 10_000, 10_001]).select("seq", "txn", "props")
+    """By a map of numbers that is saved and read back: of the log, only the frames that have them."""
+    path, saved = _write_log(spark, sf_dir), place(spark, "map")
+    index.seq_map(spark.read.format("framelog").load(path)).write.parquet(saved)
+    found = _numbers(index.fetch(spark, path, spark.read.parquet(saved), [1, 500, 10_000, 10_001]), "seq")
+    return found.select("seq", F.expr("(seq - 1) div 7").alias("txn"), F.col("payload").cast("string").alias("props"))
+
+
+def latest_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a table with a primary key: every user's last event."""
+    e = _events(spark, sf_dir).select((F.col("event_id") + 1).alias("seq"), "user_id", "event_type")
+    return index.latest_per_key(e, "user_id")
+
+
+def made_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made records, as many transactions as there are: what the generator promises of them."""
+    made = log.generate(spark, 1000)
+    sizes = made.groupBy("txn").agg(F.count("*").alias("n"), (F.max("seq") - F.min("seq") + 1).alias("width"))
+    whole = made.agg(F.count("*").alias("n_records"), F.countDistinct("seq").alias("n_numbers"), F.max("seq").alias("last"))
+    return sizes.agg(F.count("*").alias("n_txns"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum((F.col("n") != F.col("width")).cast("int")).cast("long").alias("n_gaps")).crossJoin(
+        whole.select((F.col("n_records") == F.col("n_numbers")).alias("numbers_differ"), (F.col("n_records") == F.col("last")).alias("no_number_left_out"))
+    )  # fmt: skip  both are one row
 
 
 def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,6 +308,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         schema_types, schema_flatten, schema_layout, record_size, record_limit, record_roundtrip, txn_summary, txn_columns, frame_layout, frame_verify, scan_valid_prefix, scan_valid_prefix_min, scan_diagnostics,
         visible_read, visible_bytes, truncate_log, log_stats, read_at, assign_seq, append_commit, group_commit, schema_resolve, index_bucket, index_search, seq_lookup, compact,
+        log_frames, log_records, scan_damaged_log, latest_per_user, made_log,
     )
     return {f.__name__: f for f in every}
 
@@ -236,8 +333,8 @@ def _values(rows: list[tuple], columns: str) -> str:
 # What the schemas and declarations above must give: stated here, not computed by the parser.
 _LAYOUT = [
     ("person", 0, "id", "Int", 8, False), ("person", 1, "name.first", "String", 64, False), ("person", 2, "name.last", "String", 64, True),
-    ("account", 0, "data", "Blob", 12, False), ("account", 1, "firstName", "String", 50, False), ("account", 2, "ok", "Bool", 1, False), ("account", 3, "ratio", "Float", 8, False), ("account", 4, "userId", "Int", 8, False),
-    ("optional", 0, "a", "Int", 8, True), ("optional", 1, "b", "Bool", 1, True), ("optional", 2, "c", "String", 50, True), ("optional", 3, "d", "String", 50, False),
+    ("reading", 0, "at", "Int", 8, False), ("reading", 1, "celsius", "Float", 8, False), ("reading", 2, "raw", "Blob", 16, False), ("reading", 3, "sensor", "String", 40, False), ("reading", 4, "valid", "Bool", 1, False),
+    ("order", 0, "note", "String", 30, True), ("order", 1, "paid", "Bool", 1, True), ("order", 2, "qty", "Int", 8, True), ("order", 3, "sku", "String", 30, False),
     ("levels", 0, "A.y.x", "Float", 8, True), ("levels", 1, "a.z", "Int", 8, False), ("levels", 2, "a-b", "Bool", 1, False),
 ]
 _PARSED = [
@@ -272,15 +369,20 @@ def oracle_sql() -> dict[str, str]:
         "truncate_log": f"WITH {_FRAMES} SELECT count(*) AS n_frames, coalesce(sum(frame_len), 0)::BIGINT AS pos, max(max_seq) AS last_seq FROM f WHERE frame_off + frame_len <= {WATERMARK}",
         "log_stats": f"WITH {_T} SELECT count(*) AS n_frames, sum(frame_len)::BIGINT AS pos, max(max_seq) AS last_seq FROM t",
         "read_at": "SELECT event_id, substr(props, 4, 5) AS piece, substr(props, 1001, 5) AS beyond FROM events",
-        "assign_seq": "SELECT event_id, 1000 + row_number() OVER (ORDER BY event_id) AS seq FROM events WHERE event_id % 3 = 0",
+        "assign_seq": "SELECT event_id, 1000 + row_number() OVER (ORDER BY event_id) AS seq FROM events",
         "append_commit": "WITH m AS (SELECT max(event_id) // 2 AS half FROM events) SELECT CASE WHEN event_id <= half THEN 1 ELSE 2 END AS batch, min(event_id) + 1 AS min_seq, max(event_id) + 1 AS max_seq, sum(21 + octet_length(encode(props)))::BIGINT AS n_bytes FROM events, m GROUP BY 1",
         "group_commit": f"""WITH RECURSIVE {_R}, n AS (SELECT event_type AS log, seq, rec_len, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS i FROM r),
 w AS (SELECT log, seq, rec_len, i, 0::BIGINT AS frame_no, 20 + rec_len AS fill FROM n WHERE i = 1
 UNION ALL SELECT n.log, n.seq, n.rec_len, n.i, w.frame_no + CASE WHEN w.fill >= {cap} THEN 1 ELSE 0 END, CASE WHEN w.fill >= {cap} THEN 20 ELSE w.fill END + n.rec_len FROM w JOIN n ON n.log = w.log AND n.i = w.i + 1)
 SELECT log, frame_no, min(seq) AS min_seq, max(seq) AS max_seq, count(*) AS n_appends, (sum(rec_len) + 24)::BIGINT AS frame_len FROM w GROUP BY 1, 2""",
-        "schema_resolve": f"WITH {_R} SELECT seq, schema_seq, schema, version FROM r LEFT JOIN (VALUES (1, 'person', 0), (2, 'account', 0)) s(schema_seq, schema, version) USING (schema_seq)",
+        "schema_resolve": f"WITH {_R} SELECT seq + 2 AS seq, schema_seq, schema, version FROM r LEFT JOIN (VALUES (1, 'person', 0), (2, 'reading', 1)) s(schema_seq, schema, version) USING (schema_seq)",
         "index_bucket": f"WITH {_R} SELECT event_type, count(*) AS n_seq, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY 1",
         "index_search": f"WITH {_R} SELECT seq FROM r WHERE event_type = 'purchase'",
         "seq_lookup": f"WITH {_R} SELECT seq, txn, props FROM r WHERE seq IN (1, 500, 10000, 10001)",
-        "compact": f"WITH {_R} SELECT seq, rec_len, CASE WHEN seq > 600 THEN event_type END AS event_type FROM r",
+        "compact": f"WITH {_R} SELECT seq, rec_len, CASE WHEN seq > 300 THEN event_type END AS event_type FROM r",
+        "log_frames": f"WITH {_FRAMES} SELECT frame_off, frame_len, min_seq, max_seq, n_records FROM f",
+        "log_records": f"WITH {_FRAMES} SELECT seq, schema_seq, props AS payload, frame_off FROM r JOIN f USING (txn)",
+        "scan_damaged_log": f"WITH {_FRAMES} SELECT frame_off, frame_len, min_seq, max_seq FROM f WHERE txn < {DAMAGED_TXN}",
+        "latest_per_user": "SELECT max(event_id) + 1 AS seq, user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
+        "made_log": "SELECT 1000::BIGINT AS n_txns, 2::BIGINT AS least, 20::BIGINT AS most, 0::BIGINT AS n_gaps, true AS numbers_differ, true AS no_number_left_out",
     }

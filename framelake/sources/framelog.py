@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from framelake.functions.codec import FRAME_MIN, RECORD_HEADER, Batch, InvalidData, frames_in, record_columns, seal_many
+from framelake.functions.codec import RECORD_HEADER, Batch, InvalidData, frames_in, record_columns, seal_many
 
 RECORDS = "file string, frame_no bigint, frame_off bigint, seq decimal(20,0), schema_seq decimal(20,0), payload binary"
 FRAMES = "file string, frame_no bigint, frame_off bigint, frame_len bigint, min_seq decimal(20,0), max_seq decimal(20,0), crc bigint, n_records bigint, stop_reason string"
@@ -348,12 +348,13 @@ def sync_folder(path: str) -> None:
 class Writer(DataSourceArrowWriter):
     """Groups a task's records into frames of up to ``group_bytes`` before the last is added.
 
+    ``by``: a column instead; records side by side that are equal in it are one frame, a transaction.
     ``stream`` and ``batch``: the batch's number in a stream, kept by the manifest in the commit itself.
     """
 
     def __init__(self, path: str, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite, self.batch = path, overwrite, uuid.uuid4().hex
-        self.group = int(options.get("group_bytes", GROUP_BYTES))
+        self.group, self.by = int(options.get("group_bytes", GROUP_BYTES)), options.get("by")
         self.stream = {options["stream"]: int(options["batch"])} if "stream" in options else {}
         if not os.path.isdir(os.path.dirname(os.path.abspath(path))):
             raise FileNotFoundError(f"no folder {os.path.dirname(os.path.abspath(path))}")
@@ -361,10 +362,10 @@ class Writer(DataSourceArrowWriter):
         self.expected = latest(path)[0]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
-        out, name, at, count, fill, rest = None, f"staged-{self.batch}-{uuid.uuid4().hex}.flog", 0, 0, 0, None
-        file = File(name, 0)
+        out, name, rest = None, f"staged-{self.batch}-{uuid.uuid4().hex}.flog", None
+        file, columns = File(name, 0), ["seq", "schema_seq", "payload", *([self.by] if self.by else [])]
         for batch in iterator:
-            table = pa.Table.from_batches([batch.select(["seq", "schema_seq", "payload"])])
+            table = pa.Table.from_batches([batch.select(columns)])
             if any(table.column(c).null_count for c in range(3)):
                 raise InvalidData("seq, schema_seq and payload must not be null")
             rest = table if rest is None else pa.concat_tables([rest, table])
@@ -387,6 +388,9 @@ class Writer(DataSourceArrowWriter):
         payload = table.column("payload").combine_chunks()
         size = pc.binary_length(payload).to_numpy(zero_copy_only=False).astype(np.int64) + RECORD_HEADER
         frame = _grouped(size, self.group)
+        if self.by:
+            codes = pc.dictionary_encode(table.column(self.by).combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            frame = np.cumsum(np.concatenate(([0], codes[1:] != codes[:-1])))
         n = len(frame) if final else int(np.searchsorted(frame, frame[-1]))
         if not n:
             return table, file

@@ -1,8 +1,13 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from framelake.functions.schema import Schema, SchemaError
 from framelake.operators import index, log, ordering
 from framelake.plans import catalog
+from framelake.sources import framelog
+from framelake.streaming import ingest
 
 
 def rows(df, *columns):
@@ -112,3 +117,80 @@ def test_overlapping_logs_keep_every_value(spark, tmp_path):
     assert rows(index.compact([old.select("seq"), new.select("seq")]), "seq") == [(1,), (2,), (3,), (4,)]
     spark.range(700).selectExpr("id AS event_id", "'t' AS event_type", "'x' AS props").write.parquet(f"{tmp_path}/events.parquet")
     assert rows(catalog.compact(spark, str(tmp_path)).fillna("-"), "seq", "event_type") == [(i, "t" if i > 300 else "-") for i in range(1, 701)]
+
+
+@pytest.mark.parametrize("n", [1, 4, 30])
+def test_walk_stops_at_the_least_key(spark, n):
+    values = [(i, i * 10 % 37 if i != 61 else None) for i in range(100)]
+    df = spark.createDataFrame(values, "k long, v long").repartition(4)
+    for bad in ([], [0], [99], [40, 41], [13, 77]):
+        got = ordering.walk(df, "k", {"s": "v"}, {"p": "v"}, n, stop=lambda b: F.col("k").isin(bad) & (b["p"].isNotNull() | (F.col("k") == 0)))
+        want = min(bad, default=None)
+        assert {r[ordering.STOP] for r in got.collect()} == {want}
+    walked = sorted(map(tuple, ordering.walk(df, "k", {"s": "v"}, {"p": "v"}, n).select("k", "s", "p").collect()))
+    assert walked == [(k, sum(v or 0 for _, v in values[:k]), values[k - 1][1] if k else None) for k, _ in values]
+
+
+def test_made_records(spark):
+    made = log.generate(spark, 50, seed=3, payload=b"x").collect()
+    assert sorted(r.seq for r in made) == list(range(1, len(made) + 1))
+    by = {}
+    for r in made:
+        by.setdefault(r.txn, []).append(r.seq)
+    assert sorted(by) == list(range(50)) and all(2 <= len(v) <= 20 for v in by.values())
+    assert all(sorted(v) == list(range(min(v), min(v) + len(v))) for v in by.values())
+    assert {bytes(r.payload) for r in made} == {b"x"} and {r.schema_seq for r in made} == {1}
+
+
+def test_saved_indexes(spark, tmp_path):
+    r = spark.range(1, 2001).select(F.col("id").alias("seq"), (F.col("id") % 40).alias("v"))
+    index.save_index(r, F.col("v"), f"{tmp_path}/index", n=4)
+    found = index.search_saved(spark, f"{tmp_path}/index", 7)
+    assert rows(found, "seq") == [(i,) for i in range(7, 2001, 40)]
+    assert "PushedFilters: [IsNotNull(value), EqualTo(value,7)]" in found._jdf.queryExecution().toString()
+
+
+def test_records_by_number(spark, tmp_path):
+    framelog.register(spark)
+    path = f"{tmp_path}/log"
+    r = spark.range(1, 301).select(F.col("id").alias("seq"), F.lit(1).alias("schema_seq"), F.encode(F.col("id").cast("string"), "utf-8").alias("payload"))
+    for lo in (1, 151):
+        r.where(f"seq >= {lo} and seq < {lo + 150}").repartitionByRange(3, "seq").sortWithinPartitions("seq").write.format("framelog").option("group_bytes", "200").mode("append").save(path)
+    index.seq_map(spark.read.format("framelog").load(path), 3).write.parquet(f"{tmp_path}/map")
+    saved = spark.read.parquet(f"{tmp_path}/map")
+    got = index.fetch(spark, path, saved, [1, 77, 150, 151, 300, 301])
+    assert sorted((int(x.seq), bytes(x.payload)) for x in got.collect()) == [(i, b"%d" % i) for i in (1, 77, 150, 151, 300)]
+    assert index.fetch(spark, path, saved, []).count() == index.fetch(spark, path, saved, [999]).count() == 0
+
+
+def test_schemas_in_the_log(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    with pytest.raises(SchemaError):
+        index.schema_payload("s", '{"a": "Nothing"}')
+    declared = bytearray(index.schema_payload("s", '{"a": "Int", "b": {"c": "Bool?"}}', 3))
+    ingest.append(spark.createDataFrame([(1, declared, index.SCHEMA_FLAG), (2, bytearray(b"x"), 1), (3, bytearray(b"y"), 9)], "at long, payload binary, schema_seq long"), path, "at")
+    r = spark.read.format("framelog").load(path)
+    (s,) = index.schemas_in(r).collect()
+    assert (int(s.schema_seq), s.schema, s.version) == (1, "s", 3) and Schema.from_json("s", s.declaration).fields[1].name == "b.c"
+    got = index.schema_resolve(index.data_in(r), index.schemas_in(r)).orderBy("seq").collect()
+    assert [(int(x.seq), x.schema) for x in got] == [(2, "s"), (3, None)]
+
+
+def test_migration(spark):
+    make = lambda version, d, name="s": replace(Schema.from_json(name, d), version=version)
+    old = make(1, {"id": "Int", "name": "String 5", "gone": "Bool"})
+    new = make(2, {"id": "Int", "name": "String 3", "more": "Float?"})
+    df = spark.createDataFrame([(1, "ab", True)], "id long, name string, gone boolean")
+    got = index.migrate(df, old, new, "id")
+    assert got.columns == ["id", "more", "name"] and [tuple(r) for r in got.collect()] == [(1, None, "ab")]
+    long = spark.createDataFrame([(1, "abcd", True)], "id long, name string, gone boolean")
+    with pytest.raises(Exception, match="does not fit: name"):
+        index.migrate(long, old, new, "id").collect()
+    for bad, key in ((make(1, {"id": "Int"}), None), (make(2, {"id": "Int"}, "t"), None), (make(2, {"id": "Int?"}), "id"), (make(2, {"x": "Int?"}), "id"), (make(2, {"id": "Int", "must": "Int"}), "id")):
+        with pytest.raises(SchemaError):
+            index.migrate(df, old, bad, key)
+
+
+def test_a_table_by_primary_key(spark):
+    r = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "a", None), (4, None, 9)], "seq long, k string, v int")
+    assert rows(index.latest_per_key(r, "k").fillna(-1), "seq", "k", "v") == [(2, "b", 2), (3, "a", -1)]

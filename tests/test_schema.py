@@ -12,7 +12,7 @@ def names(declaration):
 
 
 def test_nested_names_are_flattened_in_key_order():
-    assert names({"name": {"first": "String 64", "last": "String 64"}, "id": "Int"}) == ["id", "name.first", "name.last"]
+    assert names({"where": {"lon": "Float", "lat": "Float", "site": {"code": "String 8"}}, "at": "Int"}) == ["at", "where.lat", "where.lon", "where.site.code"]
 
 
 def test_each_level_is_ordered_by_itself():
@@ -20,16 +20,13 @@ def test_each_level_is_ordered_by_itself():
     assert names({"é": "Int", "z": "Int", "Z": "Int"}) == ["Z", "z", "é"]
 
 
-def test_sizes():
-    fields = {f.name: f for f in Schema.from_json("t", {"firstName": "String 50", "userId": "Int", "ok": "Bool", "ratio": "Float", "data": "Blob 12"}).fields}
-    assert {n: f.type.size for n, f in fields.items()} == {"firstName": 50, "userId": 8, "ok": 1, "ratio": 8, "data": 12}
-    assert fields["firstName"].width == 55
-
-
-def test_nullable():
-    fields = {f.name: f for f in Schema.from_json("t", {"a": "Int?", "b": "Bool?", "c": "String? 50", "d": "String 50"}).fields}
-    assert [fields[n].type.nullable for n in "abcd"] == [True, True, True, False]
-    assert [fields[n].width for n in "abcd"] == [9, 2, 55, 55]
+@pytest.mark.parametrize(("kind", "size", "plain", "nullable"), [("Int", 8, 8, 9), ("Float", 8, 8, 9), ("Bool", 1, 1, 2), ("String 7", 7, 12, 12), ("Blob 900", 900, 905, 905)])
+def test_sizes_and_widths(kind, size, plain, nullable):
+    """Content, and what lies on disk: a flag where there may be nulls, flag and length before content of any size."""
+    word, *rest = kind.split()
+    for text, width, null in ((kind, plain, False), (" ".join([f"{word}?", *rest]), nullable, True)):
+        (f,) = Schema.from_json("t", {"x": text}).fields
+        assert (f.type.size, f.width, f.type.nullable) == (size, width, null)
 
 
 @pytest.mark.parametrize(
@@ -50,14 +47,11 @@ def test_accepted_declarations(text, size, nullable):
     assert (t.size, t.nullable) == (size, nullable)
 
 
-def test_offsets_of_a_flat_schema():
-    got = {f.name: (f.offset, f.width) for f in Schema.from_json("t", {"id": "Int", "name": "String 50", "flag": "Bool"}).fields}
-    assert got == {"flag": (0, 1), "id": (1, 8), "name": (9, 55)}
-
-
-def test_nested_offsets_never_overlap():
-    got = [(f.name, f.offset) for f in Schema.from_json("t", {"id": "Int", "name": {"first": "String 64", "last": "String 64"}}).fields]
-    assert got == [("id", 0), ("name.first", 8), ("name.last", 77)]
+def test_offsets_run_over_the_whole_list():
+    """Nested fields and those beside them never overlap, however deep."""
+    for tree in ({"b": "Blob 3", "a": "Float", "c": "Bool?"}, {"m": {"x": "Int?", "k": {"z": "String 2", "y": "Bool"}}, "n": "Int", "l": {"w": "Float"}}):
+        fields = Schema.from_json("t", tree).fields
+        assert [f.offset for f in fields] == [sum(g.width for g in fields[:i]) for i in range(len(fields))]
 
 
 @pytest.mark.parametrize("bad", ["[1]", '"Int"', '{"a": 1}', '{"a": {"b": null}}'])
