@@ -270,12 +270,18 @@ def contained(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chanc
     return found.join(rows, "uid").select("doc_id", "query_id", "n_query", "n_shared", "containment")
 
 
+FEW = 100_000  # rows of under 100 bytes that are sent to all tasks
+
+
 def without(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999) -> DataFrame:
     """``docs`` (any columns; doc_id, text) without the rows that hold one of ``queries`` (query_id, text).  Rows are
-    told by doc_id and the text's SHA-256; where those with a match are few, Spark sends them to the rows."""
+    told by doc_id and the text's SHA-256.  Up to FEW rows with a match are broadcast, and rows then
+    filtered where they lie; more are joined."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"), F.col("text").cast("string"))
     found, rows = matches(keyed, queries, threshold, chance)
-    bad = rows.join(found.select("uid").distinct(), "uid", "left_semi").select("id", "hash").distinct()
+    bad = cut(rows.join(found.select("uid").distinct(), "uid", "left_semi").select("id", "hash").distinct())
+    if bad.limit(FEW + 1).count() <= FEW:
+        bad = F.broadcast(bad)
     key, digest = fresh(docs, "key"), fresh(docs, "digest")
     told = docs.withColumns({key: F.col("doc_id").cast("long"), digest: text_hash()})
     return told.join(bad, F.col(key).eqNullSafe(bad.id) & (F.col(digest) == bad.hash), "left_anti").drop(key, digest)

@@ -214,8 +214,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     placed = groups.join(sizes, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
     large = sizes.limit(1).count() > 0
     texts = docs.join(placed.join(reps, "text_id"), first).select("grp", "blk", "text_id", "text")
-    if large:
-        texts = cut(texts)
 
     def classes(key: tuple, table: pa.Table) -> pa.Table:
         ids, row, shingle, weight = _load(table)
@@ -228,7 +226,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
     linked = texts.groupBy("grp", "blk").applyInArrow(classes, "grp long, blk int, text_id long, class long, main boolean")
     if large:
-        linked = _across(cut(linked), texts, slots, sizes, threshold, ambassadors)
+        linked = _across(cut(linked), docs, signed, reps, sizes, threshold, ambassadors)
     # classes' names and copies' classes are found by salted keys, as one class or text may have any number of them
     salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int")
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
@@ -263,11 +261,16 @@ PART = 8  # blocks that are visited together
 SLICE = 4096  # visitors that come together
 
 
-def _across(linked: DataFrame, texts: DataFrame, slots: DataFrame, sizes: DataFrame, threshold: float, ambassadors: int) -> DataFrame:
+def _across(linked: DataFrame, docs: DataFrame, signed: DataFrame, reps: DataFrame, sizes: DataFrame, threshold: float, ambassadors: int) -> DataFrame:
     """Classes of groups that lie in several blocks, joined where a link crosses blocks."""
     split = cut(linked.join(sizes, "grp"))
-    edges = _assemble(split, texts, threshold, ambassadors).union(_visit(split.where(~F.col("main")), split, texts, slots, threshold))
-    edges = cut(edges)
+    # texts and bands of these groups alone
+    first = (F.col("hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    members = split.select("grp", "blk", "text_id").join(reps, "text_id")
+    texts = cut(docs.join(members, first).select("grp", "blk", "text_id", "text"))
+    slots = signed.join(members, first).select("text_id", F.explode("bands").alias("band"))
+    outside = _visit(split.where(~F.col("main")), split, texts, slots, threshold)
+    edges = cut(_assemble(split, texts, threshold, ambassadors).union(outside))
     joined = components(edges).select(F.col("node").alias("class"), F.col("label").alias("to"))
     # largest classes that are still apart: members of all but the least class visit as well
     mains = split.where("main").select("grp", "blk", "class").distinct()
@@ -319,9 +322,12 @@ def _assemble(split: DataFrame, texts: DataFrame, threshold: float, ambassadors:
 def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, slots: DataFrame, threshold: float) -> DataFrame:
     """(a, b): classes that are one by links between visitors and the parts of their group they visit."""
     part = F.floor(F.col("blk") / PART).cast("int").alias("part")
-    homes = slots.join(split.select("grp", "blk", "text_id"), "text_id").select("grp", part, "band").distinct()
-    asked = slots.join(visitors.select("grp", "text_id", "class"), "text_id")
-    asked = cut(asked.join(homes, ["grp", "band"]).select("grp", "part", "text_id", "class").distinct())
+    calling = visitors.select("grp", "text_id", "class").join(slots, "text_id")
+    # of the bands of their groups, only those that a visitor has
+    homes = split.select("grp", part, "text_id").join(slots, "text_id").join(calling.select("grp", "band").distinct(), ["grp", "band"], "left_semi").select("grp", "part", "band").distinct()
+    asked = cut(calling.join(homes, ["grp", "band"]).select("grp", "part", "text_id", "class").distinct())
+    if not asked.limit(1).count():
+        return asked.select(F.col("class").alias("a"), F.col("class").alias("b"))
     counts = asked.groupBy("grp", "part").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     asked = asked.join(counts, ["grp", "part"]).withColumn("slice", F.pmod(F.xxhash64("text_id", F.lit("slice")), F.col("slices")).cast("int"))
     guests = asked.join(texts.select("grp", "text_id", "text"), ["grp", "text_id"]).select("grp", "part", "slice", "text_id", "text", "class", F.lit(True).alias("guest"))

@@ -4,7 +4,8 @@ A model file is compiled into transducers:
 
 * normaliser: the character map (a trie that writes upon its longest match) and, for spaces, a
   subsequential transducer (``Fst``): arcs by state and symbol, an arc for all other symbols, final outputs;
-* pieces: an arc per piece, read backwards from a trie of pieces' ends, weighted;
+* pieces: an arc per piece, weighted; all arcs into each place come from a trie with failure arcs
+  (Aho-Corasick), which reads a text once;
 * byte fallback: an arc per character that no piece covers, writing its bytes' pieces (or, in models
   without byte pieces, the unknown piece once for a run of such characters).
 
@@ -16,12 +17,13 @@ Weights: in unigram models an arc costs its piece's negative score.  In byte-pai
 of merges, and no weights of single pieces give what merging gives.  There the state is the last piece: an
 arc costs its rank after a piece that it is compatible with, and infinity after any other.  Compatible are
 two pieces if merging their text alone gives these two.  Merges inside neighbours do not touch, so a
-path is finite exactly if it is the result of merging, and each prefix of a text has one such path.
+path is finite exactly if it is the result of merging, and each prefix of a text has one such path: the
+first finite arc into a place is the only one.
 User-defined pieces: in unigram models arcs of the library's bonus, in byte-pair models always taken
 where they match, longest first, and never merged.
 
-Texts are cut where no piece can cross (between two characters that no piece has side by side)
-and parts are remembered, up to ``memory`` of them.
+Texts are cut where no piece can cross (between two characters that no piece has side by side, and so
+before spaces) and parts are remembered, up to ``memory`` of them.
 
 Results: null and empty texts have no pieces and decode to the empty text.  Decoding is exact for
 models without a character map, but for texts that hold U+2581, which such models write for spaces (where
@@ -39,20 +41,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from framelake.llm.textops import on_other_work
+from framelake.llm.textops import on_other_work, ragged
 
 SPACE = "▁"
 # Fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-USER_DEFINED_BONUS = 0.1
+USER_DEFINED_COST = 0.1
 INFINITY = float("inf")
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -125,7 +128,9 @@ class Fst:
         loops = {q for q, (to, before) in self.others.items() if to == q and not before}
         leave = {q: [c for c, (to, _) in self.arcs[q].items() if to != q] for q in loops}
         object.__setattr__(self, "exits", {q: re.compile("|".join(map(re.escape, c)) or r"(?!)") for q, c in leave.items()})
-        object.__setattr__(self, "copies", {q: str.maketrans({c: o for c, (to, o) in self.arcs[q].items() if to == q}) for q in loops})
+        object.__setattr__(self, "copies", {q: {c: o for c, (to, o) in self.arcs[q].items() if to == q} for q in loops})
+        if any(c in o for copies in self.copies.values() for c in copies for d, o in copies.items() if c != d):
+            raise ValueError("an output that stays in place holds a symbol that another arc reads")
 
     def compose(self, text: str) -> str:
         """The output of the text's path."""
@@ -134,7 +139,10 @@ class Fst:
             if state in self.exits:
                 found = self.exits[state].search(text, at)
                 end = found.start() if found else len(text)
-                out.append(text[at:end].translate(self.copies[state]))
+                run = text[at:end]
+                for symbol, written in self.copies[state].items():
+                    run = run.replace(symbol, written)
+                out.append(run)
                 at = end
                 if not found:
                     break
@@ -229,27 +237,31 @@ class Transducer:
         self.own = own
         if model.kind == UNIGRAM:
             for t, i in own.items():
-                self.cost[i] = min(costs, default=0.0) * len(t.encode()) + USER_DEFINED_BONUS
+                self.cost[i] = USER_DEFINED_COST + min(costs + [0.0]) * len(t.encode())  # below any other's that is not negative
             self.ids |= own
         self.unknown = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
         self.bytes = {int(t[3:5], 16): i for i, (t, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.fallback = len(self.bytes) == 256
         self.written = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if kind in (CONTROL, UNUSED) else " ⁇ ".encode() if kind == UNKNOWN else t.encode() for i, (t, _, kind) in enumerate(model.pieces)]
-        # arcs into a state, found by walking back over ends of pieces; -1: an end that is no piece
-        self.ends: dict[str, int] = {}
+        self.arcs = ahocorasick.Automaton()
         beside: set[str] = set()
         for t, i in self.ids.items():
-            for k in range(1, len(t)):
-                self.ends.setdefault(t[k:], -1)
-            self.ends[t] = i
+            self.arcs.add_word(t, (len(t), i))
             beside.update(t[k : k + 2] for k in range(len(t) - 1))
+        self.arcs.make_automaton()
+        self.alone = {t for t in self.ids if len(t) == 1}
         self.beside = beside
         self.edges: dict[tuple[int, bool], list[tuple[float, str]]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pairs: dict[int, float] = {}
         self.many = len(model.pieces)
         self.cut = self._cutter()
+        # no piece has a space behind anything but spaces: then words stand alone, each with the one space before it
+        self.by_words = model.escape and self.defined is None and not any(SPACE in t.lstrip(SPACE) for t in self.ids)
+        plain = [w.replace(SPACE.encode(), b" ") for w in self.written]
+        self.plain = np.frombuffer(b"".join(plain), np.uint8), np.cumsum([0, *map(len, plain)])
 
     def _cutter(self) -> re.Pattern:
         """Parts that no piece crosses: a space begins one, and so does a sign that in no piece follows
@@ -316,25 +328,24 @@ class Transducer:
         n = len(text)
         total = [0.0] + [INFINITY] * n
         last: list[int] = [-2] * (n + 1)
-        size = [0] * (n + 1)
-        ends, pairs, many, weight, ids = self.ends, self.pairs, self.many, self.weight, self.ids
-        for i in range(1, n + 1):
-            best = INFINITY
-            for k in range(1, i + 1):
-                piece = ends.get(text[i - k : i])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    before = last[i - k]
-                    cost = pairs.get(before * many + piece)
-                    if cost is None:
-                        cost = pairs[before * many + piece] = weight(before, piece)
-                    cost += total[i - k]
-                    if cost < best:
-                        best, last[i], size[i] = cost, piece, k
-            if text[i - 1] not in ids and total[i - 1] + self.unknown_cost < best:
-                best, last[i], size[i] = total[i - 1] + self.unknown_cost, -1, 1
-            total[i] = best
+        size = [1] * (n + 1)
+        pairs, many, weight, one = self.pairs, self.many, self.weight, self.model.kind == BPE
+        whole = self.alone.issuperset(text)  # no character needs a fallback
+        settled = 0
+        for end, (k, piece) in self.arcs.iter(text) if self.ids else ():
+            if not whole and settled < end:
+                settled = self._settle(text, settled, end, total, last, size)
+            i = end + 1
+            if one and total[i] < INFINITY:
+                continue
+            before = last[i - k]
+            cost = pairs.get(before * many + piece)
+            if cost is None:
+                cost = pairs[before * many + piece] = weight(before, piece)
+            if total[i - k] + cost < total[i]:
+                total[i], last[i], size[i] = total[i - k] + cost, piece, k
+        if not whole:
+            self._settle(text, settled, n, total, last, size)
         if len(pairs) > self.memory:
             pairs.clear()
         out, i = [], n
@@ -343,6 +354,13 @@ class Transducer:
             i -= size[i]
         return out[::-1]
 
+    def _settle(self, text: str, at: int, to: int, total: list[float], last: list[int], size: list[int]) -> int:
+        """Fallback arcs into the places after ``at`` up to ``to``, which no other arcs come into any more."""
+        for i in range(at + 1, to + 1):
+            if text[i - 1] not in self.ids and total[i - 1] + self.unknown_cost < total[i]:
+                total[i], last[i], size[i] = total[i - 1] + self.unknown_cost, -1, 1
+        return to
+
     def fallback_arc(self, symbol: str, again: bool) -> list[int]:
         """What an arc of the fallback writes; ``again``: it follows another one."""
         if self.fallback:
@@ -351,9 +369,11 @@ class Transducer:
 
     def _ids(self, text: str) -> list[int]:
         """What the path through a part writes."""
-        out: list[int] = []
+        path, out = self.path(text), []
+        if -1 not in path:
+            return path
         at, again = 0, False
-        for piece in self.path(text):
+        for piece in path:
             if piece >= 0:
                 out.append(piece)
                 at += len(self.texts[piece])
@@ -363,26 +383,56 @@ class Transducer:
             again = piece < 0
         return out
 
-    def part(self, text: str) -> tuple[int, ...]:
-        known = tuple(self._ids(text))
+    def part(self, text: str) -> bytes:
+        """A part's ids as 32-bit numbers."""
+        known = np.array(self._ids(text), "<i4").tobytes()
         if len(text) < 64:
             if len(self.parts) > self.memory:
                 self.parts.clear()
             self.parts[text] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        """The same of a space and what stands behind it, up to the next one."""
+        known, more = self.parts.get, self.part
+        parts = self.cut.findall(SPACE + word)
+        return known(parts[0]) or more(parts[0]) if len(parts) == 1 else b"".join([known(p) or more(p) for p in parts])
+
+    def packed(self, text: str) -> bytes:
+        """A text's ids as little-endian 32-bit numbers."""
         known, more, text = self.parts.get, self.part, self.normalise(text)
+        if self.by_words and text[:1] == SPACE and SPACE * 2 not in text:
+            # a word's own form stands for itself with a space, which never is a part without one
+            words, one = self.words.get, self._new_word
+            return b"".join([words(w) or one(w) for w in text[1:].split(SPACE)])
         if self.defined is None:
-            return list(chain.from_iterable([known(p) or more(p) for p in self.cut.findall(text)]))
-        out: list[int] = []
-        for i, piece in enumerate(self.defined.split(text)):
-            out += [self.own[piece]] if i % 2 else chain.from_iterable([known(p) or more(p) for p in self.cut.findall(piece)])
-        return out
+            return b"".join([known(p) or more(p) for p in self.cut.findall(text)])
+        pieces = enumerate(self.defined.split(text))
+        return b"".join([np.array([self.own[x]], "<i4").tobytes() if i % 2 else b"".join([known(p) or more(p) for p in self.cut.findall(x)]) for i, x in pieces])
+
+    def _new_word(self, word: str) -> bytes:
+        known = self.word(word)
+        if len(word) < 32 and "\n" not in word:
+            if len(self.words) > self.memory:
+                self.words.clear()
+            self.words[word] = known
+        return known
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.normalise.back(b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace"))
 
+    def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The texts of many ids end to end, cut at ``bounds``, as bytes; broken UTF-8 as it is."""
+        data, offs = self.plain
+        size = (offs[1:] - offs[:-1])[ids]
+        out = data[ragged(offs[ids], size)]
+        cuts = np.concatenate(([0], np.cumsum(size)))[bounds]
+        drop = self.model.dummy_prefix
+        return [out[a + (drop and a < b and out[a] == 32) : b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
 
 _compiled: dict[str, Transducer] = {}
 
@@ -420,16 +470,16 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep_ids:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                every, bounds, decoded, same = [], [0], [], []
-                for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                    got = t.encode(text or "")
-                    back = t.decode(got)
-                    every += got
-                    bounds.append(len(every))
-                    decoded.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                    same.append(back == (text or ""))
-                flat, bounds = np.array(every, "<i4"), np.array(bounds, np.int32)
-                sha = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                texts = batch.column(batch.schema.get_field_index("text")).fill_null("").to_pylist()
+                packed = [t.packed(text) for text in texts]
+                flat = np.frombuffer(b"".join(packed), "<i4")
+                bounds = np.cumsum([0, *map(len, packed)]).astype(np.int32) // 4
+                decoded, same, sha = [], [], [hashlib.sha256(p).hexdigest() for p in packed]
+                for text, back, ids in zip(texts, t.decode_many(flat, bounds), packed, strict=True):
+                    same.append(back == text.encode("utf-8", "surrogatepass"))
+                    if not same[-1]:
+                        back = t.decode(np.frombuffer(ids, "<i4").tolist()).encode("utf-8", "surrogatepass")
+                    decoded.append(hashlib.sha256(back).hexdigest())
                 n_bytes = np.concatenate(([0], np.cumsum(of_bytes[flat])))[bounds]
                 ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)) if keep_ids else pa.nulls(len(sha), pa.list_(pa.int32()))
                 results = [ids, pa.array(np.diff(bounds).astype(np.int64)), pa.array(np.diff(n_bytes)), pa.array(sha, pa.string()), pa.array(decoded, pa.string()), pa.array(same)]

@@ -3,6 +3,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -34,6 +35,8 @@ def test_ids_are_the_library_s(both, text):
 def test_random_texts(both, text):
     ours, theirs = both
     assert ours.encode(text) == theirs.encode(text)
+    ids = np.array(ours.encode(text), "<i4")
+    assert ours.decode_many(np.concatenate((ids, ids)), np.array([0, len(ids), 2 * len(ids)])) == [ours.decode(ids.tolist()).encode()] * 2
 
 
 def test_compatibility_is_what_merging_gives(both):
