@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import codec
-from framelake.functions.schema import DataType, Schema, SchemaError, layout_table, width_expr
+from framelake.functions.schema import DataType, Schema, SchemaError, encode_name, layout_table, width_expr
 from framelake.operators import index, log
 from framelake.operators.lineage import place
 from framelake.sources import framelog
@@ -29,6 +29,8 @@ SCHEMAS = (
     ("levels", '{"a": {"z": "Int"}, "a-b": "Bool", "A": {"y": {"x": "Float?"}}}'),
 )
 DECLARATIONS = ("Int", "int", "INT?", "Int 64", "Int ?", "Int??", "?", "", "TimeStamp", "String", "String?", "String 0", "String -5", "String x", "String 5 6", "String? 50", "String 50?", "String +5", "String 4294967296", "Float", "Bool?", "Blob 12")
+TREES = ('{"a": "Int"}', '["Int"]', '{"a": 7}', '{"a": {"b": null}}', '{"a": "Decimal"}', '{"a": {"b": "String"}}', '{"a": "Blob 0"}', '{"a": {"b": "Bool 1"}}', '{"%s": {"%s": "Int"}}' % ("a" * 32, "b" * 32), '{"a.b": "Int", "a": {"b": "Int"}}', '{"a": "Blob 4294967295", "b": "Int"}')
+NAMES = ("", "id", "name.first", "größe", "x" * 64)
 WATERMARK = 20_000
 GROUP_CAP = 4096
 DAMAGED_TXN = 700
@@ -59,6 +61,22 @@ def schema_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "declaration string, type string, size bigint, nullable boolean, width bigint, error string")
 
 
+def schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole declarations, and why they cannot be used."""
+    rows = []
+    for i, text in enumerate(TREES):
+        try:
+            rows.append((i, len(Schema.from_json("t", text).fields), None))
+        except SchemaError as e:
+            rows.append((i, None, type(e).__name__))
+    return spark.createDataFrame(rows, "tree int, n_fields int, error string")
+
+
+def schema_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as they are stored."""
+    return spark.createDataFrame([(n, encode_name(n).hex().upper()) for n in NAMES], "name string, stored string")
+
+
 def _fields(spark: SparkSession) -> DataFrame:
     return layout_table(spark, [Schema.from_json(n, d) for n, d in SCHEMAS])
 
@@ -96,6 +114,31 @@ def record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.mapInArrow(there_and_back, "seq long, schema_seq long, payload string, rec_len long")
 
 
+def record_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as it is stored."""
+    source = _records(spark, sf_dir).select("seq", "schema_seq", F.col("props").cast("binary").alias("payload"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("seq"), codec.encode_column(b.column("seq"), b.column("schema_seq"), b.column("payload")).cast(pa.binary())], names=["seq", "stored"])
+
+    return source.mapInArrow(encode, "seq long, stored binary").select("seq", F.hex("stored").alias("stored"))
+
+
+def frame_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that are frames and bytes that are none, and why."""
+    good = codec.seal([codec.Record(1, 1, b"one"), codec.Record(2, 1, b"")])
+    cases = {"whole": good, "with more behind": good + b"more", "empty body": codec.seal([]), "nothing": b"", "short": good[:23], "torn": good[:-1], "length under the least": (23).to_bytes(4, "little") + good[4:], "bit flipped": good[:30] + bytes([good[30] ^ 1]) + good[31:], "checksum flipped": good[:-1] + bytes([good[-1] ^ 1])}
+    rows = []
+    for name, data in cases.items():
+        try:
+            f = codec.Frame.decode(data)
+            rows.append((name, "ok", f.length, sum(1 for _ in f.records())))
+        except codec.CodecError as e:
+            rows.append((name, type(e).__name__, None, None))
+    return spark.createDataFrame(rows, "bytes string, state string, frame_len long, n_records long")
+
+
 def txn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.txn_summary(_records(spark, sf_dir))
 
@@ -306,7 +349,7 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        schema_types, schema_flatten, schema_layout, record_size, record_limit, record_roundtrip, txn_summary, txn_columns, frame_layout, frame_verify, scan_valid_prefix, scan_valid_prefix_min, scan_diagnostics,
+        schema_types, schema_errors, schema_names, record_bytes, frame_errors, schema_flatten, schema_layout, record_size, record_limit, record_roundtrip, txn_summary, txn_columns, frame_layout, frame_verify, scan_valid_prefix, scan_valid_prefix_min, scan_diagnostics,
         visible_read, visible_bytes, truncate_log, log_stats, read_at, assign_seq, append_commit, group_commit, schema_resolve, index_bucket, index_search, seq_lookup, compact,
         log_frames, log_records, scan_damaged_log, latest_per_user, made_log,
     )
@@ -344,6 +387,22 @@ _PARSED = [
     ("String x", None, None, None, None, "InvalidSize"), ("String 5 6", None, None, None, None, "InvalidSize"), ("String? 50", "String", 50, True, 55, None), ("String 50?", None, None, None, None, "InvalidSize"),
     ("String +5", "String", 5, False, 10, None), ("String 4294967296", None, None, None, None, "InvalidSize"), ("Float", "Float", 8, False, 8, None), ("Bool?", "Bool", 1, True, 2, None), ("Blob 12", "Blob", 12, False, 17, None),
 ]
+_TREES = [
+    (0, 1, None), (1, None, "NotAnObject"), (2, None, "NotAnObject"), (3, None, "NotAnObject"), (4, None, "UnknownType"), (5, None, "MissingSize"), (6, None, "InvalidSize"), (7, None, "UnexpectedSize"),
+    (8, None, "NameTooLong"), (9, None, "DuplicateName"), (10, None, "InvalidSize"),
+]
+_FRAME_STATES = [
+    ("whole", "ok", 69, 2), ("with more behind", "ok", 69, 2), ("empty body", "ok", 24, 0), ("nothing", "UnexpectedEnd", None, None), ("short", "UnexpectedEnd", None, None), ("torn", "UnexpectedEnd", None, None),
+    ("length under the least", "InvalidData", None, None), ("bit flipped", "InvalidData", None, None), ("checksum flipped", "InvalidData", None, None),
+]
+
+
+def _little(number: str, size: int) -> str:
+    """A number's bytes as hexadecimal digits, the least first."""
+    digits = f"lpad(to_hex({number}::BIGINT), {2 * size}, '0')"
+    return "(" + " || ".join(f"substr({digits}, {2 * i - 1}, 2)" for i in range(size, 0, -1)) + ")"
+
+
 _FIELDS = _values(_LAYOUT, "schema, ord, name, type, size, nullable")
 
 
@@ -352,6 +411,10 @@ def oracle_sql() -> dict[str, str]:
     cap = GROUP_CAP
     return {
         "schema_types": f"SELECT declaration, type, size::BIGINT AS size, nullable::BOOLEAN AS nullable, width::BIGINT AS width, error FROM {_values(_PARSED, 'declaration, type, size, nullable, width, error')}",
+        "schema_errors": f"SELECT tree::INT AS tree, n_fields::INT AS n_fields, error FROM {_values(_TREES, 'tree, n_fields, error')}",
+        "schema_names": f"SELECT name, rpad(hex(encode(name)), 128, '0') AS stored FROM {_values([(n,) for n in NAMES], 'name')}",
+        "record_bytes": f"WITH {_R} SELECT seq, {_little('rec_len', 4)} || '01' || {_little('seq', 8)} || {_little('schema_seq', 8)} || hex(encode(props)) AS stored FROM r",
+        "frame_errors": f"SELECT bytes, state, frame_len::BIGINT AS frame_len, n_records::BIGINT AS n_records FROM {_values(_FRAME_STATES, 'bytes, state, frame_len, n_records')}",
         "schema_flatten": f"SELECT schema, ord, name, type, nullable FROM {_FIELDS}",
         "schema_layout": f"SELECT schema, name, size::BIGINT AS size, ({width})::BIGINT AS width, coalesce(sum({width}) OVER (PARTITION BY schema ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM {_FIELDS}",
         "record_size": f"WITH {_R} SELECT seq, rec_len FROM r",
