@@ -1,37 +1,13 @@
-"""Connected components of an edge table, and the shared folder that cuts lineage."""
+"""Connected components of an edge table, and free column names."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators.lineage import cut, shared_folder
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the cluster's checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set, and only in local sessions."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """The checkpoint folder as a path that open() takes; None where only Spark reads it."""
-    ensure_checkpoint_dir(spark)
-    found = re.fullmatch(r"(?:file:(?://)?)?(/.*)", spark.sparkContext.getCheckpointDir())
-    return found and found[1]
+__all__ = ["components", "cut", "fresh", "shared_folder"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
