@@ -96,17 +96,17 @@ class Model:
         return np.einsum("nlb,lb->nl", np.logaddexp(0, -z[:, None, :] * self.code[None]), self.trust)
 
 
-def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], rounds: int = 250, decay: float = 1e-5) -> Model:
-    """All bits' logistic regressions together, by accelerated full gradients."""
+def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], rounds: int = 250, decay: float = 1e-5, own: bool = False) -> Model:
+    """All bits' logistic regressions together, by accelerated full gradients.  ``own``: x may be overwritten."""
     code = codewords(len(languages))
     mean = x.mean(0) if len(x) else np.zeros(1 << BITS, np.float32)
-    centred = x - mean
+    centred = np.subtract(x, mean, out=x if own else None)
     target = code[labels].astype(np.float32)
     share = 1 / np.maximum(np.bincount(labels, minlength=len(languages)), 1)
     weight = (share[labels] / share[labels].sum())[:, None].astype(np.float32)  # languages count alike
     w = look = np.zeros((x.shape[1], code.shape[1]), np.float32)
     b = look_b = np.zeros(code.shape[1], np.float32)
-    step = np.float32(4 / max(float((weight * (centred**2).sum(1, keepdims=True)).sum()), 1e-6))
+    step = np.float32(4 / max(float((weight[:, 0] * np.einsum("ij,ij->i", centred, centred)).sum()), 1e-6))
     for k in range(rounds if code.shape[1] else 0):
         pull = weight * target * sigmoid(-target * (centred @ look + look_b))
         new = look + step * (centred.T @ pull - decay * look)
@@ -134,10 +134,11 @@ def learn(labelled: DataFrame, sample_rows: int = 6000) -> Model:
     got = [(r[0], unpack(r[1])) for r in sample.mapInArrow(run, "lang string, x binary").collect() if r[1] is not None]
     languages = sorted({g[0] for g in got})
     got.sort(key=lambda g: (g[0], g[1][1].sum(), g[1][0].tobytes()))
-    x = np.zeros((len(got), 1 << BITS), np.float32)
+    x, labels = np.zeros((len(got), 1 << BITS), np.float32), np.array([languages.index(g[0]) for g in got], np.int64)
     for i, (_, (at, value)) in enumerate(got):
         x[i, at] = value
-    return fit(x, np.array([languages.index(g[0]) for g in got], np.int64), languages)
+    del got
+    return fit(x, labels, languages, own=True)
 
 
 def identify(docs: DataFrame, model: Model, margin: float = 0.05) -> DataFrame:

@@ -214,6 +214,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     placed = groups.join(sizes, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
     large = sizes.limit(1).count() > 0
     texts = docs.join(placed.join(reps, "text_id"), first).select("grp", "blk", "text_id", "text")
+    if large:
+        texts = cut(texts)
 
     def classes(key: tuple, table: pa.Table) -> pa.Table:
         ids, row, shingle, weight = _load(table)
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
     linked = texts.groupBy("grp", "blk").applyInArrow(classes, "grp long, blk int, text_id long, class long, main boolean")
     if large:
-        linked = _across(cut(linked), docs, signed, reps, sizes, threshold, ambassadors)
+        linked = _across(cut(linked), texts, signed, reps, sizes, threshold, ambassadors)
     # classes' names and copies' classes are found by salted keys, as one class or text may have any number of them
     salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int")
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
@@ -248,7 +250,7 @@ def _groups(ties: DataFrame) -> DataFrame:
     with its others is said once for all documents alike, so the graph to settle is that of leads.
     """
     followed = cut(ties.groupBy("a").agg(F.min("b").alias("lead"), F.collect_set("b").alias("leads")))
-    leads = ties.select("b").distinct()
+    leads = followed.select(F.explode("leads").alias("b")).distinct()
     own = followed.select("a", "lead").join(leads, F.col("a") == F.col("b"), "left_semi")
     between = followed.select(F.col("lead").alias("a"), F.explode("leads").alias("b")).where("a <> b").union(own).distinct()
     settled = components(between)
@@ -261,13 +263,13 @@ PART = 8  # blocks that are visited together
 SLICE = 4096  # visitors that come together
 
 
-def _across(linked: DataFrame, docs: DataFrame, signed: DataFrame, reps: DataFrame, sizes: DataFrame, threshold: float, ambassadors: int) -> DataFrame:
+def _across(linked: DataFrame, texts: DataFrame, signed: DataFrame, reps: DataFrame, sizes: DataFrame, threshold: float, ambassadors: int) -> DataFrame:
     """Classes of groups that lie in several blocks, joined where a link crosses blocks."""
     split = cut(linked.join(sizes, "grp"))
     # texts and bands of these groups alone
+    texts = texts.join(sizes.select("grp"), "grp", "left_semi")
     first = (F.col("hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     members = split.select("grp", "blk", "text_id").join(reps, "text_id")
-    texts = cut(docs.join(members, first).select("grp", "blk", "text_id", "text"))
     slots = signed.join(members, first).select("text_id", F.explode("bands").alias("band"))
     outside = _visit(split.where(~F.col("main")), split, texts, slots, threshold)
     edges = cut(_assemble(split, texts, threshold, ambassadors).union(outside))

@@ -199,11 +199,19 @@ def test_a_group_is_settled_exactly():
     assert len(set(zip(got.tolist(), label))) == len(set(got.tolist())) == len(set(label))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(30)] + [(50, 60), (60, 70), (41, 40), (9, 9), (80, 81), (81, 80)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 50: 50, 60: 50, 70: 50, 40: 40, 41: 40, 80: 80, 81: 80}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+    rnd = random.Random(few)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(i, i + 7) for i in range(1000, 2000, 7)]
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    for a, b in edges * 200:
+        if a != b:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3), few).collect()} == label
 
 
 @pytest.mark.parametrize("kw", [{}, {"block": 3, "ambassadors": 1}])
