@@ -131,8 +131,8 @@ def _prepare(queries: DataFrame, threshold: float, chance: float, short: bool) -
 
 
 def bit_table(values: DataFrame, count: int) -> np.ndarray:
-    """Which places of a table some value falls on, for values in a column of arrays.  Every task sends its
-    own table of the same bounded size, and they are joined by or, some at a time."""
+    """Which places of a table some value falls on, a bit for each, for values in a column of arrays.  Every task
+    sends its own table of the same bounded size, and they are joined by or, some at a time."""
     bits = min(MOST_BITS, max(12, int(np.ceil(np.log2(count + 1))) + 4))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def bit_table(values: DataFrame, count: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["bits"])
 
     tables = values.mapInArrow(mark, "bits binary").coalesce(16).mapInArrow(join, "bits binary").coalesce(1).mapInArrow(join, "bits binary")
-    return np.unpackbits(np.frombuffer(tables.first()["bits"], np.uint8)).astype(bool)
+    return np.frombuffer(tables.first()["bits"], np.uint8)
 
 
 def place(values: np.ndarray, bits: int) -> np.ndarray:
@@ -158,7 +158,8 @@ def place(values: np.ndarray, bits: int) -> np.ndarray:
 
 def known(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether the table may have each value."""
-    return table[place(values, len(table).bit_length() - 1)]
+    at = place(values, (8 * len(table)).bit_length() - 1)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _first_of_each(row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -273,14 +274,14 @@ def contained(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chanc
 FEW = 100_000  # rows of under 100 bytes that are sent to all tasks
 
 
-def without(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999) -> DataFrame:
+def without(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, chance: float = 0.9999, few: int = FEW) -> DataFrame:
     """``docs`` (any columns; doc_id, text) without the rows that hold one of ``queries`` (query_id, text).  Rows are
-    told by doc_id and the text's SHA-256.  Up to FEW rows with a match are broadcast, and rows then
+    told by doc_id and the text's SHA-256.  Up to ``few`` rows with a match are broadcast, and rows then
     filtered where they lie; more are joined."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"), F.col("text").cast("string"))
     found, rows = matches(keyed, queries, threshold, chance)
     bad = cut(rows.join(found.select("uid").distinct(), "uid", "left_semi").select("id", "hash").distinct())
-    if bad.limit(FEW + 1).count() <= FEW:
+    if bad.limit(few + 1).count() <= few:
         bad = F.broadcast(bad)
     key, digest = fresh(docs, "key"), fresh(docs, "digest")
     told = docs.withColumns({key: F.col("doc_id").cast("long"), digest: text_hash()})

@@ -17,9 +17,9 @@ texts' lengths: the chance that two signatures agree in a slot.
 
 Groups over ``block`` documents are dealt to blocks, each a task of its own.  Their largest classes meet
 through ``ambassadors`` of each, 32 blocks at a time, then 32 of these, and so on.  Documents outside a
-block's largest class visit those parts of the group (of 8 blocks) that have a document with a band of
-theirs; if largest classes are still apart, the members of all but one class's do the same.  Visitors come
-in slices of their own, so no task holds more than such a part and a slice, whatever a group's size.
+block's largest class visit those blocks of the group that have a document with a band of theirs; if
+largest classes are still apart, the members of all but one class's do the same.  Visitors come in slices
+of their own, so no task holds more than a block and a slice, whatever a group's size.
 
 Results: texts without words are alike only if equal. Null text: empty. Null doc_id: the largest
 id (after all others). Rows that share a doc_id (or have none) but not a text are documents of their own; a class is named
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,7 +260,6 @@ def _groups(ties: DataFrame) -> DataFrame:
 
 
 FAN = 32  # blocks whose ambassadors meet in one task
-PART = 8  # blocks that are visited together
 SLICE = 4096  # visitors that come together
 
 
@@ -270,8 +270,8 @@ def _across(linked: DataFrame, texts: DataFrame, signed: DataFrame, reps: DataFr
     texts = texts.join(sizes.select("grp"), "grp", "left_semi")
     first = (F.col("hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     members = split.select("grp", "blk", "text_id").join(reps, "text_id")
-    slots = signed.join(members, first).select("text_id", F.explode("bands").alias("band"))
-    outside = _visit(split.where(~F.col("main")), split, texts, slots, threshold)
+    banded = cut(signed.join(members, first).select("grp", "blk", "text_id", "bands"))
+    outside = _visit(split.where(~F.col("main")), split, texts, banded, threshold)
     edges = cut(_assemble(split, texts, threshold, ambassadors).union(outside))
     joined = components(edges).select(F.col("node").alias("class"), F.col("label").alias("to"))
     # largest classes that are still apart: members of all but the least class visit as well
@@ -279,7 +279,7 @@ def _across(linked: DataFrame, texts: DataFrame, signed: DataFrame, reps: DataFr
     top = mains.join(joined, "class", "left").withColumn("now", F.coalesce("to", "class"))
     apart = cut(top.withColumn("least", F.min("now").over(Window.partitionBy("grp"))).where("now <> least").select("grp", "blk", "class").distinct())
     if apart.limit(1).count():
-        more = _visit(split.where("main").join(apart, ["grp", "blk", "class"], "left_semi"), split, texts, slots, threshold)
+        more = _visit(split.where("main").join(apart, ["grp", "blk", "class"], "left_semi"), split, texts, banded, threshold)
         joined = components(edges.union(more)).select(F.col("node").alias("class"), F.col("label").alias("to"))
     return linked.join(joined, "class", "left").select("text_id", F.coalesce("to", "class").alias("class"))
 
@@ -321,20 +321,24 @@ def _assemble(split: DataFrame, texts: DataFrame, threshold: float, ambassadors:
     return edges
 
 
-def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, slots: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): classes that are one by links between visitors and the parts of their group they visit."""
-    part = F.floor(F.col("blk") / PART).cast("int").alias("part")
-    calling = visitors.select("grp", "text_id", "class").join(slots, "text_id")
-    # of the bands of their groups, only those that a visitor has
-    homes = split.select("grp", part, "text_id").join(slots, "text_id").join(calling.select("grp", "band").distinct(), ["grp", "band"], "left_semi").select("grp", "part", "band").distinct()
-    asked = cut(calling.join(homes, ["grp", "band"]).select("grp", "part", "text_id", "class").distinct())
-    if not asked.limit(1).count():
-        return asked.select(F.col("class").alias("a"), F.col("class").alias("b"))
-    counts = asked.groupBy("grp", "part").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    asked = asked.join(counts, ["grp", "part"]).withColumn("slice", F.pmod(F.xxhash64("text_id", F.lit("slice")), F.col("slices")).cast("int"))
-    guests = asked.join(texts.select("grp", "text_id", "text"), ["grp", "text_id"]).select("grp", "part", "slice", "text_id", "text", "class", F.lit(True).alias("guest"))
-    hosts = split.select("grp", part, "blk", "text_id", "class").join(counts, ["grp", "part"]).join(texts.select("grp", "blk", "text_id", "text"), ["grp", "blk", "text_id"])
-    hosts = hosts.select("grp", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "text_id", "text", "class", F.lit(False).alias("guest"))
+def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, banded: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): classes that are one by links between visitors and the blocks of their group that they visit."""
+
+    def bands_of(key: tuple, table: pa.Table) -> pa.Table:
+        bands = pc.unique(pc.list_flatten(table.column("bands")))
+        return pa.table({"grp": pa.array([key[0].as_py()] * len(bands), pa.int64()), "blk": pa.array([key[1].as_py()] * len(bands), pa.int32()), "band": bands})
+
+    visitors = visitors.select("grp", "text_id", "class")
+    if not visitors.limit(1).count():
+        return visitors.select(F.col("class").alias("a"), F.col("class").alias("b"))
+    homes = banded.join(visitors.select("grp").distinct(), "grp", "left_semi").groupBy("grp", "blk").applyInArrow(bands_of, "grp long, blk int, band long")
+    calling = visitors.join(banded.select("text_id", "bands"), "text_id").select("grp", "text_id", "class", F.explode("bands").alias("band"))
+    asked = cut(calling.join(homes, ["grp", "band"]).select("grp", "blk", "text_id", "class").distinct())
+    counts = asked.groupBy("grp", "blk").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    asked = asked.join(counts, ["grp", "blk"]).withColumn("slice", F.pmod(F.xxhash64("text_id", F.lit("slice")), F.col("slices")).cast("int"))
+    guests = asked.join(texts.select("grp", "text_id", "text"), ["grp", "text_id"]).select("grp", "blk", "slice", "text_id", "text", "class", F.lit(True).alias("guest"))
+    hosts = split.select("grp", "blk", "text_id", "class").join(counts, ["grp", "blk"]).join(texts.select("grp", "blk", "text_id", "text"), ["grp", "blk", "text_id"])
+    hosts = hosts.select("grp", "blk", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "text_id", "text", "class", F.lit(False).alias("guest"))
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         ids, row, shingle, weight = _load(table)  # a visitor that is at home here counts once
@@ -342,7 +346,7 @@ def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, slots: DataF
         guest = np.isin(ids, table.column("text_id").to_numpy()[table.column("guest").to_numpy()])
         return _merged(ids, old, Group(row, shingle, weight, len(ids), threshold).classes(old, guest))
 
-    return hosts.unionByName(guests).groupBy("grp", "part", "slice").applyInArrow(meet, "a long, b long")
+    return hosts.unionByName(guests).groupBy("grp", "blk", "slice").applyInArrow(meet, "a long, b long")
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
