@@ -155,8 +155,8 @@ class Group:
             i = int(open_[np.argmin(size[label[open_]])])
             waiting[i] = unsure[i] = False
             found = self.links(i)
-            for other in np.unique(label[found]) if len(found) else ():
-                a, b = int(label[i]), int(other)
+            for j in found[np.unique(label[found], return_index=True)[1]]:  # one of each class, whatever it is called by now
+                a, b = int(label[i]), int(label[j])
                 if a == b:
                     continue
                 if size[a] < size[b]:

@@ -199,6 +199,37 @@ def test_a_group_is_settled_exactly():
     assert len(set(zip(got.tolist(), label))) == len(set(got.tolist())) == len(set(label))
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_groups_from_classes_known_before(seed):
+    """Guests who join hosts whose links are known, against all pairs; classes of every size and order."""
+    rng = np.random.default_rng(seed)
+    bases = [rng.choice(10_000, 60, replace=False) for _ in range(4)]
+    sets = []
+    for _ in range(50):
+        s = bases[rng.integers(4)].copy()
+        at = rng.choice(60, rng.integers(0, 10), replace=False)
+        s[at] = rng.integers(10_000, 20_000, len(at))
+        sets.append(np.unique(s))
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+
+    def joined(pairs):
+        label = list(range(50))
+        for i, j in pairs:
+            if like(sets[i], sets[j]):
+                label = [label[i] if x == label[j] else x for x in label]
+        return np.array(label)
+
+    pairs = [(i, j) for i in range(50) for j in range(i)]
+    guest = rng.random(50) < 0.3
+    known = joined([(i, j) for i, j in pairs if not guest[i] and not guest[j]])
+    name = rng.permutation(50)  # classes are called by any numbers
+    row = np.repeat(np.arange(50), [len(s) for s in sets])
+    group = Group(row, np.concatenate(sets).astype(np.uint64), np.ones(len(row)), 50, 0.8)
+    want = joined(pairs)
+    for got in (group.classes(), group.classes(name[known], guest), group.classes(name[known])):
+        assert len(set(zip(got.tolist(), want.tolist()))) == len(set(got.tolist())) == len(set(want.tolist()))
+
+
 @pytest.mark.parametrize("few", [0, 1 << 20])
 def test_components(spark, few):
     edges = [(i, i + 1) for i in range(30)] + [(50, 60), (60, 70), (41, 40), (9, 9), (80, 81), (81, 80)]
