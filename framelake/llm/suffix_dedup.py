@@ -292,9 +292,10 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
 
     anchors_round = Round(lambda letter: letter[0], _merge_anchors, judge_anchors, write=narrow, read=widen)
 
-    def parts_of(b: Bucket, busy: np.ndarray):
-        """The bucket's fragments, those of busy anchors window by window; a hash of each one's content."""
-        start, windows, left, doc, grams = fragments(b.buf, b.offs, width)
+    def parts_of(b: Bucket, found: tuple[np.ndarray, ...], wanted: np.ndarray, busy: np.ndarray):
+        """The bucket's fragments that have wanted anchors, those of busy ones window by window; a hash of each one's content."""
+        pick = np.isin(found[4] >> U64(24), wanted)
+        start, windows, left, doc, grams = (x[pick] for x in found)
         split = np.isin(grams >> U64(24), busy)
         if split.any():
             one, many = np.flatnonzero(~split), np.flatnonzero(split)
@@ -309,8 +310,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
     def groups(b: Bucket, start, windows, left, doc, content) -> tuple[np.ndarray, np.ndarray]:
         return alike(b.buf, start, left, windows, windows + width - 1, b.ids[doc], b.null[doc], content)
 
-    def anchors(b: Bucket) -> Letter:
-        _, _, _, doc, grams = fragments(b.buf, b.offs, width)
+    def anchors(b: Bucket, found: tuple[np.ndarray, ...]) -> Letter:
+        _, _, _, doc, grams = found
         grams = grams >> U64(24)
         doc = (np.cumsum(np.concatenate(([True], (b.ids[1:] != b.ids[:-1]) | (b.null[1:] != b.null[:-1])))) if len(b.ids) else b.ids)[doc]  # rows of one doc_id
         order = np.lexsort((doc, grams))
@@ -320,20 +321,19 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
         return grams[starts], several, np.diff(np.append(starts, len(grams))).astype(np.uint32)
 
     def ask(number: int, b: Bucket) -> pa.Table:
-        return post(number, anchors(b), anchors_round, layout)
+        return post(number, anchors(b, fragments(b.buf, b.offs, width)), anchors_round, layout)
 
     fragments_round = fragment_round(width, judge)
 
     def candidates(number: int, b: Bucket, answers: list[bytes]) -> pa.Table:
-        letter = anchors(b)
-        known = answered(letter, answers, anchors_round, layout)
-        if known is None:
+        if not answers:
             return messages([])
-        known, busy = letter[0][known[0]], letter[0][known[0][known[1]]]
-        start, windows, left, doc, grams, content, split = parts_of(b, busy)
+        found = fragments(b.buf, b.offs, width)
+        letter = anchors(b, found)
+        hit, hot_one = answered(letter, answers, anchors_round, layout)
+        start, windows, left, doc, grams, content, split = parts_of(b, found, letter[0][hit], letter[0][hit[hot_one]])
         order, starts = groups(b, start, windows, left, doc, content)
         f = order[starts]
-        f = f[np.isin(grams[f] >> U64(24), known)]
         flags = np.where(b.null[doc[f]], NULL, 0) | np.where(split[f], SPLIT, 0)
         letter = content[f], np.where(split, content, grams)[f], b.ids[doc[f]], flags.astype(np.uint8), left[f].astype(np.uint8), windows[f].astype(np.uint8), b.buf[ragged(start[f], windows[f] + width - 1)]
         return post(number, letter, fragments_round, layout, np.where(split[f], ~start[f], start[f]))
@@ -344,9 +344,9 @@ def suffix_dedup(docs: DataFrame, width: int = 50, memory_bytes: int = 256 << 20
         if answers and n:
             tags, skip, count, least = tagged(answers)
             at = np.where(tags < 0, ~tags, tags)
-            whole, _, _, _, grams = fragments(buf, b.offs, width)
-            busy = np.unique(grams[np.searchsorted(whole, at[tags < 0], "right") - 1] >> U64(24))
-            start, windows, left, doc, _, content, _ = parts_of(b, busy)
+            found = fragments(buf, b.offs, width)
+            of = found[4][np.searchsorted(found[0], at, "right") - 1] >> U64(24)  # each answer's anchor
+            start, windows, left, doc, _, content, _ = parts_of(b, found, np.unique(of), np.unique(of[tags < 0]))
             order, starts = groups(b, start, windows, left, doc, content)
             by_start = np.argsort(start)
             head = by_start[np.searchsorted(start, at, sorter=by_start)]  # each answer's fragment, first of its group
