@@ -331,7 +331,10 @@ def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, banded: Data
     visitors = visitors.select("grp", "text_id", "class")
     if not visitors.limit(1).count():
         return visitors.select(F.col("class").alias("a"), F.col("class").alias("b"))
-    homes = banded.join(visitors.select("grp").distinct(), "grp", "left_semi").groupBy("grp", "blk").applyInArrow(bands_of, "grp long, blk int, band long")
+    # salted: rows dealt by group alone would stay so for the blocks
+    called = visitors.select("grp").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    homes = banded.withColumn("salt", F.pmod(F.xxhash64("text_id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(called, ["grp", "salt"], "left_semi")
+    homes = homes.groupBy("grp", "blk").applyInArrow(bands_of, "grp long, blk int, band long")
     calling = visitors.join(banded.select("text_id", "bands"), "text_id").select("grp", "text_id", "class", F.explode("bands").alias("band"))
     asked = cut(calling.join(homes, ["grp", "band"]).select("grp", "blk", "text_id", "class").distinct())
     counts = asked.groupBy("grp", "blk").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
