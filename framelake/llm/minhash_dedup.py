@@ -355,8 +355,8 @@ def _visit(visitors: DataFrame, split: DataFrame, texts: DataFrame, banded: Data
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of each class one row of ``docs``: one that has the doc_id and the text that name it.  Of rows alike in
     both, any one stays."""
-    key, text = fresh(docs, "key"), fresh(docs, "hash")
-    docs = docs.withColumns({key: F.col("doc_id").cast("long"), text: text_hash()})
-    heads = classes.select("class_id", "class_text").distinct()
-    first = docs.join(heads, F.col(key).eqNullSafe(heads.class_id) & (F.col(text) == heads.class_text), "left_semi")
-    return first.dropDuplicates([key, text]).drop(key, text)
+    key, text, columns = fresh(docs, "key"), fresh(docs, "hash"), [F.col(f"`{c}`") for c in docs.columns]
+    name = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("none"))  # noqa: E731  never null: what is dealt by it stays so
+    docs = docs.withColumns({key: name("doc_id"), text: text_hash()})
+    heads = classes.select(name("class_id").alias(key), F.col("class_text").alias(text)).distinct()
+    return docs.join(heads, [key, text], "left_semi").dropDuplicates([key, text]).select(columns)
