@@ -123,7 +123,7 @@ def learn(labelled: DataFrame, sample_rows: int = 6000) -> Model:
     """A model of ``labelled`` (doc_id, text, lang) from at most about ``sample_rows`` of its rows."""
     known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     n = known.select("lang").distinct().count()
-    sample, _, _ = bounded_sample(known, "lang", max(1, sample_rows // max(n, 1)))
+    sample, _, _ = bounded_sample(known, "lang", max(1, sample_rows // max(n, 1)), ("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, CHUNK, max_rows=ROWS):

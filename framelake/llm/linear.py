@@ -23,14 +23,15 @@ def fold_number(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def bounded_sample(df: DataFrame, label: str, per_label: int, key: str = "doc_id") -> tuple[DataFrame, list, dict]:
-    """About ``per_label`` rows of each label (all of a rare one), the same at every run; the labels; their counts."""
+def bounded_sample(df: DataFrame, label: str, per_label: int, key: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, list, dict]:
+    """About ``per_label`` rows of each label (all of a rare one), the same at every run; the labels; their counts.
+    Rows are drawn by the hash of ``key``, so rows alike in it are drawn together."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}
     if not counts:
         return df.where(F.lit(False)), [], {}
     scale = 1 << 30
     limits = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(scale if n <= per_label else int(scale * per_label / n)))])
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(scale)) < limits[F.col(label)]), sorted(counts), counts
+    return df.where(F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(scale)) < limits[F.col(label)]), sorted(counts), counts
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -14,7 +14,8 @@ Fitting uses at most ``sample_rows`` labelled rows (a documented bound); scoring
 whole text and nothing else of a row.
 
 Results: null and empty texts get the score of a text without known words.  No labelled rows:
-score 0 for all.  A doc_id with several labels counts with each.  Repeated rows are each scored.
+score 0 for all.  A doc_id with several labels counts once with each; of several texts of a labelled doc_id
+one, by hash, is learned from; labels without a doc_id are not.  Repeated rows are each scored.
 """
 
 from __future__ import annotations
@@ -186,9 +187,10 @@ def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], labels: np.nda
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, vocabulary: int = 20_000, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, **fitting) -> Model:
     """A model of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic), from at most about ``sample_rows`` labels."""
-    known = labels.where(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic")).distinct()
     sample, _, counts = bounded_sample(known, "toxic", sample_rows // 2)
-    sample = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").repartition(16)  # bounded by sample_rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by sample_rows
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic").repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, CHUNK):

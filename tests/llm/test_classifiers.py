@@ -140,6 +140,17 @@ def test_sample_is_bounded(spark):
     assert got[1] == 200 and 350 < got[0] < 650
 
 
+def test_samples_are_bounded_when_one_id_is_everywhere(spark):
+    many = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("aa").alias("lang"))
+    sample, _, _ = bounded_sample(many, "lang", 500, ("doc_id", "text"))
+    assert 350 < sample.count() < 650
+    same = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("vile "), "id").alias("text"))
+    other = spark.range(100, 200).select(F.col("id").alias("doc_id"), F.concat(F.lit("nice "), "id").alias("text"))
+    labels = spark.createDataFrame([(7, 1)] * 500 + [(i, 0) for i in range(100, 200)] + [(None, 1)] * 500, "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity(same.union(other), labels, held_out_fold=-1).collect()}
+    assert len(scores) == 101 and all(0 <= s <= 1 for s in scores.values())
+
+
 @pytest.fixture(scope="module")
 def comments(spark):
     rnd = random.Random(3)
