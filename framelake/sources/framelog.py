@@ -50,6 +50,7 @@ FRAMES = "file string, frame_no bigint, frame_off bigint, frame_len bigint, min_
 GROUP_BYTES = 4 * 1024 * 1024
 MARK_BYTES = 16 << 20
 BLOCK_BYTES = 8 << 20
+PIECE_ROWS = 1 << 16  # of a batch of records that Spark is given
 FULL_EVERY = 64  # manifests, of which one names all files
 U64 = pa.decimal128(20, 0)
 
@@ -124,19 +125,39 @@ def arrow(name: str, base: int, number: int, level: str, runs: Iterator[tuple[in
         number += len(batch)
         if level == "frames":
             records = np.bincount(batch.records()[0], minlength=len(batch))
-            columns = [np.full(len(batch), name), numbers, offsets, batch.sizes, pa.array(batch.least).cast(U64), pa.array(batch.greatest).cast(U64), batch.crc.astype(np.int64), records, pa.nulls(len(batch), pa.string())]
+            columns = [pa.repeat(name, len(batch)), numbers, offsets, batch.sizes, pa.array(batch.least).cast(U64), pa.array(batch.greatest).cast(U64), batch.crc.astype(np.int64), records, pa.nulls(len(batch), pa.string())]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_FRAMES)
             continue
         if keep:
             some = np.flatnonzero((batch.greatest >= keep[0]) & (batch.least <= keep[1]))
             batch, numbers, offsets = batch.pick(some), numbers[some], offsets[some]
         frame, seq, schema_seq, payload = record_columns(batch)
-        out = pa.RecordBatch.from_arrays([pa.array(np.full(len(frame), name)), pa.array(numbers[frame]), pa.array(offsets[frame]), seq.cast(U64), schema_seq.cast(U64), payload.cast(pa.binary())], schema=_RECORDS)
-        if keep:
-            values = seq.to_numpy(zero_copy_only=False)
-            out = out.filter(pa.array((values >= keep[0]) & (values <= keep[1])))
-        for i in range(0, out.num_rows, 1 << 16):
-            yield out.slice(i, 1 << 16)
+        for i, n in _pieces(payload):
+            of = frame[i : i + n]
+            out = pa.RecordBatch.from_arrays([pa.repeat(name, n), pa.array(numbers[of]), pa.array(offsets[of]), seq.slice(i, n).cast(U64), schema_seq.slice(i, n).cast(U64), _binary(payload, i, n)], schema=_RECORDS)
+            if keep:
+                values = seq.slice(i, n).to_numpy(zero_copy_only=False)
+                out = out.filter(pa.array((values >= keep[0]) & (values <= keep[1])))
+            if out.num_rows:
+                yield out
+
+
+def _pieces(payload: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, count) of runs of up to PIECE_ROWS values that together have up to a block's bytes, or one value: a
+    frame may hold more records and bytes than one Arrow array can."""
+    at, offs = 0, np.frombuffer(payload.buffers()[1], np.int64)
+    while at < len(payload):
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + BLOCK_BYTES, "right")) - 1)
+        n = min(to - at, PIECE_ROWS, len(payload) - at)
+        yield at, n
+        at += n
+
+
+def _binary(payload: pa.Array, at: int, n: int) -> pa.Array:
+    """``n`` values of a large binary array as a binary array, without copying them."""
+    _, offs, data = payload.buffers()
+    offs = np.frombuffer(offs, np.int64)[at : at + n + 1]
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((offs - offs[0]).astype(np.int32).tobytes()), data.slice(offs[0], offs[-1] - offs[0])])
 
 
 def opener(path: str, most: int | None = None) -> Read:

@@ -1,11 +1,12 @@
 import itertools
 import os
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.functions.codec import Record, seal
+from framelake.functions.codec import Record, seal, seal_many
 from framelake.sources import framelog
 from framelake.sources.framelog import Writer, committed, last_seq, log_files, read_log, read_valid, register, truncate
 from framelake.streaming import ingest
@@ -309,3 +310,31 @@ def test_a_stream_of_a_log_that_was_cut_fails(spark, tmp_path):
     assert [p.base for p in reader.partitions({"files": 0, "bytes": 0}, end)][0] == 0
     with pytest.raises(RuntimeError, match="no longer"):
         reader.partitions({"files": 0, "bytes": 0}, end | {"bytes": 1})
+
+
+def test_a_block_of_very_many_records_or_frames_is_read():
+    """The column of file names has over 16 MB, which Arrow does not make one array of by itself."""
+    name, n = "staged-" + 70 * "x" + ".flog", 230_000
+    for of in (np.zeros(n, np.int64), np.arange(n) // 7, np.arange(n)):
+        log = seal_many(of, pa.array(np.arange(1, n + 1)), pa.array(np.ones(n, int)), pa.array([b"%d" % (i % 100) for i in range(n)], pa.binary())).buf.tobytes()
+        runs = lambda: framelog.scan(lambda at, k: log[at : at + k], block=len(log))  # noqa: E731, B023
+        rows = pa.Table.from_batches(framelog.arrow(name, 5, 0, "records", runs()))
+        assert rows.column("seq").cast(pa.int64()).to_pylist() == list(range(1, n + 1))
+        assert rows.column("payload").to_pylist() == [b"%d" % (i % 100) for i in range(n)]
+        assert rows.column("frame_no").to_pylist() == of.tolist() and set(rows.column("file").to_pylist()) == {name}
+        kept = pa.Table.from_batches(framelog.arrow(name, 5, 0, "records", runs(), keep=(100_000, 100_002)))
+        assert kept.column("seq").cast(pa.int64()).to_pylist() == [100_000, 100_001, 100_002]
+        frames = pa.Table.from_batches(framelog.arrow(name, 5, 0, "frames", runs()))
+        assert frames.num_rows == of[-1] + 1 and sum(frames.column("n_records").to_pylist()) == n
+
+
+def test_pieces_are_bounded_in_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(framelog, "PIECE_ROWS", 4)
+    monkeypatch.setattr(framelog, "BLOCK_BYTES", 100)
+    values = [b"", b"x" * 300, b"", b"y" * 60, b"z" * 40, b"w", *[b"v"] * 9, b"u" * 101]
+    whole = pa.array(values, pa.large_binary())
+    cut = list(framelog._pieces(whole))
+    assert [i for i, _ in cut] == [0, *itertools.accumulate(n for _, n in cut)][:-1]
+    assert sum((framelog._binary(whole, i, n).to_pylist() for i, n in cut), []) == values
+    assert all(n <= 4 and (n == 1 or sum(map(len, values[i : i + n])) <= 100) for i, n in cut)
+    assert list(framelog._pieces(whole.slice(0, 0))) == []
