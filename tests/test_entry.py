@@ -37,7 +37,7 @@ def many(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["append_commit", "log_records", "schema_resolve"])
+@pytest.mark.parametrize("name", ["append_commit", "log_records", "schema_resolve", "seq_lookup"])
 def test_query_on_files_of_very_many_records(spark, many, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
