@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from framelake.llm.graph import cut, fresh
-from framelake.llm.minhash_dedup import text_hash
-from framelake.llm.textops import U64, Chunk, byte_span_hashes, chunks, gram_hashes, mix, ragged, word_spans
+from framelake.llm.textops import U64, Chunk, byte_span_hashes, chunks, gram_hashes, mix, ragged, text_hash, word_spans
 
 SHINGLE = 5
 CHUNK = 2 << 20

@@ -36,8 +36,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.llm.containment import bit_table, known
 from framelake.llm.graph import components, cut, fresh
-from framelake.llm.textops import U64, chunks, gram_hashes, group_starts, mix, ragged, text_bytes, word_hashes
+from framelake.llm.textops import U64, chunks, gram_hashes, group_starts, mix, ragged, text_bytes, text_hash, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -182,11 +183,6 @@ def _load(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return ids[first], number[row[keep]], shingle[keep], weight[keep]
 
 
-def text_hash(text: str = "text") -> Column:
-    """What texts are known by (null: empty)."""
-    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
-
-
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = 512, ambassadors: int = 8) -> DataFrame:
     """(doc_id, class_id, class_text) for every row of ``docs`` (doc_id, text): the least doc_id of its
     class, and the hash of the text that has it there (the least such hash).  The two together name a class."""
@@ -214,7 +210,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     sizes = groups.groupBy("grp").count().where(F.col("count") > block).select("grp", F.ceil(F.col("count") / block).alias("blocks"))
     placed = groups.join(sizes, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
     large = sizes.limit(1).count() > 0
-    texts = docs.join(placed.join(reps, "text_id"), first).select("grp", "blk", "text_id", "text")
+    members = cut(placed.join(reps, "text_id").select("grp", "blk", "text_id", "rep", "rep_hash"))
+    texts = _perhaps(docs, members).join(members, first).select("grp", "blk", "text_id", "text")
     if large:
         texts = cut(texts)
 
@@ -244,6 +241,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     return whole.select("doc_id", "class_id", "class_text")
 
 
+def _perhaps(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` without nearly all rows that are no group's members, so that their texts are not shuffled: every task
+    knows the members' keys by a bit table, which loses none."""
+    n = members.count()
+    if not n:
+        return docs
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(members.select(F.array(F.xxhash64("rep_hash", "rep"))), n))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(3).to_numpy(zero_copy_only=False).view(U64)
+            yield batch.select([0, 1, 2]).filter(pa.array(known(keys, table.value)))
+
+    return docs.select("doc_id", "text", "hash", F.xxhash64("hash", "doc_id")).mapInArrow(some, docs.schema)
+
+
 def _groups(ties: DataFrame) -> DataFrame:
     """(text_id, grp) from ties (a, b) of texts to the least members of their bands.
 

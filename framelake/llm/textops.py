@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -211,3 +213,8 @@ def group_starts(sorted_values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+
+
+def text_hash(text: str = "text") -> Column:
+    """What texts are known by (null: empty)."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))

@@ -112,6 +112,32 @@ def test_rows_are_what_is_classed(spark, kw):
     assert keep_first(df, found).count() == len(set(got))
 
 
+def shuffled_bytes(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_texts_of_no_group_are_not_shuffled(spark):
+    word = random.Random(7)
+    rows = [(i, " ".join(f"{word.getrandbits(64):x}" for _ in range(1000))) for i in range(300)]
+    rows += [(1000, rows[3][1] + " more"), (None, rows[5][1] + " more"), (1001, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.cache().count()
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        df.unpersist()
+    assert got == {i: i for i in range(300)} | {1000: 3, None: 5, 1001: 7}
+    assert moved < sum(len(t) for _, t in rows) // 4
+
+
 def thue_morse(n, flip):
     return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
 
